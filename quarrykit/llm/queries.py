@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrykit.llm import host_rules
 from quarrykit.llm.byte_bpe import encode_documents
 from quarrykit.llm.common import table
+from quarrykit.llm.host_rules import quality_verdicts
+from quarrykit.llm.language_id import identify
+from quarrykit.llm.license_scan import license_labels
+from quarrykit.llm.packing import pack_documents
 from quarrykit.llm.secret_scan import secret_spans
+from quarrykit.llm.topk import top_k
+from quarrykit.llm.warc import read_archives, write_archives
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +27,44 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_secret_scan, op2_byte_bpe, op3_topk_search, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op2_byte_bpe": op2_byte_bpe}
+    return {query.__name__: query for query in OPERATORS}
+
+
+TOPK_SQL = """
+WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM p q JOIN p c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk_search": TOPK_SQL, "op6_host_rules": host_rules.ORACLE}
