@@ -5,11 +5,11 @@ words (matches of the vocabulary's pattern). Spark's higher-order functions fold
 ranked merges over each distinct word's bytes; a last map writes the words' ids
 back in document order and decodes them.
 
-The fold holds a word as a byte array of two bytes a piece, and beside it the rank that
+The fold holds a word as an array, bytes at first, then pieces, and beside it what
 each neighbouring pair would merge to. A step takes the least rank, leftmost first,
 merges that pair and looks up the two pairs that are new. Ranks come from a literal: a
-hash table in one byte array, two possible slots a key, of six bytes each: the pair and
-what it merges to. Words that are in the vocabulary as they stand need no fold.
+hash table in an array of longs, two possible slots a key, each with the pair and what
+it merges to. Words that are in the vocabulary as they stand need no fold.
 
 Defined cases: a null text is empty and gives no ids; repeated rows each give
 a row; a null doc_id stays null; of other columns nothing is read.
@@ -18,53 +18,62 @@ a row; a null doc_id stays null; of other columns nothing is read.
 from __future__ import annotations
 
 import hashlib
+import json
+from array import array
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarrykit.llm.tokens import TIKTOKEN_FILE, ranks, split_text, words_pattern
 
 #: Characters of text in a block: what a task holds at a time, with its words.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 
-_BLOCK = "doc_ids array<bigint>, doc_parts array<binary>, part_words binary, part_sizes binary, known binary, todo array<binary>"
+_BLOCK = "doc_ids array<bigint>, doc_parts array<binary>, part_words binary, part_sizes binary, known binary, todo array<array<int>>"
 
 
-def pair_table(vocabulary: dict[bytes, int]) -> tuple[bytes, int]:
-    """The merges as a hash table (bytes, slots less one). Pieces of one byte are named by
-    that byte, others by their rank."""
+#: Of a pair that merges to nothing; greater than any rank.
+_NONE = 1 << 16
+#: Fixed odd multipliers of the two slots of a pair; products stay in 64 bits.
+_ONE, _TWO = 0x5E3779B1, 0x45EBCA77
+
+
+def pair_table(vocabulary: dict[bytes, int]) -> tuple[list[int], int]:
+    """The merges as a hash table (entries, slots less one). An entry is the left piece, the right
+    piece and what they merge to, 16 bits each (so a vocabulary has at most 65,536 pieces). Pieces of one byte are named by that byte, others by
+    their rank."""
     name = {piece: piece[0] if len(piece) == 1 else rank for piece, rank in vocabulary.items()}
     merges = []
     for piece, rank in vocabulary.items():
         for cut in range(1, len(piece)):
             left, right = name.get(piece[:cut]), name.get(piece[cut:])
             if left is not None and right is not None:
-                merges.append((left.to_bytes(2, "big") + right.to_bytes(2, "big"), rank.to_bytes(2, "big")))
+                merges.append((left << 32) | (right << 16) | rank)
     bits = max(4, (2 * len(merges)).bit_length())
     while True:
-        slots: list[tuple[bytes, bytes] | None] = [None] * (1 << bits)
+        slots = [-1] * (1 << bits)
         if all(_placed(slots, entry) for entry in merges):
-            return b"".join(k + v if e else b"\xff" * 6 for e in slots for k, v in [e or (b"", b"")]), len(slots) - 1
+            return slots, len(slots) - 1
         bits += 1
 
 
-def _slots_of(key: bytes, mask: int) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(key, seed=42)  # what Spark's xxhash64 gives for one binary
-    return h & mask, (h >> 32) & mask
+def _slots_of(pair: int, mask: int) -> tuple[int, int]:
+    return ((pair * _ONE) >> 16) & mask, ((pair * _TWO) >> 16) & mask
 
 
-def _placed(slots: list, entry: tuple[bytes, bytes]) -> bool:
-    at = _slots_of(entry[0], len(slots) - 1)[0]
-    for _ in range(200):
+def _placed(slots: list[int], entry: int) -> bool:
+    at = _slots_of(entry >> 16, len(slots) - 1)[0]
+    for _ in range(500):
         slots[at], entry = entry, slots[at]
-        if entry is None:
+        if entry < 0:
             return True
-        one, two = _slots_of(entry[0], len(slots) - 1)
+        one, two = _slots_of(entry >> 16, len(slots) - 1)
         at = two if at == one else one
     return False
 
@@ -75,40 +84,45 @@ def _bound(value: Column, body) -> Column:
 
 
 def _rank(pair: Column, merges: Column, mask: int) -> Column:
-    """The two bytes that a pair merges to, or null."""
+    """What a pair (left << 16 | right) merges to, or _NONE."""
+
+    def entry(multiplier: int) -> Column:
+        return F.get(merges, F.shiftright(pair * F.lit(multiplier), 16).bitwiseAND(F.lit(mask)).cast("int"))
+
+    def of(first: Column) -> Column:
+        second = _bound(entry(_TWO), lambda e: F.when(F.shiftright(e, 16) == pair, e.bitwiseAND(F.lit(0xFFFF)).cast("int")).otherwise(F.lit(_NONE)))
+        return F.when(F.shiftright(first, 16) == pair, first.bitwiseAND(F.lit(0xFFFF)).cast("int")).otherwise(second)
+
+    return _bound(entry(_ONE), of)
 
-    def found(h: Column) -> Column:
-        one, two = (h.bitwiseAND(F.lit(mask)) * 6).cast("int"), (F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(mask)) * 6).cast("int")
-        return F.when(F.substring(merges, one + 1, F.lit(4)) == pair, F.substring(merges, one + 5, F.lit(2))).when(F.substring(merges, two + 1, F.lit(4)) == pair, F.substring(merges, two + 5, F.lit(2)))
 
-    return _bound(F.xxhash64(pair), found)
+def _pair(left: Column, right: Column) -> Column:
+    return left.cast("long") * F.lit(1 << 16) + right
 
 
 def folded(word: Column, merges: Column, mask: int) -> Column:
-    """The pieces of a word of at least two bytes, two bytes each."""
-    n = F.octet_length(word)
-    pieces = F.unhex(F.regexp_replace(F.hex(word), "(..)", "00$1"))
-    ranked = F.transform(F.sequence(F.lit(1), n * 2 - 3, F.lit(2)), lambda at: _rank(F.substring(pieces, at, F.lit(4)), merges, mask))
+    """The pieces (array<int>) of a word (array<int> of at least two bytes)."""
+    ranked = F.transform(F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), _pair), lambda pair: _rank(pair, merges, mask))
 
     def merged(state: Column, best: Column) -> Column:
         s, c = state["s"], state["c"]
 
         def at(p: Column) -> Column:
-            before, after = F.substring(s, 2 * p - 3, F.lit(2)), F.substring(s, 2 * p + 3, F.lit(2))
-            none = F.slice(c, 1, 0)
-            left = F.when(p > 1, F.array(_rank(F.concat(before, best), merges, mask))).otherwise(none)
-            right = F.when(p < F.size(c), F.array(_rank(F.concat(best, after), merges, mask))).otherwise(none)
+            left = F.slice(s, F.greatest(p - 1, F.lit(1)), F.least(p - 1, F.lit(1)))
+            right = F.slice(s, p + 2, F.lit(1))
+            new_left = F.transform(left, lambda x: _rank(_pair(x, best), merges, mask))
+            new_right = F.transform(right, lambda x: _rank(_pair(best, x), merges, mask))
             return F.struct(
-                F.concat(F.substring(s, F.lit(1), 2 * p - 2), best, F.substring(s, 2 * p + 3, F.octet_length(s))).alias("s"),
-                F.concat(F.slice(c, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(c, p + 2, F.size(c))).alias("c"),
+                F.concat(F.slice(s, F.lit(1), p - 1), F.array(best), F.slice(s, p + 2, F.size(s))).alias("s"),
+                F.concat(F.slice(c, F.lit(1), F.greatest(p - 2, F.lit(0))), new_left, new_right, F.slice(c, p + 2, F.size(c))).alias("c"),
             )
 
         return _bound(F.array_position(c, best).cast("int"), at)
 
     def step(state: Column, _: Column) -> Column:
-        return _bound(F.array_min(state["c"]), lambda best: F.when(best.isNull(), state).otherwise(merged(state, best)))
+        return _bound(F.coalesce(F.array_min(state["c"]), F.lit(_NONE)), lambda best: F.when(best == _NONE, state).otherwise(merged(state, best)))
 
-    return F.aggregate(F.sequence(F.lit(2), n), F.struct(pieces.alias("s"), ranked.alias("c")), step, lambda state: state["s"])
+    return F.aggregate(F.sequence(F.lit(2), F.size(word)), F.struct(word.alias("s"), ranked.alias("c")), step, lambda state: state["s"])
 
 
 def _blocks(vocabulary: str, block_chars: int):
@@ -121,15 +135,17 @@ def _blocks(vocabulary: str, block_chars: int):
 
         def block() -> pa.RecordBatch:
             word_of = _Numbered()
-            refs = [[word_of[w] for w in pattern.findall(part)] for part in part_of]
+            flat, sizes = array("i"), array("i")
+            for part in part_of:
+                refs = [word_of[w] for w in pattern.findall(part)]
+                flat.extend(refs)
+                sizes.append(len(refs))
             words = [w.encode() for w in word_of]
             known = np.array([direct.get(w, -1) for w in words], "<i4")
-            flat = np.fromiter((r for of in refs for r in of), "<i4")
-            todo = [w for w, rank in zip(words, known, strict=True) if rank < 0]
-            sizes = np.fromiter(map(len, refs), "<i4", len(refs))
+            todo = [list(w) for w, rank in zip(words, known, strict=True) if rank < 0]
             names = ["doc_ids", "doc_parts", "part_words", "part_sizes", "known", "todo"]
             row = [ids, [t.tobytes() for t in texts], flat.tobytes(), sizes.tobytes(), known.tobytes(), todo]
-            types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
         for batch in batches:
@@ -166,10 +182,15 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _spread(values: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of groups laid end to end in values, those picked, in that order; their sizes."""
-    starts = np.cumsum(sizes) - sizes
-    return values[ragged(starts[picks], sizes[picks])], sizes[picks]
+class _Groups:
+    """Groups laid end to end in values."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.sizes, self.starts = values, sizes, np.cumsum(sizes) - sizes
+
+    def of(self, picks: np.ndarray) -> np.ndarray:
+        """Those picked, in that order, end to end."""
+        return self.values[ragged(self.starts[picks], self.sizes[picks])]
 
 
 def _documents(vocabulary: str, with_ids: bool):
@@ -180,30 +201,29 @@ def _documents(vocabulary: str, with_ids: bool):
         rank_of_byte[:256] = [table[bytes([b])] for b in range(256)]
         decimal = _Decimal()
         for batch in batches:
-            for row in batch.to_pylist():
-                known = np.frombuffer(row["known"], "<i4")
-                bpe = [rank_of_byte[np.frombuffer(x, ">u2")] for x in row["encoded"]]
+            for at in range(batch.num_rows):
+                row = dict(zip(batch.schema.names, (c[at] for c in batch.columns), strict=True))
+                numbers = {name: np.frombuffer(row[name].as_py(), "<i4") for name in ("part_words", "part_sizes", "known")}
+                known, encoded = numbers["known"], row["encoded"].values
                 sizes = np.ones(len(known), np.int64)
-                sizes[known < 0] = [len(x) for x in bpe]
+                sizes[known < 0] = pc.list_value_length(encoded).to_numpy(zero_copy_only=False) if len(encoded) else []
                 word_ids = np.empty(int(sizes.sum()), np.int32)
                 starts = np.cumsum(sizes) - sizes
                 word_ids[starts[known >= 0]] = known[known >= 0]
-                word_ids[ragged(starts[known < 0], sizes[known < 0])] = np.concatenate(bpe) if bpe else []
-                picked, n = _spread(word_ids, sizes, np.frombuffer(row["part_words"], "<i4"))
-                part_sizes = np.frombuffer(row["part_sizes"], "<i4").astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                bounds = np.concatenate([[0], np.cumsum(part_sizes)])
-                n_part = ends[bounds[1:]] - ends[bounds[:-1]]
+                word_ids[ragged(starts[known < 0], sizes[known < 0])] = rank_of_byte[encoded.flatten().to_numpy(zero_copy_only=False)] if len(encoded) else []
+                by_word = _Groups(word_ids, sizes)
+                ends = np.concatenate([[0], np.cumsum(sizes[numbers["part_words"]])])
+                bounds = np.concatenate([[0], np.cumsum(numbers["part_sizes"])])
+                by_part = _Groups(by_word.of(numbers["part_words"]), ends[bounds[1:]] - ends[bounds[:-1]])
                 out = []
-                for parts in row["doc_parts"]:
-                    ids = _spread(picked, n_part, np.frombuffer(parts, "<i4"))[0]
-                    each = ids.tolist()
+                for parts in row["doc_parts"].values:
+                    each = by_part.of(np.frombuffer(parts.as_buffer(), "<i4")).tolist()
                     said = " ".join(map(decimal.__getitem__, each))
                     decoded = b"".join(map(pieces.__getitem__, each))
                     out.append((len(each), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), each if with_ids else None))
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-                made = [pa.array(row["doc_ids"], pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
+                made = [row["doc_ids"].values, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
                 yield pa.RecordBatch.from_arrays(made[: 4 + with_ids], names=names[: 4 + with_ids])
 
@@ -216,18 +236,23 @@ class _Decimal(dict):
         return text
 
 
+def _literal(entries: list[int]) -> Column:
+    """An array<long> literal: the optimizer folds from_json of a literal."""
+    return F.from_json(F.lit(json.dumps(entries, separators=(",", ":"))), "array<bigint>")
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, with_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; with_ids adds the ids."""
     merges, mask = pair_table(ranks(vocabulary))
     blocks = docs.select("doc_id", "text").mapInArrow(_blocks(vocabulary, block_chars), _BLOCK)
-    encoded = _bound(F.lit(merges), lambda m: F.transform("todo", lambda w: folded(w, m, mask)))
+    encoded = _bound(_literal(merges), lambda m: F.transform("todo", lambda w: folded(w, m, mask)))
     blocks = blocks.select("doc_ids", "doc_parts", "part_words", "part_sizes", "known", encoded.alias("encoded"))
     return blocks.mapInArrow(_documents(vocabulary, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str = TIKTOKEN_FILE) -> DataFrame:
     """df with column decoded: the binary pieces of its ids, concatenated (null where ids is null)."""
-    schema = df.schema.add("decoded", "binary")
+    schema = StructType([*df.schema.fields, StructField("decoded", BinaryType())])
     at = df.columns.index(ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
