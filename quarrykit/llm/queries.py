@@ -11,6 +11,7 @@ from quarrykit.llm import host_rules
 from quarrykit.llm.byte_bpe import encode_documents
 from quarrykit.llm.common import table
 from quarrykit.llm.host_rules import quality_verdicts
+from quarrykit.llm.jaccard_join import jaccard_components
 from quarrykit.llm.language_id import identify
 from quarrykit.llm.license_scan import license_labels
 from quarrykit.llm.packing import pack_documents
@@ -52,7 +53,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_secret_scan, op2_byte_bpe, op3_topk_search, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("gid")
+
+
+OPERATORS = (op1_secret_scan, op2_byte_bpe, op3_topk_search, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
