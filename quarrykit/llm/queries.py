@@ -16,6 +16,7 @@ from quarrykit.llm.language_id import identify
 from quarrykit.llm.license_scan import license_labels
 from quarrykit.llm.packing import pack_documents
 from quarrykit.llm.secret_scan import secret_spans
+from quarrykit.llm.suffix_dedup import repeated_bytes
 from quarrykit.llm.topk import top_k
 from quarrykit.llm.warc import read_archives, write_archives
 
@@ -32,6 +33,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("gid")
 
 
-OPERATORS = (op1_secret_scan, op2_byte_bpe, op3_topk_search, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan, op10_jaccard_join)
+OPERATORS = (op1_secret_scan, op2_byte_bpe, op3_topk_search, op4_suffix_dedup, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
