@@ -15,15 +15,10 @@ from quarrykit.llm.packing import pack_documents
 from quarrykit.llm.secret_scan import mask_secrets
 from quarrykit.llm.suffix_dedup import without_repeats
 
-#: The share of n-gram hits below which the best language doesn't count as recognised. Chance among four
-#: languages is 0.25.
-MIN_LANGUAGE_SCORE = 0.27
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text is in a recognised language."""
+    """Keeps documents whose text is in a recognised language: one that some n-gram of the text tells."""
     told = predict(docs, fit(docs))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
