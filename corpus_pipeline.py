@@ -15,6 +15,7 @@ from quarrykit.llm.packing import pack_documents
 from quarrykit.llm.secret_scan import mask_secrets
 from quarrykit.llm.suffix_dedup import without_repeats
 
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is in a recognised language: one that some n-gram of the text tells."""
     told = predict(docs, fit(docs))
