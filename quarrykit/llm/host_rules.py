@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.common import stored
+
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -111,7 +113,8 @@ def host_verdicts(counted: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
 
 def quality_verdicts(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept, host_rate of each document."""
-    counted = rule_counts(docs).withColumn("base_failed", base_failed())
+    # Read three times: for the hosts, their prior, and the documents.
+    counted = stored(rule_counts(docs).withColumn("base_failed", base_failed()), "rule-counts")
     hosts = host_verdicts(counted, max_rate).withColumnRenamed("source", "host")
     joined = counted.join(hosts, counted["source"].eqNullSafe(hosts["host"]), "left")
     kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
