@@ -1,7 +1,8 @@
 """Packing documents into token windows.
 
-Tokens: one map over the documents; each distinct part of a batch's texts is encoded
-once. A document longer than a window is cut into whole windows and a rest. Plan: the
+Tokens: one map over the documents. The ids are those that the tokenizers library gives for
+byte_bpe_50k.json; the tiktoken library, which has the same vocabulary as ranks, gives the same ones
+six times as fast (a test holds them against each other). A document longer than a window is cut into whole windows and a rest. Plan: the
 lengths' histogram, of one entry a length, goes to the driver; its size is the window's,
 whatever the input's. There, combinations of two or three lengths that fill a window
 are enumerated; non-negative least squares gives how often each is repeated; rounded
@@ -28,58 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import stored
-from quarrykit.llm.tokens import TOKENIZERS_FILE, hf_tokenizer, split_text
+from quarrykit.llm.common import bounded_batches, stored
+from quarrykit.llm.tokens import TIKTOKEN_FILE, tiktoken_encoding
 
 WINDOW = 2048
 END_ID = 1
-#: Parts whose ids a worker keeps from one batch to the next, and characters encoded together.
-KEPT_PARTS, TOGETHER = 500_000, 8_000_000
 #: Rows that one share of a length holds, on average, if all rows have one length.
 SHARE_ROWS = 500_000
 
-_kept: dict[str, bytes] = {}
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _encode(texts: list[str], vocabulary: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers, the end id included."""
-    if len(_kept) > KEPT_PARTS:
-        _kept.clear()
-    tokenizer = hf_tokenizer(vocabulary)
-    end = END_ID.to_bytes(4, "little")
-    parts = [split_text(text) for text in texts]
-    new = list({p for of in parts for p in of if p not in _kept})
-    for part, made in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        _kept[part] = np.array(made.ids, "<u4").tobytes()
-    for of in parts:
-        yield b"".join(map(_kept.__getitem__, of)) + end
-
-
-def token_pieces(docs: DataFrame, vocabulary: str = TOKENIZERS_FILE, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Each document's ids cut into whole windows and a rest, one row a piece."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tiktoken_encoding(vocabulary)
+        names, types = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids], [pa.int64()] * 5 + [pa.list_(pa.int64())]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= TOGETHER):
-                    chars += len(texts[to])
-                    to += 1
-                rows = []
-                for doc_id, data in zip(ids[at:to], _encode(texts[at:to], vocabulary), strict=True):
-                    n = len(data) // 4
-                    for start in range(0, n, window):
-                        piece = data[4 * start : 4 * (start + window)]
-                        rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, np.frombuffer(piece, "<u4") if with_ids else None))
-                columns = list(zip(*rows, strict=True))[: 5 + with_ids]
-                types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
-                at = to
-
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.array(encoding.encode_ordinary(text.as_py() or "") + [END_ID], "<u4")
+                for start in range(0, len(ids), window):
+                    piece = ids[start : start + window]
+                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece if with_ids else None))
+            columns = list(zip(*rows, strict=True))[: 5 + with_ids] or [[]] * (5 + with_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names)
+
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(tokenise, PIECES + ", ids array<long>" * with_ids)
 
 
@@ -189,6 +166,6 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = TOKENIZERS_FILE, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most window ids."""
     return pack(stored(token_pieces(docs, vocabulary, window, with_ids), "pieces"), window)
