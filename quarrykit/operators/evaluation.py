@@ -30,7 +30,8 @@ def by_category(cases: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def covered_lines(start: Column, end: Column, first: Column, last: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(end, last) - F.greatest(start, first) + 1)
+    """Null where there is no chunk: least and greatest would pass over its nulls."""
+    return F.when(start.isNotNull(), F.greatest(F.lit(0), F.least(end, last) - F.greatest(start, first) + 1))
 
 
 def span_evidence(ranked: DataFrame, spans: DataFrame) -> DataFrame:

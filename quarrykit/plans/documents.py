@@ -160,7 +160,7 @@ def context_pack_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CHUNKS + """, p AS (SELECT * FROM s WHERE rank <= 20),
 g AS (SELECT DISTINCT query_id, path, 3 AS first_line, 24 AS last_line FROM s WHERE rank <= 25),
 m AS (SELECT g.query_id, g.path, min(CASE WHEN greatest(0, least(p.end_line, last_line) - greatest(p.start_line, first_line) + 1) >= 5 THEN rank END) AS rank,
-coalesce(max(greatest(0, least(p.end_line, last_line) - greatest(p.start_line, first_line) + 1)), 0) AS covered FROM g LEFT JOIN p ON g.query_id = p.query_id AND g.path = p.path GROUP BY 1, 2)
+coalesce(max(CASE WHEN p.rank IS NOT NULL THEN greatest(0, least(p.end_line, last_line) - greatest(p.start_line, first_line) + 1) END), 0) AS covered FROM g LEFT JOIN p ON g.query_id = p.query_id AND g.path = p.path GROUP BY 1, 2)
 SELECT CAST(query_id AS BIGINT) AS case_id, path AS span, CAST(rank AS INTEGER) AS rank, CAST(covered AS INTEGER) AS covered FROM m""")
 def span_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = _seeds(spark, sf_dir, 25)[0].withColumnRenamed("query_id", "case_id")
