@@ -1,7 +1,7 @@
 """Removal of byte strings that occur more than once, by suffix arrays of shards.
 
-Every string of LENGTH bytes (a window) holds the 16-byte piece of least hash among its
-own, its anchor, so equal windows have equal anchors at equal places. Anchors are about one in 190 bytes;
+Every string of LENGTH bytes (a window) holds the 64-byte piece of least hash among its
+own, its anchor, so equal windows have equal anchors at equal places. Anchors are about one in 170 bytes;
 those that occur once are dropped before any text moves. Of each other anchor, the bytes
 under its windows (a fragment, less than twice LENGTH) go to the anchor's shard. There, equal
 fragments count as repeated as they are; different ones of one anchor are put together, their suffix array is
@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import stored
+from quarrykit.llm.common import bounded_batches, stored
 from quarrykit.llm.suffix_arrays import repeated_starts, words_at
 
-LENGTH, PIECE = 400, 16
+LENGTH, PIECE = 400, 64
 #: Bytes of texts handled in one array, and of fragments in one suffix array.
 TOGETHER, SHARD_BYTES = 2_000_000, 2_000_000
 #: Places of an anchor above which it is split by its windows' cores, of CORE windows each.
@@ -59,10 +59,11 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple
     none = np.empty(0, np.int64)
     if len(data) < length:
         return none, none, none, none
-    wide = words_at(data)
-    h = wide * np.uint64(0x9E3779B97F4A7C15)
-    h[:-8] ^= (wide[8:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(7)
-    h ^= h >> np.uint64(32)
+    h = words_at(data)
+    for reach in (8, 16, 32):  # hashes of twice as many bytes
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h[:-reach] += h[reach:] * np.uint64(0xC2B2AE3D27D4EB4F)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     least = _sliding_min(h[: len(data) - PIECE + 1], width)
@@ -286,6 +287,7 @@ def _cut(length: int, with_text: bool):
 
 def _removals(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, key, n_bytes, sha256) with copies, and the texts that lose something."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = stored(texts.mapInArrow(_first_pass(length), _FIRST), "anchors")
     distinct = stored(first.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max_by("spots", F.size("spots")).alias("spots")), "distinct-texts")
