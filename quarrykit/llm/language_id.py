@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quarrykit.llm.common import bounded_batches
+
 SAMPLE_DOCS = 2000
 MIN_DOC_SHARE = 0.01
 FILTER_BITS = 20
 N_HASHES = 3
 #: Fixed odd multipliers, one a hash.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_TEXT_TOGETHER = 4_000_000
+_TEXT_TOGETHER = 1_500_000
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -113,6 +115,7 @@ def held_out(doc_id: str | Column) -> Column:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float = MIN_DOC_SHARE, bits: int = FILTER_BITS) -> Filters:
     """Filters from documents with text, lang and doc_id, those held out left aside."""
+    bounded_batches(docs.sparkSession)
     learnable = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     few = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # At most sample_docs rows a language: a bound that the data don't move.
@@ -143,6 +146,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float =
 
 def predict(docs: DataFrame, filters: Filters, bits: int = FILTER_BITS) -> DataFrame:
     """docs with lang_pred and score; one map. Every column of docs stays (and none may have these two names)."""
+    bounded_batches(docs.sparkSession)
     at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 

@@ -21,6 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarrykit.llm.common import bounded_batches
 from quarrykit.llm.tokens import TIKTOKEN_FILE, tiktoken_encoding
 
 KINDS = ("assign", "access", "hex", "random")
@@ -83,6 +84,7 @@ def secret_spans(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, max_ratio: fl
             kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
@@ -111,4 +113,5 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", vocabulary: str = TIKT
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(scrub, schema)

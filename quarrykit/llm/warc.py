@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import fresh_path, stored
+from quarrykit.llm.common import bounded_batches, fresh_path, stored
 
 FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 128 * 1024 * 1024
 #: Fixed values of the seekable format.
@@ -168,6 +168,7 @@ def with_referrals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes a record for each page; returns the index (see INDEX), a stored table."""
+    bounded_batches(pages.sparkSession)
     folder = fresh_path(pages.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
