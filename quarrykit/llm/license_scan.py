@@ -49,7 +49,10 @@ TEMPLATES = {
     "cc-by-nc": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
 }
-RAREST, MIN_SHARE = 24, 0.6
+#: Words of all prose, which the index leaves out.
+COMMON_WORDS = frozenset("a and any are as be by except file files following for form forms from in into is it may no not of on or other please software terms that the this to under use used version with without work you your 0 2 3 4 v".split())
+#: Rare words looked up in a text; the least share of what a template's rarest ones could give.
+RAREST, MIN_SHARE = 12, 0.6
 
 
 def rare_word_index(templates: dict[str, tuple[str, str]]) -> tuple[dict[str, list[tuple[int, int]]], dict[str, float]]:
@@ -57,6 +60,8 @@ def rare_word_index(templates: dict[str, tuple[str, str]]) -> tuple[dict[str, li
     postings: dict[str, list[tuple[int, int]]] = {}
     for number, (text, _) in enumerate(templates.values()):
         for position, word in enumerate(text.split()):
+            if word in COMMON_WORDS:
+                continue
             postings.setdefault(word, []).append((number, position))
     idf = {word: math.log(1 + len(templates) / len({number for number, _ in places})) for word, places in postings.items()}
     return postings, idf
@@ -72,10 +77,7 @@ def _starts(words: Column, phrase: str) -> Column:
     first, *rest = phrase.split()
 
     def fits(word: Column, at: Column) -> Column:
-        fit = word == first
-        for k, other in enumerate(rest, 1):
-            fit = fit & F.coalesce(F.get(words, at + k) == other, F.lit(False))
-        return fit
+        return (word == first) & (F.slice(words, at + 2, len(rest)) == F.array(*map(F.lit, rest)))
 
     return F.filter(F.transform(words, lambda w, i: F.when(fits(w, i), i)), lambda i: i.isNotNull())
 
@@ -91,19 +93,20 @@ def _found_templates(words: Column, joined: Column, templates: dict[str, tuple[s
 
     def votes(rare: Column) -> Column:
         """A vote for each place of a rare word in the text and in a template."""
-        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: F.array_contains(rare, e["w"]))
+        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(by_rarity) & F.array_contains(rare, e["w"]))
         return F.flatten(F.transform(at, lambda e: F.transform(index[e["w"]], lambda q: F.struct(q["t"].alias("t"), (e["i"] - q["p"]).alias("begin"), weight[e["w"]].alias("weight")))))
 
     def verdict(cast: Column, number: int, label: str) -> Column:
         text, key = templates[label]
-        could = sum(idf[w] for w in text.split())
-        own = F.filter(cast, lambda v: v["t"] == number)
-        begins = F.array_distinct(F.transform(own, lambda v: v["begin"]))
+        could = sum(sorted((idf[w] for w in set(text.split()) if w in idf), reverse=True)[:rarest])
 
-        def votes_near(b: Column) -> Column:
-            return F.aggregate(own, F.lit(0.0), lambda total, v: total + F.when(F.abs(v["begin"] - b) <= 1, v["weight"]).otherwise(0.0))
+        def best(own: Column) -> Column:
+            def votes_near(b: Column) -> Column:
+                return F.aggregate(own, F.lit(0.0), lambda total, v: total + F.when(F.abs(v["begin"] - b) <= 1, v["weight"]).otherwise(0.0))
 
-        share = F.least(F.coalesce(F.array_max(F.transform(begins, votes_near)), F.lit(0.0)) / could, F.lit(1.0))
+            return F.coalesce(F.array_max(F.transform(F.array_distinct(F.transform(own, lambda v: v["begin"])), votes_near)), F.lit(0.0))
+
+        share = _let(F.filter(cast, lambda v: v["t"] == number), lambda own: F.least(best(own) / could, F.lit(1.0)))
         return F.when((share >= min_share) & F.contains(joined, F.lit(f" {key} ")), F.struct(F.lit(label.partition("/")[0]).alias("label"), share.alias("score")))
 
     def verdicts(cast: Column) -> Column:
@@ -113,27 +116,41 @@ def _found_templates(words: Column, joined: Column, templates: dict[str, tuple[s
     return _let(own_rare, lambda rare: _let(votes(rare), verdicts))
 
 
+def _may_hold(lowered: Column, phrases: list[str]) -> Column:
+    """False where no phrase can stand: each has a word of a small set, or one of its letter pairs at least."""
+    left = set(phrases)
+    marks = []
+    while left:
+        long = {w for phrase in left for w in phrase.split() if len(w) > 4}
+        if not long:
+            break
+        mark = max(sorted(long), key=lambda w: (sum(w in phrase.split() for phrase in left), len(w)))
+        marks.append(mark)
+        left = {phrase for phrase in left if mark not in phrase}
+    maybe = F.lit(False)
+    for mark in marks:
+        maybe = maybe | F.contains(lowered, F.lit(mark))
+    for phrase in sorted(left):
+        words = phrase.split()
+        all_words = F.lit(True)
+        for word in sorted(set(words), key=len):
+            all_words = all_words & F.contains(lowered, F.lit(word))
+        maybe = maybe | (all_words & lowered.rlike(GAP.join(map(re.escape, words))))
+    return maybe
+
+
 def license_labels(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, rarest: int = RAREST, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each document."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     keys = [key for _, key in templates.values()] + list(phrases)
-    # One word of each phrase and key phrase, the longest: a text without any of them has no label.
-    marks = sorted({max(key.split(), key=len) for key in keys if len(max(key.split(), key=len)) > 3})
-    short = [GAP.join(map(re.escape, key.split())) for key in keys if len(max(key.split(), key=len)) <= 3]
+    maybe = _let(F.lower(F.coalesce(F.col("text"), F.lit(""))), lambda lowered: _may_hold(lowered, keys))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lowered = F.lower(text)
-    maybe = F.lit(False)
-    for mark in marks:
-        maybe = maybe | F.contains(lowered, F.lit(mark))
-    for pattern in short:
-        maybe = maybe | lowered.rlike(pattern)
-    rows = docs.select("doc_id", text.alias("text"), F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), maybe.alias("maybe"))
+    rows = docs.select("doc_id", text.alias("text"), F.size(F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long").alias("n_words"), maybe.alias("maybe"))
 
     def scanned(words: Column) -> Column:
-        joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
         places = F.array(*[F.struct(F.lit(label).alias("label"), _starts(words, phrase).alias("at")) for phrase, label in phrases.items()])
-        return F.struct(places.alias("places"), _found_templates(words, joined, templates, rarest, min_share).alias("found"))
+        return F.struct(places.alias("places"), _let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), lambda joined: _found_templates(words, joined, templates, rarest, min_share)).alias("found"))
 
     words = F.array_remove(F.split(F.translate("text", upper, lower), GAP), "")
     rows = rows.withColumn("scan", F.when(F.col("maybe"), _let(words, scanned)))
