@@ -1,15 +1,21 @@
 """Byte-level BPE: encoding and decoding without a shuffle.
 
-A task gathers documents into blocks of bounded text and lists each block's distinct
-words (matches of the vocabulary's pattern). Spark's higher-order functions fold the
-ranked merges over each distinct word's bytes; a last map writes the words' ids
-back in document order and decodes them.
-
-The fold holds a word as an array, bytes at first, then pieces, and beside it what
-each neighbouring pair would merge to. A step takes the least rank, leftmost first,
-merges that pair and looks up the two pairs that are new. Ranks come from a literal: a
-hash table in an array of longs, two possible slots a key, each with the pair and what
-it merges to. Words that are in the vocabulary as they stand need no fold.
+A task gathers documents into blocks of bounded text. A block lists the distinct
+words (matches of the vocabulary's pattern) that the task hasn't listed before; Spark's
+higher-order functions fold the ranked merges over each such word's bytes; a last map
+keeps the task's words with their ids, writes the ids back in document order and decodes
+them. After a bounded number of words the task starts over.
+
+Common words would be folded in every task. So the commonest of a sample, a bounded number,
+are folded first, and go out as one broadcast of bounded size; tasks fold the others. What
+the sample holds changes the work alone, not the ids.
+
+The fold holds a word as an array of longs, one a piece (at first, a byte): what the piece and its
+right neighbour would merge to, the piece's place in the word, and the piece. So the
+least element is the pair of least rank, leftmost first. A step merges it and looks up the
+two pairs that are new. Ranks come from a literal: a hash table in an array of longs,
+two possible slots a key, each with the pair and what it merges to. Words that are in the
+vocabulary as they stand need no fold.
 
 Defined cases: a null text is empty and gives no ids; repeated rows each give
 a row; a null doc_id stays null; of other columns nothing is read.
@@ -20,22 +26,28 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from quarrykit.llm.common import bounded_batches
 from quarrykit.llm.tokens import TIKTOKEN_FILE, ranks, split_text, words_pattern
 
-#: Characters of text in a block: what a task holds at a time, with its words.
-BLOCK_CHARS = 12_000_000
+#: Characters of text in a block, and words that a task keeps before it starts over.
+BLOCK_CHARS, KEPT_WORDS = 4_000_000, 1_000_000
+
+#: Words that are folded once for all tasks, and the tasks and characters a task of the sample that they are chosen from.
+COMMON_WORDS, SAMPLE_TASKS, SAMPLE_CHARS = 200_000, 64, 1_500_000
 
-_BLOCK = "doc_ids array<bigint>, doc_parts array<binary>, part_words binary, part_sizes binary, known binary, todo array<array<int>>"
+_BLOCK = "fresh boolean, doc_ids array<bigint>, doc_parts array<binary>, part_words binary, part_sizes binary, known binary, todo array<array<bigint>>"
 
 
 #: Of a pair that merges to nothing; greater than any rank.
@@ -89,74 +101,147 @@ def _rank(pair: Column, merges: Column, mask: int) -> Column:
     def entry(multiplier: int) -> Column:
         return F.get(merges, F.shiftright(pair * F.lit(multiplier), 16).bitwiseAND(F.lit(mask)).cast("int"))
 
-    def of(first: Column) -> Column:
-        second = _bound(entry(_TWO), lambda e: F.when(F.shiftright(e, 16) == pair, e.bitwiseAND(F.lit(0xFFFF)).cast("int")).otherwise(F.lit(_NONE)))
-        return F.when(F.shiftright(first, 16) == pair, first.bitwiseAND(F.lit(0xFFFF)).cast("int")).otherwise(second)
+    # An entry is looked up again where it is the pair's; that is cheaper than to bind it.
+    out = F.lit(_NONE)
+    for multiplier in (_TWO, _ONE):
+        out = F.when(F.shiftright(entry(multiplier), 16) == pair, entry(multiplier).bitwiseAND(F.lit(0xFFFF)).cast("int")).otherwise(out)
+    return out
+
 
-    return _bound(entry(_ONE), of)
+#: An element of a word's array: rank, place and piece, in these bits. Ranks and pieces have 16 bits, _NONE one more.
+_RANK_AT, _PLACE_AT = 46, 16
+_PIECE, _PLACED = (1 << _PLACE_AT) - 1, (1 << _RANK_AT) - 1
 
 
-def _pair(left: Column, right: Column) -> Column:
-    return left.cast("long") * F.lit(1 << 16) + right
+def byte_ranks(vocabulary: dict[bytes, int]) -> np.ndarray:
+    """What two bytes merge to, or _NONE, by 256 times the first plus the second."""
+    out = np.full(1 << 16, _NONE, np.int64)
+    for piece, rank in vocabulary.items():
+        if len(piece) == 2:
+            out[256 * piece[0] + piece[1]] = rank
+    return out
+
+
+def word_arrays(words: list[bytes], of_bytes: np.ndarray) -> pa.Array:
+    """The arrays that the fold begins with: a word's bytes, each with its place and what it merges to with the next."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    ranked = np.full(len(data), _NONE, np.int64)
+    if len(data):
+        ranked[:-1] = of_bytes[256 * data[:-1] + data[1:]]
+        ranked[ends - 1] = _NONE
+    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    states = (ranked << _RANK_AT) | (place << _PLACE_AT) | data
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(states))
 
 
 def folded(word: Column, merges: Column, mask: int) -> Column:
-    """The pieces (array<int>) of a word (array<int> of at least two bytes)."""
-    ranked = F.transform(F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), _pair), lambda pair: _rank(pair, merges, mask))
+    """The pieces (array<int>) of a word in the form of word_arrays."""
+
+    def piece(element: Column) -> Column:
+        return element.bitwiseAND(F.lit(_PIECE))
+
+    def element(left: Column, right: Column, placed: Column) -> Column:
+        """placed, a place and its piece (left), with what left and right merge to."""
+        rank = F.coalesce(_bound(F.shiftleft(left, 16).bitwiseOR(right), lambda pair: _rank(pair, merges, mask)), F.lit(_NONE))
+        return F.shiftleft(rank.cast("long"), _RANK_AT).bitwiseOR(placed)
 
-    def merged(state: Column, best: Column) -> Column:
-        s, c = state["s"], state["c"]
+    def merged(state: Column, least: Column) -> Column:
+        new = F.shiftright(least, _RANK_AT)
+        own = least.bitwiseAND(F.lit(_PLACED - _PIECE)).bitwiseOR(new)
 
         def at(p: Column) -> Column:
-            left = F.slice(s, F.greatest(p - 1, F.lit(1)), F.least(p - 1, F.lit(1)))
-            right = F.slice(s, p + 2, F.lit(1))
-            new_left = F.transform(left, lambda x: _rank(_pair(x, best), merges, mask))
-            new_right = F.transform(right, lambda x: _rank(_pair(best, x), merges, mask))
-            return F.struct(
-                F.concat(F.slice(s, F.lit(1), p - 1), F.array(best), F.slice(s, p + 2, F.size(s))).alias("s"),
-                F.concat(F.slice(c, F.lit(1), F.greatest(p - 2, F.lit(0))), new_left, new_right, F.slice(c, p + 2, F.size(c))).alias("c"),
-            )
+            before = F.get(state, p - 2)
+            left = F.when(p > 1, F.array(element(piece(before), new, before.bitwiseAND(F.lit(_PLACED))))).otherwise(F.slice(state, 1, 0))
+            return F.concat(F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), left, F.array(element(new, piece(F.get(state, p + 1)), own)), F.slice(state, p + 2, F.size(state)))
 
-        return _bound(F.array_position(c, best).cast("int"), at)
+        return _bound(F.array_position(state, least).cast("int"), at)
 
     def step(state: Column, _: Column) -> Column:
-        return _bound(F.coalesce(F.array_min(state["c"]), F.lit(_NONE)), lambda best: F.when(best == _NONE, state).otherwise(merged(state, best)))
+        return _bound(F.array_min(state), lambda least: F.when(least >= F.lit(_NONE << _RANK_AT), state).otherwise(merged(state, least)))
+
+    return F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step, lambda state: F.transform(state, lambda e: piece(e).cast("int")))
+
 
-    return F.aggregate(F.sequence(F.lit(2), F.size(word)), F.struct(word.alias("s"), ranked.alias("c")), step, lambda state: state["s"])
+@dataclass
+class Common:
+    """Words folded beforehand: their pieces end to end, and how many each has."""
 
+    words: list[str]
+    pieces: np.ndarray
+    sizes: np.ndarray
+
+
+def common_words(docs: DataFrame, vocabulary: str, merges: list[int], mask: int) -> Common:
+    """The commonest words of a sample: the first characters of the first tasks."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        direct, pattern, left = ranks(vocabulary), words_pattern(), SAMPLE_CHARS
+        for batch in batches if TaskContext.get().partitionId() < SAMPLE_TASKS else ():
+            for text in batch.column(0).to_pylist():
+                counts.update(pattern.findall((text or "")[:left]))
+                left -= len(text or "")
+                if left <= 0:
+                    break
+            if left <= 0:
+                break
+        kept = [(w, n) for w, n in counts.items() if n > 1 and len(w.encode()) > 1 and w.encode() not in direct]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_bytes = byte_ranks(ranks(vocabulary))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), word_arrays([w.encode() for w in batch.column(0).to_pylist()], of_bytes)], names=["word", "state"])
+
+    chosen = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    # The limit leaves one task; the fold wants all.
+    spread = chosen.select("word").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
+    made = spread.mapInArrow(arrays, "word string, state array<bigint>").select("word", _bound(_literal(merges), lambda m: folded(F.col("state"), m, mask)).alias("pieces")).toArrow().combine_chunks()
+    pieces = made["pieces"].combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32()))
+    return Common(made["word"].to_pylist(), pieces.flatten().to_numpy().astype("<i4"), pc.list_value_length(pieces).to_numpy().astype(np.int64))
+
+
+def _blocks(vocabulary: str, block_chars: int, common):
+    names = ["fresh", "doc_ids", "doc_parts", "part_words", "part_sizes", "known", "todo"]
+    types = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
 
-def _blocks(vocabulary: str, block_chars: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct, pattern = ranks(vocabulary), words_pattern()
+        of_bytes = byte_ranks(direct)
+        at_common = {w: -2 - i for i, w in enumerate(common.value.words)}
+        part_of, word_of, fresh = _Numbered(), _Numbered(), True
         ids: list = []
-        texts: list[np.ndarray] = []
-        part_of = _Numbered()
+        texts: list[bytes] = []
         held = 0
 
         def block() -> pa.RecordBatch:
-            word_of = _Numbered()
             flat, sizes = array("i"), array("i")
-            for part in part_of:
+            for part in part_of.taken():
                 refs = [word_of[w] for w in pattern.findall(part)]
                 flat.extend(refs)
                 sizes.append(len(refs))
-            words = [w.encode() for w in word_of]
-            known = np.array([direct.get(w, -1) for w in words], "<i4")
-            todo = [list(w) for w, rank in zip(words, known, strict=True) if rank < 0]
-            names = ["doc_ids", "doc_parts", "part_words", "part_sizes", "known", "todo"]
-            row = [ids, [t.tobytes() for t in texts], flat.tobytes(), sizes.tobytes(), known.tobytes(), todo]
-            types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+            texts_of = word_of.taken()
+            words = [w.encode() for w in texts_of]
+            # A rank; or, below -1, a common word; or -1, a word to fold.
+            known = array("i", (direct[w] if w in direct else at_common.get(t, -1) for w, t in zip(words, texts_of, strict=True)))
+            todo = word_arrays([w for w, rank in zip(words, known, strict=True) if rank == -1], of_bytes)
+            row = [fresh, ids, texts, flat.tobytes(), sizes.tobytes(), known.tobytes()]
+            made = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*made, pa.ListArray.from_arrays(pa.array([0, len(todo)], pa.int32()), todo)], names=names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 ids.append(doc_id)
-                texts.append(np.fromiter(map(part_of.__getitem__, split_text(text)), "<i4"))
+                texts.append(array("i", map(part_of.__getitem__, split_text(text))).tobytes())
                 held += len(text) + 100
                 if held >= block_chars:
                     yield block()
-                    ids, texts, part_of, held = [], [], _Numbered(), 0
+                    ids, texts, held, fresh = [], [], 0, False
+                    if len(part_of) > KEPT_WORDS:
+                        part_of, word_of, fresh = _Numbered(), _Numbered(), True
         if ids:
             yield block()
 
@@ -168,12 +253,18 @@ class _Numbered(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self._next = count()
+        self._new: list[str] = []
 
     def __missing__(self, key: str) -> int:
-        self[key] = at = next(self._next)
+        self[key] = at = len(self)
+        self._new.append(key)
         return at
 
+    def taken(self) -> list[str]:
+        """The keys that are new since the last call."""
+        new, self._new = self._new, []
+        return new
+
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i] + sizes[i] - 1 of all i in turn."""
@@ -185,36 +276,48 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class _Groups:
     """Groups laid end to end in values."""
 
-    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values, self.sizes, self.starts = values, sizes, np.cumsum(sizes) - sizes
+    def __init__(self) -> None:
+        self.values, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+        self.values, self.sizes = np.concatenate([self.values, values]), np.concatenate([self.sizes, sizes])
 
     def of(self, picks: np.ndarray) -> np.ndarray:
         """Those picked, in that order, end to end."""
         return self.values[ragged(self.starts[picks], self.sizes[picks])]
 
 
-def _documents(vocabulary: str, with_ids: bool):
+def _documents(vocabulary: str, with_ids: bool, common):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(vocabulary)
         pieces = {rank: piece for piece, rank in table.items()}
         rank_of_byte = np.arange(1 << 16, dtype=np.int32)
         rank_of_byte[:256] = [table[bytes([b])] for b in range(256)]
         decimal = _Decimal()
+        before = common.value
+        before_starts = np.cumsum(before.sizes) - before.sizes
+        by_word, by_part = _Groups(), _Groups()
         for batch in batches:
             for at in range(batch.num_rows):
                 row = dict(zip(batch.schema.names, (c[at] for c in batch.columns), strict=True))
+                if row["fresh"].as_py():
+                    by_word, by_part = _Groups(), _Groups()
                 numbers = {name: np.frombuffer(row[name].as_py(), "<i4") for name in ("part_words", "part_sizes", "known")}
                 known, encoded = numbers["known"], row["encoded"].values
+                fold, often = known == -1, known < -1
                 sizes = np.ones(len(known), np.int64)
-                sizes[known < 0] = pc.list_value_length(encoded).to_numpy(zero_copy_only=False) if len(encoded) else []
+                sizes[fold] = pc.list_value_length(encoded).to_numpy(zero_copy_only=False) if len(encoded) else []
+                sizes[often] = before.sizes[-2 - known[often]]
                 word_ids = np.empty(int(sizes.sum()), np.int32)
                 starts = np.cumsum(sizes) - sizes
                 word_ids[starts[known >= 0]] = known[known >= 0]
-                word_ids[ragged(starts[known < 0], sizes[known < 0])] = rank_of_byte[encoded.flatten().to_numpy(zero_copy_only=False)] if len(encoded) else []
-                by_word = _Groups(word_ids, sizes)
-                ends = np.concatenate([[0], np.cumsum(sizes[numbers["part_words"]])])
+                word_ids[ragged(starts[fold], sizes[fold])] = rank_of_byte[encoded.flatten().to_numpy(zero_copy_only=False)] if len(encoded) else []
+                word_ids[ragged(starts[often], sizes[often])] = rank_of_byte[before.pieces[ragged(before_starts[-2 - known[often]], sizes[often])]]
+                by_word.add(word_ids, sizes)
+                ends = np.concatenate([[0], np.cumsum(by_word.sizes[numbers["part_words"]])])
                 bounds = np.concatenate([[0], np.cumsum(numbers["part_sizes"])])
-                by_part = _Groups(by_word.of(numbers["part_words"]), ends[bounds[1:]] - ends[bounds[:-1]])
+                by_part.add(by_word.of(numbers["part_words"]), ends[bounds[1:]] - ends[bounds[:-1]])
                 out = []
                 for parts in row["doc_parts"].values:
                     each = by_part.of(np.frombuffer(parts.as_buffer(), "<i4")).tolist()
@@ -243,11 +346,13 @@ def _literal(entries: list[int]) -> Column:
 
 def encode_documents(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, with_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; with_ids adds the ids."""
+    bounded_batches(docs.sparkSession)
     merges, mask = pair_table(ranks(vocabulary))
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(vocabulary, block_chars), _BLOCK)
+    common = docs.sparkSession.sparkContext.broadcast(common_words(docs, vocabulary, merges, mask))
+    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(vocabulary, block_chars, common), _BLOCK)
     encoded = _bound(_literal(merges), lambda m: F.transform("todo", lambda w: folded(w, m, mask)))
-    blocks = blocks.select("doc_ids", "doc_parts", "part_words", "part_sizes", "known", encoded.alias("encoded"))
-    return blocks.mapInArrow(_documents(vocabulary, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    blocks = blocks.select("fresh", "doc_ids", "doc_parts", "part_words", "part_sizes", "known", encoded.alias("encoded"))
+    return blocks.mapInArrow(_documents(vocabulary, with_ids, common), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str = TIKTOKEN_FILE) -> DataFrame:
