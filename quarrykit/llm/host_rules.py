@@ -2,7 +2,7 @@
 
 A document's counts come from its words and lines. A document fails for itself when it has too few
 words or repeats itself. Beyond that, hosts are judged: failures are counted by host, the
-rates' mean and variance over hosts give a beta prior by moments, and each host's
+rates' mean and variance over hosts give a beta prior by moments (worth a document at least), and each host's
 posterior rate is its own rate shrunk towards the prior's mean. All documents of a host
 whose posterior rate is above the limit go.
 
@@ -104,7 +104,7 @@ def host_verdicts(counted: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
     # One row: the beta prior whose mean and variance are those of the hosts' rates.
     prior = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("variance"))
     spread = F.col("mean") * (1 - F.col("mean"))
-    strength = F.when(F.col("variance") > 0, F.greatest(F.lit(0.0), F.least(spread / F.col("variance") - 1, F.lit(1e6)))).otherwise(F.lit(1e6))
+    strength = F.when(F.col("variance") > 0, F.greatest(F.lit(1.0), F.least(spread / F.col("variance") - 1, F.lit(1e6)))).otherwise(F.lit(1e6))
     prior = prior.select((F.col("mean") * strength).alias("a"), ((1 - F.col("mean")) * strength).alias("b"))
     a, b = (prior.select(c).scalar() for c in ("a", "b"))
     posterior = (F.col("failed") + a) / (F.col("n") + a + b)
@@ -134,7 +134,7 @@ m AS (SELECT w.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(le
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY source),
 p AS (SELECT avg(failed / n) AS mean, coalesce(var_samp(failed / n), 0.0) AS v FROM h),
-s AS (SELECT mean, CASE WHEN v > 0 THEN greatest(0.0, least(mean * (1 - mean) / v - 1, 1e6)) ELSE 1e6 END AS strength FROM p),
+s AS (SELECT mean, CASE WHEN v > 0 THEN greatest(1.0, least(mean * (1 - mean) / v - 1, 1e6)) ELSE 1e6 END AS strength FROM p),
 v AS (SELECT source, (failed + mean * strength) / (n + mean * strength + (1 - mean) * strength) AS host_rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.6 AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

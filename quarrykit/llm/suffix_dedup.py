@@ -317,9 +317,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with texts cut as in repeated_bytes; a character that a cut goes through is dropped. Null texts stay."""
     documents, cut = _removals(docs, length, True)
-    changed = documents.select("key", "n_bytes", "copies").dropDuplicates(["key"]).join(cut.select("key", "kept"), "key", "left").filter(f"kept is not null or (copies > 1 and n_bytes >= {length})")
-    changed = changed.select("key", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), F.lit("")).otherwise(F.make_valid_utf8(F.col("kept").cast("string"))).alias("left"))
-    changed = changed.withColumn("left", F.replace("left", F.lit("�"), F.lit("")))
+    all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    changed = documents.select("key", "n_bytes", "copies").dropDuplicates(["key"]).join(cut.select("key", "kept"), "key", "left").filter(F.col("kept").isNotNull() | all_gone)
+    left = F.when(all_gone, F.lit("")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    changed = changed.select(F.col("key").alias("__changed"), left.alias("__left"))
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    joined = keyed.join(changed, keyed["__key"] == changed["key"], "left")
-    return joined.select(*(F.when(F.col("key").isNotNull() & F.col("text").isNotNull(), F.col("left")).otherwise(F.col("text")).alias("text") if c == "text" else keyed[c] for c in docs.columns))
+    text = F.when(F.col("__changed").isNotNull() & F.col("text").isNotNull(), F.col("__left")).otherwise(F.col("text"))
+    return keyed.join(changed, F.col("__key") == F.col("__changed"), "left").withColumn("text", text).select(*docs.columns)
