@@ -91,7 +91,7 @@ def _cells(centres: np.ndarray, n: int):
     return assign
 
 
-def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probes: int = 8, shard_rows: int = 50_000) -> DataFrame:
+def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probes: int = 11, shard_rows: int = 50_000) -> DataFrame:
     """exact_top_k over the n_probes cells nearest to each query; every vector is in one cell. Cells are cut into shards."""
     centres = fit_cells(vectors, n_cells)
     schema = "id long, v array<double>, cell int"
