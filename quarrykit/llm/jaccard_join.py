@@ -7,13 +7,16 @@ shingle among the first of that order (a prefix whose length follows from the th
 the smaller set needs but half of it). Classes with the same prefix and size form a
 group; a prefix shingle's groups are its bucket.
 
-A small bucket gives its pairs of groups whose sizes fit; they are expanded to members, deduplicated,
-filtered by a sketch that bounds the overlap from above, and verified on whole
-sets. A large bucket is cut into blocks of bounded size; a task has two blocks' members with
-their whole sets, filters all their pairs by the sketch in arrays, verifies those whose
-members it hasn't connected yet, and returns connecting links only. So no link between
-components is lost, and what is written grows with members, not with their pairs.
-Shingles that the table knows as common are dealt with a salt.
+A small bucket gives its pairs of groups whose sizes fit, expanded to members and
+deduplicated; those stay whose sketches, which bound the overlap from above, allow the
+threshold. A large bucket is cut into blocks of bounded size; a task has two blocks' sketches
+and returns a spanning forest of the pairs that these allow. The components of both kinds
+of pairs are clusters: sets of different clusters don't link. A cluster's whole sets meet in one task, or
+two blocks of them if it is large; there all pairs that the sketches allow and that
+aren't connected yet are verified, and connecting links are returned. So no link between
+components is lost, a set moves once for each of its cluster's blocks, and what is written
+grows with members, not with their pairs. Shingles that the table knows as common are
+dealt with a salt.
 
 Defined cases: a text without words, or a null one, has no shingles and links with nothing
 (its component is its own doc_id); repeated rows are one class; the smallest doc_id
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import stored
+from quarrykit.llm.common import bounded_batches, stored
 from quarrykit.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -40,10 +43,12 @@ WORDS, PERCENT = 3, 90
 COMMON_ENTRIES, COMMON_IN_TASK, COMMON_OVERALL = 200_000, 4, 40
 #: Groups of a small bucket; members of a block.
 SMALL_BUCKET, BLOCK_MEMBERS = 40, 1500
-SKETCH_BINS = 64
+#: Bins of a sketch: a power of two near an eighth of the set's size, between these. Unlike sets then differ by more than chance
+#: hides, at 0.8 and above.
+LEAST_BINS, MOST_BINS = 64, 4096
 SALTS = 64
-_FLUSH = 6_000_000
-_KEPT_WORDS = 1_000_000
+_FLUSH = 2_500_000
+_KEPT_WORDS = 500_000
 
 
 class _Words(dict):
@@ -76,9 +81,19 @@ def class_id(own: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed=len(own)))))
 
 
+def bins_of(n: int) -> int:
+    return min(MOST_BINS, max(LEAST_BINS, 1 << (n // 8 - 1).bit_length() if n > 8 else 0))
+
+
 def sketch(own: np.ndarray) -> np.ndarray:
-    """Shingles by bin of their hash, at most 255 each."""
-    return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=SKETCH_BINS), 255).astype(np.uint8)
+    """Shingles by the first bits of their hash, at most 255 each."""
+    bins = bins_of(len(own))
+    return np.minimum(np.bincount((own >> np.uint64(65 - bins.bit_length())).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def folded(rows: np.ndarray, bins: int) -> np.ndarray:
+    """Sketches, a row each, in fewer bins."""
+    return rows.reshape(len(rows), bins, -1).sum(2, dtype=np.int32)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -167,7 +182,7 @@ def _prefixes(common, width: int, percent: int):
                 often, order = np.zeros(n, np.int64), np.arange(length)
             first = own[order]
             k = len(first)
-            columns = (first.view(np.int64), np.where(often[order] > 0, gid % SALTS, 0).astype(np.int32), np.full(k, class_id(first)), np.full(k, gid), np.full(k, n), np.arange(k) < short)
+            columns = (first.view(np.int64), np.where(often[order] > 0, 1 + gid % SALTS, 0).astype(np.int32), np.full(k, class_id(first)), np.full(k, gid), np.full(k, n), np.arange(k) < short)
             for column, part in zip(held, columns, strict=True):
                 column.append(part)
             n_held += k
@@ -240,8 +255,35 @@ def _group_pairs(percent: int):
     return run
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(-1)
+class Sketches:
+    """Sketches of one or more numbers of bins. Two are compared in the fewer bins of both, which bounds |A xor B| from below."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray, percent: int) -> None:
+        self.bins, self.sizes, self.percent = np.array([len(r) for r in raw]), sizes, percent
+        self.tables: dict[int, np.ndarray] = {}
+        present = sorted(set(self.bins.tolist()))
+        for bins in present:
+            fine = np.flatnonzero(self.bins >= bins)
+            table = np.zeros((len(raw), bins), np.int32)
+            for own in present:
+                at = fine[self.bins[fine] == own]
+                if len(at):
+                    table[at] = folded(np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), own), bins)
+            self.tables[bins] = table
+
+    def apart(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out, fewer = np.zeros(len(one), np.int64), np.minimum(self.bins[one], self.bins[two])
+        for bins, table in self.tables.items():
+            at = np.flatnonzero(fewer == bins)
+            for a in range(0, len(at), 4096):
+                part = at[a : a + 4096]
+                out[part] = np.abs(table[one[part]] - table[two[part]]).sum(1)
+        return out
+
+    def fit(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs may reach the threshold, and how far apart they are: |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) if they do."""
+        far = self.apart(one, two)
+        return far * (100 + self.percent) <= (100 - self.percent) * (self.sizes[one] + self.sizes[two]), far
 
 
 def _sketch_fits(percent: int):
@@ -249,12 +291,11 @@ def _sketch_fits(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH_BINS) for k in (2, 3))
-                both = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-                # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) if the Jaccard similarity is t or more.
-                keep = _apart(one, two) * (100 + percent) <= (100 - percent) * both
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            n = batch.num_rows
+            if n:
+                both = Sketches(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(4).to_numpy(), batch.column(5).to_numpy()]), percent)
+                keep = pa.array(both.fit(np.arange(n), np.arange(n, 2 * n))[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
@@ -264,40 +305,64 @@ def links(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(one) + len(two) - shared)
 
 
+def _connecting(n: int, sides: np.ndarray, allowed, proves) -> list[tuple[int, int]]:
+    """Pairs of 0..n-1 that connect what the pairs that hold connect. allowed(i): the later ones that may pair with i, and how far they are;
+    proves(i, j) decides. Of two sides, only pairs across count."""
+    label, found = np.arange(n), []
+    across = len(np.unique(sides)) > 1
+    for i in range(n - 1):
+        fit, far = allowed(i)
+        fit &= label[i + 1 :] != label[i]
+        if across:
+            fit &= sides[i + 1 :] != sides[i]
+        at = np.flatnonzero(fit)
+        for j in (at[np.argsort(far[at], kind="stable")] + i + 1).tolist():
+            if label[j] != label[i] and proves(i, j):
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+    return found
+
+
+def _pairs_table(gids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([int(gids[f[k]]) for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _by_sketch(raw: list[bytes], sizes: np.ndarray, percent: int):
+    sketches, n = Sketches(raw, sizes, percent), len(raw)
+    return lambda i: sketches.fit(np.full(n - i - 1, i), np.arange(i + 1, n))
+
+
+def _sketch_forest(percent: int):
+    """Of a bucket's block, or two: pairs that connect what the sketches allow."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        allowed = _by_sketch(table["sketch"].to_pylist(), table["n"].to_numpy(), percent)
+        found = _connecting(table.num_rows, table["side"].to_numpy(), allowed, lambda i, j: True)
+        return _pairs_table(table["gid"].to_numpy(), found)
+
+    return run
+
+
 def _block_links(percent: int):
-    """Links that connect what links among a block's members, or between two blocks'."""
+    """Of a cluster's block, or two: links that connect what links."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        gids = table["gid"].to_numpy()
-        sides = table["side"].to_numpy()
-        sets = [np.array(s, np.int64) for s in table["own"].to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        bins = np.array([sketch(s.view(np.uint64)) for s in sets])
-        root = list(range(len(sets)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        found = []
-        across = len(set(sides.tolist())) > 1
-        for i in range(len(sets) - 1):
-            near = _apart(bins[i], bins[i + 1 :])
-            fit = near * (100 + percent) <= (100 - percent) * (sizes[i] + sizes[i + 1 :])
-            if across:
-                fit &= sides[i + 1 :] != sides[i]
-            for j in (np.flatnonzero(fit)[np.argsort(near[fit], kind="stable")] + i + 1).tolist():
-                a, b = find(i), find(j)
-                if a != b and links(sets[i], sets[j], percent):
-                    root[b] = a
-                    found.append((int(gids[i]), int(gids[j])))
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        sets = [np.array(s.values) for s in table["own"]]
+        allowed = _by_sketch([sketch(s.view(np.uint64)).tobytes() for s in sets], np.array([len(s) for s in sets]), percent)
+        found = _connecting(len(sets), table["side"].to_numpy(), allowed, lambda i, j: links(sets[i], sets[j], percent))
+        return _pairs_table(table["gid"].to_numpy(), found)
 
     return run
 
 
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, gid) of more than one a key, dealt to pairs of blocks: key, i, j, side, gid."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    dealt = rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int")).withColumn("side", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(key, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "gid")
+
+
 def _class_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -314,6 +379,7 @@ def _class_sets(width: int):
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, gid (the class; null without shingles) of each document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select("doc_id", "text")
     first = stored(texts.mapInArrow(_first_pass(width), _FIRST), "shingle-classes")
     documents = first.filter("token is null").select("doc_id", "n", "gid", "sketch")
@@ -330,25 +396,17 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     sketches = classes.select("gid", "sketch", "n")
     one, two = (sketches.select(F.col("gid").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     pairs = candidates.filter("b is not null").select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb")
-    pairs = stored(pairs.mapInArrow(_sketch_fits(percent), "a long, b long"), "pairs")
-    large = candidates.filter("b is null").select("token", F.col("a").alias("gid"))
-    # Of a common shingle's bucket with one member, nothing is to be compared.
-    sizes = large.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    large = stored(large.join(sizes, "token"), "large-buckets")
+    pairs = pairs.mapInArrow(_sketch_fits(percent), "a long, b long")
+    large = _in_blocks(candidates.filter("b is null").select("token", F.col("a").alias("gid")), "token").join(sketches, "gid")
+    forest = large.groupBy("token", "i", "j").applyInArrow(_sketch_forest(percent), "a long, b long")
+    clusters = stored(components(stored(pairs.unionByName(forest).distinct(), "pairs"), "a", "b").select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "clusters")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).unionByName(large.select("gid")).distinct()
+    wanted = clusters.select("gid")
     least = classes.join(wanted, "gid").select(F.coalesce("least", F.lit(-1)).alias("key")).distinct()
     own = texts.withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(least, "key").select("doc_id", "text")
-    sets = stored(own.mapInArrow(_class_sets(width), "gid long, own array<long>").join(wanted, "gid").dropDuplicates(["gid"]), "sets")
-
-    left, right = (sets.select(F.col("gid").alias(k), F.col("own").alias(f"o{k}")) for k in "ab")
-    shared = F.size(F.array_intersect("oa", "ob"))
-    linked = pairs.join(left, "a").join(right, "b").filter(100 * shared >= percent * (F.size("oa") + F.size("ob") - shared)).select("a", "b")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
-    large = large.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "gid")
-    more = large.join(sets, "gid").groupBy("token", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    edges = stored(linked.unionByName(more).distinct(), "links")
+    sets = own.mapInArrow(_class_sets(width), "gid long, own array<long>").join(wanted, "gid").dropDuplicates(["gid"])
+    blocks = _in_blocks(clusters, "cluster").join(stored(sets, "sets"), "gid")
+    edges = stored(blocks.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "links")
 
     roots = components(edges, "a", "b")
     named = roots.join(classes, roots["node"] == classes["gid"]).groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select(F.col("node").alias("gid"), "component_id")
