@@ -31,6 +31,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     lost executor costs a reread and no recomputation."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    # Spark removes a finished job's shuffle files once the driver has collected its objects, which may take it
+    # half an hour to come to.
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,6 @@ id's query, and an id with several vectors asks with each, its answers ranked to
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from quarrykit.llm.common import stored
 
 LEAF_ROWS = 512
 SHARD_ROWS = 20_000
-BLOCK_QUERIES = 4_000
+BLOCK_QUERIES = 16_000
 _FOUND = "query_id long, vec_id long, score long"
 
 
