@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -33,19 +34,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarrykit.llm.common import bounded_batches
-from quarrykit.llm.tokens import TIKTOKEN_FILE, ranks, split_text, words_pattern
+from quarrykit.llm.tokens import TIKTOKEN_FILE, has_adjacent_space, ranks, split_text, words_pattern
 
 #: Characters of text in a block, and words that a task keeps before it starts over.
-BLOCK_CHARS, KEPT_WORDS = 4_000_000, 1_000_000
+BLOCK_CHARS, KEPT_WORDS = 3_000_000, 800_000
 
 #: Words that are folded once for all tasks, and the tasks and characters a task of the sample that they are chosen from.
-COMMON_WORDS, SAMPLE_TASKS, SAMPLE_CHARS = 200_000, 64, 1_500_000
+COMMON_WORDS, SAMPLE_TASKS, SAMPLE_CHARS = 600_000, 64, 1_500_000
 
 _BLOCK = "fresh boolean, doc_ids array<bigint>, doc_parts array<binary>, part_words binary, part_sizes binary, known binary, todo array<array<bigint>>"
 
@@ -144,7 +146,7 @@ def folded(word: Column, merges: Column, mask: int) -> Column:
 
     def element(left: Column, right: Column, placed: Column) -> Column:
         """placed, a place and its piece (left), with what left and right merge to."""
-        rank = F.coalesce(_bound(F.shiftleft(left, 16).bitwiseOR(right), lambda pair: _rank(pair, merges, mask)), F.lit(_NONE))
+        rank = _bound(F.shiftleft(left, 16).bitwiseOR(right), lambda pair: _rank(pair, merges, mask))
         return F.shiftleft(rank.cast("long"), _RANK_AT).bitwiseOR(placed)
 
     def merged(state: Column, least: Column) -> Column:
@@ -166,12 +168,22 @@ def folded(word: Column, merges: Column, mask: int) -> Column:
 
 @dataclass
 class Common:
-    """Words folded beforehand: their pieces end to end, and how many each has."""
+    """Words folded beforehand, by hash: two hashes of each, its pieces end to end, and how many it has. About 40 bytes a word."""
 
-    words: list[str]
+    hashes: np.ndarray
+    checks: np.ndarray
     pieces: np.ndarray
     sizes: np.ndarray
 
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, or -1."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where((self.hashes[at] == hashes) & (self.checks[at] == checks), at, -1)
+
 
 def common_words(docs: DataFrame, vocabulary: str, merges: list[int], mask: int) -> Common:
     """The commonest words of a sample: the first characters of the first tasks."""
@@ -187,20 +199,27 @@ def common_words(docs: DataFrame, vocabulary: str, merges: list[int], mask: int)
                     break
             if left <= 0:
                 break
-        kept = [(w, n) for w, n in counts.items() if n > 1 and len(w.encode()) > 1 and w.encode() not in direct]
+        kept = [(w, n) for w, n in counts.items() if 1 < len(w) <= 64 and w.encode() not in direct]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes = byte_ranks(ranks(vocabulary))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), word_arrays([w.encode() for w in batch.column(0).to_pylist()], of_bytes)], names=["word", "state"])
+            words = [w.encode() for w in batch.column(0).to_pylist()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(map(zlib.crc32, words), pa.int64()), word_arrays(words, of_bytes)], names=["hash", "crc", "state"])
 
     chosen = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     # The limit leaves one task; the fold wants all.
-    spread = chosen.select("word").repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism))
-    made = spread.mapInArrow(arrays, "word string, state array<bigint>").select("word", _bound(_literal(merges), lambda m: folded(F.col("state"), m, mask)).alias("pieces")).toArrow().combine_chunks()
+    spread = chosen.select("word").repartition(max(2, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    folds = spread.mapInArrow(arrays, "hash long, crc long, state array<bigint>").select("hash", "crc", _bound(_literal(merges), lambda m: folded(F.col("state"), m, mask)).alias("pieces"))
+    made = folds.toArrow().combine_chunks()
+    hashes, crcs = made["hash"].to_numpy().view(np.uint64), made["crc"].to_numpy().astype(np.uint32)
     pieces = made["pieces"].combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32()))
-    return Common(made["word"].to_pylist(), pieces.flatten().to_numpy().astype("<i4"), pc.list_value_length(pieces).to_numpy().astype(np.int64))
+    order = np.argsort(hashes, kind="stable")
+    sizes = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+    flat = pieces.flatten().to_numpy()[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])]
+    return Common(hashes[order], crcs[order], flat.astype(np.uint16), sizes[order].astype(np.uint16))
 
 
 def _blocks(vocabulary: str, block_chars: int, common):
@@ -210,23 +229,25 @@ def _blocks(vocabulary: str, block_chars: int, common):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct, pattern = ranks(vocabulary), words_pattern()
         of_bytes = byte_ranks(direct)
-        at_common = {w: -2 - i for i, w in enumerate(common.value.words)}
-        part_of, word_of, fresh = _Numbered(), _Numbered(), True
+        before = common.value
+        parts, word_of, fresh = _Parts(), _Numbered(), True
         ids: list = []
         texts: list[bytes] = []
         held = 0
 
         def block() -> pa.RecordBatch:
             flat, sizes = array("i"), array("i")
-            for part in part_of.taken():
+            for part in parts.taken():
                 refs = [word_of[w] for w in pattern.findall(part)]
                 flat.extend(refs)
                 sizes.append(len(refs))
-            texts_of = word_of.taken()
-            words = [w.encode() for w in texts_of]
+            words = [w.encode() for w in word_of.taken()]
             # A rank; or, below -1, a common word; or -1, a word to fold.
-            known = array("i", (direct[w] if w in direct else at_common.get(t, -1) for w, t in zip(words, texts_of, strict=True)))
-            todo = word_arrays([w for w, rank in zip(words, known, strict=True) if rank == -1], of_bytes)
+            known = np.fromiter((direct.get(w, -1) for w in words), np.int32, len(words))
+            other = np.flatnonzero(known < 0)
+            number = before.find([words[i] for i in other])
+            known[other[number >= 0]] = -2 - number[number >= 0]
+            todo = word_arrays([words[i] for i in other[number < 0]], of_bytes)
             row = [fresh, ids, texts, flat.tobytes(), sizes.tobytes(), known.tobytes()]
             made = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
             return pa.RecordBatch.from_arrays([*made, pa.ListArray.from_arrays(pa.array([0, len(todo)], pa.int32()), todo)], names=names)
@@ -235,13 +256,13 @@ def _blocks(vocabulary: str, block_chars: int, common):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 ids.append(doc_id)
-                texts.append(array("i", map(part_of.__getitem__, split_text(text))).tobytes())
+                texts.append(parts.of(text).tobytes())
                 held += len(text) + 100
                 if held >= block_chars:
                     yield block()
                     ids, texts, held, fresh = [], [], 0, False
-                    if len(part_of) > KEPT_WORDS:
-                        part_of, word_of, fresh = _Numbered(), _Numbered(), True
+                    if len(parts) > KEPT_WORDS:
+                        parts, word_of, fresh = _Parts(), _Numbered(), True
         if ids:
             yield block()
 
@@ -266,6 +287,44 @@ class _Numbered(dict):
         return new
 
 
+class _Parts:
+    """Numbers the parts that split_text cuts a text into. Those that begin with a space are looked up without it."""
+
+    def __init__(self) -> None:
+        self._new: list[str] = []
+        self._n = 0
+        self._spaced, self._plain = _Shared(self, " "), _Shared(self, "")
+
+    def __len__(self) -> int:
+        return self._n
+
+    def added(self, part: str) -> int:
+        self._new.append(part)
+        self._n += 1
+        return self._n - 1
+
+    def of(self, text: str) -> array:
+        if has_adjacent_space(text):
+            return array("i", map(self._plain.__getitem__, split_text(text)))
+        first, *rest = text.split(" ")
+        head = [self._plain[first]] if first else []
+        return array("i", head + list(map(self._spaced.__getitem__, rest)))
+
+    def taken(self) -> list[str]:
+        new, self._new = self._new, []
+        return new
+
+
+class _Shared(dict):
+    def __init__(self, parts: _Parts, before: str) -> None:
+        super().__init__()
+        self._parts, self._before = parts, before
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = self._parts.added(self._before + key)
+        return at
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i] + sizes[i] - 1 of all i in turn."""
     ends = np.cumsum(sizes)
@@ -296,7 +355,8 @@ def _documents(vocabulary: str, with_ids: bool, common):
         rank_of_byte[:256] = [table[bytes([b])] for b in range(256)]
         decimal = _Decimal()
         before = common.value
-        before_starts = np.cumsum(before.sizes) - before.sizes
+        before_sizes = before.sizes.astype(np.int64)
+        before_starts = np.cumsum(before_sizes) - before_sizes
         by_word, by_part = _Groups(), _Groups()
         for batch in batches:
             for at in range(batch.num_rows):
@@ -308,7 +368,7 @@ def _documents(vocabulary: str, with_ids: bool, common):
                 fold, often = known == -1, known < -1
                 sizes = np.ones(len(known), np.int64)
                 sizes[fold] = pc.list_value_length(encoded).to_numpy(zero_copy_only=False) if len(encoded) else []
-                sizes[often] = before.sizes[-2 - known[often]]
+                sizes[often] = before_sizes[-2 - known[often]]
                 word_ids = np.empty(int(sizes.sum()), np.int32)
                 starts = np.cumsum(sizes) - sizes
                 word_ids[starts[known >= 0]] = known[known >= 0]

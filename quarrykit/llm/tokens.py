@@ -48,6 +48,10 @@ def hf_tokenizer(path: str):
 _ADJACENT_SPACE = re.compile(r"\s\s")
 
 
+def has_adjacent_space(text: str) -> bool:
+    return _ADJACENT_SPACE.search(text) is not None
+
+
 def split_text(text: str) -> list[str]:
     """text cut at places where PATTERN always ends one match and begins the next.
 
@@ -55,7 +59,7 @@ def split_text(text: str) -> list[str]:
     match. Where white space stands side by side, the matches of PATTERN themselves
     are returned. Joined, the parts give text again, and the matches of the
     parts are those of the text."""
-    if _ADJACENT_SPACE.search(text):
+    if has_adjacent_space(text):
         return words_pattern().findall(text)
     first, *rest = text.split(" ")
     parts = [f" {part}" for part in rest]
