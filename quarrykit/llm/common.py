@@ -34,7 +34,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     # Spark removes a finished job's shuffle files once the driver has collected its objects, which may take it
     # half an hour to come to.
     df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes tables that stored() made and that nothing is to be read from again."""
+    for df in tables:
+        drop_path(df.sparkSession, df._stored_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -42,6 +50,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def trimmed(fn):
+    """fn, a map over batches, that gives a worker's free memory back when its task ends: workers live on."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 #: Rows of texts that a Python worker gets at a time; Spark's own 10,000 take a third of a small executor's memory.
 BATCH_ROWS = 1000
 

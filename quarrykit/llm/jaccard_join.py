@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import bounded_batches, stored
+from quarrykit.llm.common import bounded_batches, drop_stored, stored, trimmed
 from quarrykit.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -48,7 +48,7 @@ SMALL_BUCKET, BLOCK_MEMBERS = 40, 1500
 LEAST_BINS, MOST_BINS = 64, 4096
 SALTS = 64
 _FLUSH = 2_500_000
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 250_000
 
 
 class _Words(dict):
@@ -381,7 +381,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select("doc_id", "text")
-    first = stored(texts.mapInArrow(_first_pass(width), _FIRST), "shingle-classes")
+    first = stored(texts.mapInArrow(trimmed(_first_pass(width)), _FIRST), "shingle-classes")
     documents = first.filter("token is null").select("doc_id", "n", "gid", "sketch")
     classes = stored(documents.filter("gid is not null").groupBy("gid", "n").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "classes")
 
@@ -390,8 +390,8 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     tokens, counts = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(tokens)
     common = spark.sparkContext.broadcast((tokens[order], counts[order]))
-    dealt = texts.mapInArrow(_prefixes(common, width, percent), _PREFIX).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "prefix", "gid")
-    candidates = stored(dealt.mapInArrow(_group_pairs(percent), _CANDIDATES), "candidates")
+    dealt = texts.mapInArrow(trimmed(_prefixes(common, width, percent)), _PREFIX).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "prefix", "gid")
+    candidates = stored(dealt.mapInArrow(trimmed(_group_pairs(percent)), _CANDIDATES), "candidates")
 
     sketches = classes.select("gid", "sketch", "n")
     one, two = (sketches.select(F.col("gid").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
@@ -399,14 +399,18 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     pairs = pairs.mapInArrow(_sketch_fits(percent), "a long, b long")
     large = _in_blocks(candidates.filter("b is null").select("token", F.col("a").alias("gid")), "token").join(sketches, "gid")
     forest = large.groupBy("token", "i", "j").applyInArrow(_sketch_forest(percent), "a long, b long")
-    clusters = stored(components(stored(pairs.unionByName(forest).distinct(), "pairs"), "a", "b").select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "clusters")
+    near = stored(pairs.unionByName(forest).distinct(), "pairs")
+    clusters = stored(components(near, "a", "b").select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "clusters")
+    drop_stored(candidates, near)
 
     wanted = clusters.select("gid")
     least = classes.join(wanted, "gid").select(F.coalesce("least", F.lit(-1)).alias("key")).distinct()
     own = texts.withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(least, "key").select("doc_id", "text")
-    sets = own.mapInArrow(_class_sets(width), "gid long, own array<long>").join(wanted, "gid").dropDuplicates(["gid"])
-    blocks = _in_blocks(clusters, "cluster").join(stored(sets, "sets"), "gid")
+    sets = own.mapInArrow(trimmed(_class_sets(width)), "gid long, own array<long>").join(wanted, "gid").dropDuplicates(["gid"])
+    sets = stored(sets, "sets")
+    blocks = _in_blocks(clusters, "cluster").join(sets, "gid")
     edges = stored(blocks.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "links")
+    drop_stored(sets, clusters)
 
     roots = components(edges, "a", "b")
     named = roots.join(classes, roots["node"] == classes["gid"]).groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select(F.col("node").alias("gid"), "component_id")
@@ -419,4 +423,4 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     that repeat an id, one stays if its component's id is that id."""
     placed = jaccard_components(docs, width, percent)
     gone = placed.filter(F.col("component_id").isNotNull() & F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

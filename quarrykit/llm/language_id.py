@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quarrykit.llm.common import bounded_batches
+from quarrykit.llm.common import bounded_batches, trimmed
 
 SAMPLE_DOCS = 2000
 MIN_DOC_SHARE = 0.01
@@ -37,7 +37,7 @@ FILTER_BITS = 20
 N_HASHES = 3
 #: Fixed odd multipliers, one a hash.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_TEXT_TOGETHER = 1_500_000
+_TEXT_TOGETHER = 700_000
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float =
     if languages:
         # One row a language, as chosen has.
         least = docs.sparkSession.createDataFrame([(lang, max(2.0 if n > 20 else 1.0, min_doc_share * n), i) for i, (lang, n) in enumerate(sorted(sizes.items()))], "lang string, least double, number int")
-        counted = sample.mapInArrow(_counted, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+        counted = sample.mapInArrow(trimmed(_counted), "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
         kept = counted.join(F.broadcast(least), "lang").filter("docs >= least").select("gram", "number")
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, filters: Filters, bits: int = FILTER_BITS) -> DataF
             preds, scores = told(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(say, schema)
+    return docs.mapInArrow(trimmed(say), schema)
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float = MIN_DOC_SHARE) -> DataFrame:

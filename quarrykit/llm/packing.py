@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import bounded_batches, stored
+from quarrykit.llm.common import bounded_batches, stored, trimmed
 from quarrykit.llm.tokens import TIKTOKEN_FILE, tiktoken_encoding
 
 WINDOW = 2048
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, window: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tokenise, PIECES + ", ids array<long>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(tokenise), PIECES + ", ids array<long>" * with_ids)
 
 
 def combinations(present: list[int], window: int = WINDOW, per_length: int = 24) -> list[tuple[int, ...]]:

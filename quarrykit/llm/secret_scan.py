@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarrykit.llm.common import bounded_batches
+from quarrykit.llm.common import bounded_batches, trimmed
 from quarrykit.llm.tokens import TIKTOKEN_FILE, tiktoken_encoding
 
 KINDS = ("assign", "access", "hex", "random")
@@ -85,7 +85,7 @@ def secret_spans(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, max_ratio: fl
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(scan), SCHEMA)
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", vocabulary: str = TIKTOKEN_FILE, max_ratio: float = 2.0) -> DataFrame:
@@ -114,4 +114,4 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", vocabulary: str = TIKT
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(scrub, schema)
+    return docs.mapInArrow(trimmed(scrub), schema)

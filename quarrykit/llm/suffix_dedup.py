@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import bounded_batches, stored
+from quarrykit.llm.common import bounded_batches, drop_stored, stored, trimmed
 from quarrykit.llm.suffix_arrays import repeated_starts, words_at
 
 LENGTH, PIECE = 400, 64
 #: Bytes of texts handled in one array, and of fragments in one suffix array.
-TOGETHER, SHARD_BYTES = 2_000_000, 2_000_000
+TOGETHER, SHARD_BYTES = 1_000_000, 1_000_000
 #: Places of an anchor above which it is split by its windows' cores, of CORE windows each.
 HOT_PLACES, CORE = 20_000, 16
 _SEPARATOR = b"\xff"  # no byte of UTF-8
@@ -289,16 +289,18 @@ def _removals(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame,
     """Documents (doc_id, key, n_bytes, sha256) with copies, and the texts that lose something."""
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    first = stored(texts.mapInArrow(_first_pass(length), _FIRST), "anchors")
+    first = stored(texts.mapInArrow(trimmed(_first_pass(length)), _FIRST), "anchors")
     distinct = stored(first.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max_by("spots", F.size("spots")).alias("spots")), "distinct-texts")
     spots = distinct.select("key", F.inline("spots"))
     places = spots.groupBy("h").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("h", (F.col("places") > HOT_PLACES).alias("hot"))
     wanted = spots.join(places, "h").groupBy("key").agg(F.collect_list(F.struct("h", "first", "n", "at", "hot")).alias("spots"))
     moved = texts.select("text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")).join(wanted, "key").select("key", "text", "spots")
     candidates = stored(moved, "candidate-texts")
-    fragments = candidates.mapInArrow(_fragments(length), _FRAGMENT).repartition("h", "salt").sortWithinPartitions("h", "salt")
-    runs = fragments.mapInArrow(_shards(length, SHARD_BYTES), _RUN).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "stop")).alias("runs"))
-    cut = candidates.select("key", "text").join(runs, "key").select("key", "text", "runs").mapInArrow(_cut(length, with_text), "key binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).dropDuplicates(["key"])
+    fragments = candidates.mapInArrow(trimmed(_fragments(length)), _FRAGMENT).repartition("h", "salt").sortWithinPartitions("h", "salt")
+    runs = fragments.mapInArrow(trimmed(_shards(length, SHARD_BYTES)), _RUN).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "stop")).alias("runs"))
+    cut = candidates.select("key", "text").join(runs, "key").select("key", "text", "runs").mapInArrow(trimmed(_cut(length, with_text)), "key binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).dropDuplicates(["key"])
+    cut = stored(cut, "cut-texts")
+    drop_stored(candidates)
     return first.select("doc_id", "key", "n_bytes", "sha256").join(distinct.select("key", "copies"), "key"), cut
 
 
