@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.functions.text import CONTEXT_CLOSE, CONTEXT_OPEN
+
 # Fixed value: the answer where nothing was found.
-NO_EVIDENCE = "I could not find enough relevant information in the repository to answer this question."
+NO_EVIDENCE = "I could not find relevant repository evidence for this question."
 
 
 @dataclass(frozen=True)
@@ -21,8 +23,8 @@ class Providers:
 
 
 def contexts(questions: DataFrame, packed: DataFrame, block: str) -> DataFrame:
-    """query_id, query, context (null where nothing is packed): blocks in order, a blank line apart."""
-    joined = packed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_no", block))), lambda b: b[block]), "\n\n").alias("context"))
+    """query_id, query, context (null where nothing is packed): blocks in order, a blank line apart, in their frame."""
+    joined = packed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_no", block))), lambda b: b[block]), "\n\n").alias("context")).withColumn("context", F.concat(F.lit(CONTEXT_OPEN), "context", F.lit("\n" + CONTEXT_CLOSE)))
     return questions.join(joined, "query_id", "left")
 
 

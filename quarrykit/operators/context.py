@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.functions.text import CHARS_PER_TOKEN
+from quarrykit.functions.text import CHARS_PER_TOKEN, CONTENT_OPEN, CONTEXT_CLOSE, CONTEXT_OPEN, CUT_CONTENT_OPEN
+from quarrykit.operators.chunking import split_lines
 from quarrykit.operators.ranking import keep_first, within
 
 CONTEXT_CHARS, CONTEXT_TOKENS, RADIUS = 20_000, 4_000, 1
@@ -16,7 +17,7 @@ CONTEXT_CHARS, CONTEXT_TOKENS, RADIUS = 20_000, 4_000, 1
 
 def neighbours(seeds: DataFrame, chunks: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Chunks near a seed in its file: query_id, path, chunk_index, seed_rank, distance, origin (1: a fragment of the seed's
-    symbol, 2: another chunk); each once, by its best seed; seeds aren't among them. seeds: query_id, path, chunk_index, rank, strategy, symbol."""
+    symbol, 2: another chunk; symbol is a structural fragment's qualified name, else null); each once, by its best seed; seeds aren't among them. seeds: query_id, path, chunk_index, rank, strategy, symbol."""
     steps = F.array(*(F.lit(o) for o in sorted((o for o in range(-radius, radius + 1) if o), key=lambda o: (abs(o), o))))
     near = seeds.select("query_id", "path", F.col("rank").alias("seed_rank"), "strategy", F.col("symbol").alias("seed_symbol"), F.col("chunk_index").alias("seed_index"), F.explode(steps).alias("offset"))
     near = near.withColumn("chunk_index", F.col("seed_index") + F.col("offset")).withColumn("distance", F.abs("offset"))
@@ -50,22 +51,30 @@ def cut_to(content: str, room: int) -> str:
     return kept[: ends + 1] if 0 <= ends < len(kept) - 1 else kept
 
 
-def _packed(budget: int, markup: Callable[[pd.Series, int], int]):
+def default_markup(row, number: int, cut: bool = False) -> int:
+    """Characters of a source block around its content."""
+    language = getattr(row, "language", None)
+    opening = CUT_CONTENT_OPEN if cut else CONTENT_OPEN
+    return len(f'<source id="S{number}">\n<path></path>\n<lines>{row.start_line}-{row.end_line}</lines>\n{opening}</content>\n</source>') + _escaped(row.path) + (0 if language is None else len("<language></language>\n") + _escaped(language))
+
+
+def _packed(budget: int, markup: Callable):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["origin", "seed_rank", "distance", "path", "chunk_index"])
         out, total = [], 0
         for row in rows.itertuples():
             if row.origin and any(p["path"] == row.path and p["start_line"] <= row.start_line and row.end_line <= p["end_line"] for p in out):
                 continue
-            overhead, content, end = markup(row, len(out) + 1), row.content, row.end_line
-            tokens = -(-(overhead + _escaped(content)) // CHARS_PER_TOKEN)
+            content, end = row.content, row.end_line
+            tokens = -(-(markup(row, len(out) + 1) + _escaped(content)) // CHARS_PER_TOKEN)
             short = total + tokens > budget
             if short:
                 if out:
                     continue
-                content = cut_to(content, CHARS_PER_TOKEN * budget - overhead)
-                end = min(end, row.start_line + max(0, len(content.splitlines()) - 1))
-                tokens = -(-(overhead + _escaped(content)) // CHARS_PER_TOKEN)
+                around = markup(row, 1, True)
+                content = cut_to(content, CHARS_PER_TOKEN * budget - around)
+                end = min(end, row.start_line + max(0, len(split_lines(content)) - 1))
+                tokens = -(-(around + _escaped(content)) // CHARS_PER_TOKEN)
             total += tokens
             out.append({"query_id": row.query_id, "source_no": len(out) + 1, "path": row.path, "chunk_index": row.chunk_index, "start_line": row.start_line, "end_line": end, "origin": row.origin, "tokens": tokens, "truncated": short})
         return pd.DataFrame(out, columns=["query_id", "source_no", "path", "chunk_index", "start_line", "end_line", "origin", "tokens", "truncated"])
@@ -73,11 +82,6 @@ def _packed(budget: int, markup: Callable[[pd.Series, int], int]):
     return pack
 
 
-def default_markup(row, number: int) -> int:
-    """Characters of a source block around its content."""
-    return len(f'<source id="S{number}" path="" lines="{row.start_line}-{row.end_line}">\n\n</source>') + _escaped(row.path)
-
-
 def pack_greedy(rows: DataFrame, budget_tokens: int = CONTEXT_TOKENS, markup: Callable = default_markup) -> DataFrame:
     """Candidates packed one by one: what doesn't fit is passed over, what packed ones contain is left out, the first is cut
     to fit. A group is one query's seeds and neighbours, a bounded number."""
@@ -85,6 +89,11 @@ def pack_greedy(rows: DataFrame, budget_tokens: int = CONTEXT_TOKENS, markup: Ca
     return rows.groupBy("query_id").applyInPandas(_packed(budget_tokens, markup), schema)
 
 
-def pack_until_full(ranked: DataFrame, block_chars: str, max_chars: int = CONTEXT_CHARS, frame_chars: int = 0) -> DataFrame:
-    """Ranked rows whose blocks, two characters apart, fit max_chars; stops at the first that doesn't. The first stays."""
+#: Characters around the blocks of a context.
+FRAME_CHARS = len(CONTEXT_OPEN) + 1 + len(CONTEXT_CLOSE)
+
+
+def pack_until_full(ranked: DataFrame, block_chars: str, max_chars: int = CONTEXT_CHARS, frame_chars: int = FRAME_CHARS) -> DataFrame:
+    """Ranked rows whose blocks, two characters apart, fit max_chars with their frame; stops at the first that doesn't. The
+    first stays (and is to be cut to max_chars less the frame)."""
     return within(ranked, ["query_id"], ["rank"], F.col(block_chars) + 2, max_chars - frame_chars + 2)

@@ -19,6 +19,11 @@ def query_identifiers(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", F.col("i.text").alias("identifier"), F.col("i.qualified").alias("qualified"), F.col("i.strong").alias("strong"))
 
 
+def exact_identifier_queries(queries: DataFrame) -> DataFrame:
+    """Queries that are one identifier and nothing else: they need no corroboration."""
+    return queries.filter(F.exists(identifiers(F.col("query")), lambda i: i["text"] == F.trim("query")))
+
+
 def symbol_search(chunks: DataFrame, wanted: DataFrame, limit: int = SYMBOL_LIMIT) -> DataFrame:
     """query_id, rank, tier, identifier, path, chunk_index. Tier 0: a qualified name, 1: a simple one that looks like code, 2: a plain
     word. chunks: path, chunk_index, symbol, qualified. Of a symbol's fragments in a file the first counts, before the limit."""

@@ -151,7 +151,7 @@ def context_pack_greedy_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CHUNKS + """, z AS (SELECT query_id, path, chunk_index, rank, length(content) AS chars FROM s WHERE rank <= 50),
 r AS (SELECT *, sum(chars + 2) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM z)
-SELECT CAST(query_id AS BIGINT) AS query_id, path, chunk_index, CAST(rank AS INTEGER) AS rank, CAST(chars AS INTEGER) AS chars FROM r WHERE total <= 20002 OR rank = 1""")
+SELECT CAST(query_id AS BIGINT) AS query_id, path, chunk_index, CAST(rank AS INTEGER) AS rank, CAST(chars AS INTEGER) AS chars FROM r WHERE total <= 20002 - 66 OR rank = 1""")
 def context_pack_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = _seeds(spark, sf_dir, 50)[0].withColumn("chars", F.char_length("content"))
     return context.pack_until_full(seeds, "chars").select("query_id", "path", "chunk_index", "rank", "chars")
@@ -288,8 +288,8 @@ def find_symbol_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("kind", searching.declaration_kind(F.col("line"), "Of")).filter("kind is not null").select("path", "line_number", "kind")
 
 
-@query("""SELECT page_id, sha256(concat('<source id="S', page_id, '" path="', e(url), '" lines="1-1">', chr(10), e(html), chr(10), '</source>')) AS block_hash,
-CAST(ceil(length(concat('<source id="S', page_id, '" path="', e(url), '" lines="1-1">', chr(10), e(html), chr(10), '</source>')) / 4.0) AS BIGINT) AS tokens FROM pages""".replace("e(url)", "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')").replace("e(html)", "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"))
+@query("""SELECT page_id, sha256(concat('<source id="S', page_id, '">', chr(10), '<path>', e(url), '</path>', chr(10), '<lines>1-1</lines>', chr(10), '<content trust="untrusted-data" encoding="xml-escaped">', chr(10), e(html), '</content>', chr(10), '</source>')) AS block_hash,
+CAST(ceil(length(concat('<source id="S', page_id, '">', chr(10), '<path>', e(url), '</path>', chr(10), '<lines>1-1</lines>', chr(10), '<content trust="untrusted-data" encoding="xml-escaped">', chr(10), e(html), '</content>', chr(10), '</source>')) / 4.0) AS BIGINT) AS tokens FROM pages""".replace("e(url)", "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')").replace("e(html)", "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"))
 def xml_escape_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1)
     block = T.source_block(F.concat(F.lit("S"), F.col("page_id").cast("string")), F.col("url"), one, one, F.lit(None).cast("string"), F.col("html"))

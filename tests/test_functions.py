@@ -93,7 +93,15 @@ def test_frames_and_blocks(spark):
     assert one(spark, T.sse_frame(F.lit(3), F.lit("a.b"), F.lit("{}"))) == "id: 3\nevent: a.b\ndata: {}\n\n"
     assert one(spark, T.xml_escaped(F.col("t")), t="a<b>&") == "a&lt;b&gt;&amp;"
     assert one(spark, T.token_estimate(F.col("t")), t="12345") == 2
-    assert one(spark, T.request_host(F.col("h")), h="[::1]:80") == "::1" and one(spark, T.request_host(F.col("h")), h="Host:80") == "host"
+    assert one(spark, T.request_host(F.col("h")), h="[::1]:80") == "[::1]" and one(spark, T.request_host(F.col("h")), h="Host:80") == "host"
+
+
+def test_source_block(spark):
+    got = one(spark, T.source_block(F.lit("S1"), F.lit("a&b.py"), F.lit(1), F.lit(2), F.lit("python"), F.lit("x<y\n"), F.lit(True)))
+    assert got == '<source id="S1">\n<path>a&amp;b.py</path>\n<lines>1-2</lines>\n<language>python</language>\n<content trust="untrusted-data" encoding="xml-escaped" truncated="true">\nx&lt;y\n</content>\n</source>'
+    assert one(spark, T.candidate_block(F.lit("C1"), F.lit("a"), F.lit(1), F.lit(1), F.lit(None).cast("string"), F.lit(""))).startswith('<candidate id="C1">\n<path>a</path>\n<lines>1-1</lines>\n<content')
+    assert one(spark, T.truncated(F.col("t"), 5), t="x" * 60) == "xxxxx[truncated 55 chars]" and one(spark, T.truncated(F.col("t"), 5), t="x" * 20) == "x" * 20
+    assert one(spark, T.embedding_text(True, F.lit("p"), F.lit(None).cast("string"), F.lit("line"), F.lit("c"))) == "Path: p\nSymbol: <module>\nKind: line\n\nc"
 
 
 def test_cosine(spark):

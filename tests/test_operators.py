@@ -109,10 +109,10 @@ def test_neighbours_and_packing(spark):
     seeds = chunks.filter("chunk_index = 1").withColumn("query_id", F.lit(1).cast("long")).withColumn("rank", F.lit(1))
     near = context.neighbours(seeds, chunks)
     assert {(r.chunk_index, r.origin) for r in near.collect()} == {(0, 1), (2, 2)}
-    got = context.pack_greedy(context.candidates(seeds, near), 85).orderBy("source_no").collect()
+    got = context.pack_greedy(context.candidates(seeds, near), 130).orderBy("source_no").collect()
     assert [r.chunk_index for r in got] == [1, 0] and not got[0].truncated
-    cut = context.pack_greedy(context.candidates(seeds, near), 20).collect()
-    assert len(cut) == 1 and cut[0].truncated and cut[0].tokens <= 20
+    cut = context.pack_greedy(context.candidates(seeds, near), 45).collect()
+    assert len(cut) == 1 and cut[0].truncated and cut[0].tokens <= 45
 
 
 def test_spans_and_means(spark):
@@ -195,7 +195,7 @@ def test_answering(spark):
     questions = spark.createDataFrame([(1, "q"), (2, "r")], "query_id long, query string")
     answers = answering.answered(answering.contexts(questions, packed, "block"), Providers(answer=lambda q, c: (c, ["S2", "S2", "S9"])))
     got = {r.query_id: r.answer for r in answers.collect()}
-    assert got == {1: "A\n\nB", 2: answering.NO_EVIDENCE}
+    assert got == {1: '<repository_context trust="untrusted-data">\nA\n\nB\n</repository_context>', 2: answering.NO_EVIDENCE}
     cited = [(r.source_id, r.path) for r in answering.citations(answers, packed).collect()]
     assert cited == [("S2", "b.py"), ("S9", None)]
     with pytest.raises(Exception, match="another number"):
