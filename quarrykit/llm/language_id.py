@@ -118,8 +118,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float =
     bounded_batches(docs.sparkSession)
     learnable = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     few = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A language's sample has the smallest hashes. A bound on them, four times as many as asked for are expected under
+    # it, keeps all others out of the shuffle, whatever the language's share and the number of tasks.
+    counts = learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    bound = F.when(F.col("n") <= 4 * sample_docs, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * sample_docs) / F.col("n")).cast("long"))
+    bounds = docs.sparkSession.createDataFrame(counts.select("lang", bound.alias("bound")).collect(), "lang string, bound long")
+    under = learnable.select("doc_id", "lang").join(F.broadcast(bounds), "lang").filter(F.xxhash64("doc_id") <= F.col("bound"))
     # At most sample_docs rows a language: a bound that the data don't move.
-    chosen = learnable.select("doc_id", "lang").withColumn("n", F.row_number().over(few)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
+    chosen = under.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
     sample = learnable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
