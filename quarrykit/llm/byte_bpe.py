@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quarrykit.llm.common import bounded_batches
+from quarrykit.llm.common import bounded_batches, trimmed
 from quarrykit.llm.tokens import TIKTOKEN_FILE, has_adjacent_space, ranks, split_text, words_pattern
 
 #: Characters of text in a block, and words that a task keeps before it starts over.
@@ -209,7 +209,7 @@ def common_words(docs: DataFrame, vocabulary: str, merges: list[int], mask: int)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(map(zlib.crc32, words), pa.int64()), word_arrays(words, of_bytes)], names=["hash", "crc", "state"])
 
-    chosen = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    chosen = docs.select("text").mapInArrow(trimmed(counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     # The limit leaves one task; the fold wants all.
     spread = chosen.select("word").repartition(max(2, 4 * docs.sparkSession.sparkContext.defaultParallelism))
     folds = spread.mapInArrow(arrays, "hash long, crc long, state array<bigint>").select("hash", "crc", _bound(_literal(merges), lambda m: folded(F.col("state"), m, mask)).alias("pieces"))
@@ -409,10 +409,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, with_ids:
     bounded_batches(docs.sparkSession)
     merges, mask = pair_table(ranks(vocabulary))
     common = docs.sparkSession.sparkContext.broadcast(common_words(docs, vocabulary, merges, mask))
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(vocabulary, block_chars, common), _BLOCK)
+    blocks = docs.select("doc_id", "text").mapInArrow(trimmed(_blocks(vocabulary, block_chars, common)), _BLOCK)
     encoded = _bound(_literal(merges), lambda m: F.transform("todo", lambda w: folded(w, m, mask)))
     blocks = blocks.select("fresh", "doc_ids", "doc_parts", "part_words", "part_sizes", "known", encoded.alias("encoded"))
-    return blocks.mapInArrow(_documents(vocabulary, with_ids, common), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return blocks.mapInArrow(trimmed(_documents(vocabulary, with_ids, common)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", vocabulary: str = TIKTOKEN_FILE) -> DataFrame:
