@@ -306,10 +306,10 @@ def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.public_text(F.col("html")), 256).alias("text_hash"))
 
 
-@query("SELECT source, lang, count(*) AS files FROM documents WHERE lang IN ('en', 'de') GROUP BY ROLLUP(source, lang)")
+@query("SELECT source, lang, count(*) AS files FROM documents GROUP BY ROLLUP(source, lang)")
 def sources_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark-native extension: subtotals."""
-    return table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de")).rollup("source", "lang").agg(F.count(F.lit(1)).alias("files"))
+    return table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("SELECT path, content_hash FROM (SELECT " + PATH + " AS path, sha256(text) AS content_hash FROM documents) ORDER BY path LIMIT 50 OFFSET 100")

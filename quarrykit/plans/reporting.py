@@ -41,9 +41,9 @@ def suite_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.comparison(rows, ["version"], ["quality", "toxic"])
 
 
-@query("""WITH c AS (SELECT doc_id AS case_id, contains(text, 'the') AS a, NOT contains(text, 'License') AS b FROM documents WHERE doc_id % 2 = 0) SELECT case_id, a AND b AS passed FROM c""")
+@query("""WITH c AS (SELECT doc_id AS case_id, contains(text, 'the') AS a, NOT contains(text, 'License') AS b FROM documents) SELECT case_id, a AND b AS passed FROM c""")
 def hidden_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("case_id"), F.lit("a").alias("path"), F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit("a").alias("path"), F.col("text").alias("content"))
     wanted = F.array(F.struct(F.lit("contains").alias("kind"), F.lit("the").alias("text")), F.struct(F.lit("lacks").alias("kind"), F.lit("License").alias("text")))
     return reports.hidden_checks(rows, rows.select("case_id", "path", F.inline(wanted)))
 
