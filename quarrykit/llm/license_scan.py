@@ -1,8 +1,8 @@
 """Licence scan by a positional index of rare words, in DataFrame functions only.
 
 The index holds the licence templates' words with their positions and an IDF over the
-templates. Of a text that may hold licence words (a plain search decides), the rarest
-licence words are looked up; each hit votes for a template and the place where it
+templates. Of a text that may hold licence words (a plain search decides), each
+template's rarest words are looked up, whatever else the text has; each hit votes for its template and the place where it
 would begin (position in the text less position in the template). A template whose
 votes at one place, weighted by IDF, reach a share of what those words could give is
 found if its key phrase stands in the text as well. The fixed phrases are searched word by
@@ -50,7 +50,7 @@ TEMPLATES = {
 }
 #: Words of all prose, which the index leaves out.
 COMMON_WORDS = frozenset("a and any are as be by except file files following for form forms from in into is it may no not of on or other please software terms that the this to under use used version with without work you your 0 2 3 4 v".split())
-#: Rare words looked up in a text; the least share of what a template's rarest ones could give.
+#: Rare words looked up for a template; the least share of what they could give.
 RAREST, MIN_SHARE = 12, 0.6
 
 
@@ -81,38 +81,51 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(fits(w, i), i)), lambda i: i.isNotNull())
 
 
+def _most_votes(own: Column) -> Column:
+    """The largest weight of votes that begin at one place or beside it, in one pass over a template's votes by place.
+
+    The state holds the last place that had votes, and the weights there, one and two places before."""
+    double = lambda x: F.lit(x).cast("double")
+    start = F.struct(F.lit(-(10**9)).alias("at"), double(0).alias("here"), double(0).alias("back"), double(0).alias("back2"), double(0).alias("most"))
+
+    def step(state: Column, vote: Column) -> Column:
+        gap, weight = vote["begin"] - state["at"], vote["weight"]
+        here = F.when(gap == 0, state["here"]).otherwise(0.0) + weight
+        back = F.when(gap == 0, state["back"]).when(gap == 1, state["here"]).otherwise(0.0)
+        back2 = F.when(gap == 0, state["back2"]).when(gap == 1, state["back"]).when(gap == 2, state["here"]).otherwise(0.0)
+        # Votes two places apart meet only around a place that has votes itself.
+        near = here + back + F.when(back > 0, back2).otherwise(0.0)
+        return F.struct(vote["begin"].alias("at"), here.alias("here"), back.alias("back"), back2.alias("back2"), F.greatest(state["most"], near).alias("most"))
+
+    return F.aggregate(F.array_sort(own), start, step, lambda state: state["most"])
+
+
 def _found_templates(words: Column, joined: Column, templates: dict[str, tuple[str, str]], rarest: int, min_share: float) -> Column:
     """array<struct<label, score>>."""
     postings, idf = rare_word_index(templates)
     labels = list(templates)
-    by_rarity = sorted(idf, key=lambda w: (-idf[w], w))
-    index = F.create_map(*[x for word in by_rarity for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[word]]))])
-    weight = F.create_map(*[x for word in by_rarity for x in (F.lit(word), F.lit(idf[word]))])
-    place = F.array(*map(F.lit, by_rarity))
+    rare = {label: sorted((w for w in set(text.split()) if w in idf), key=lambda w: (-idf[w], w))[:rarest] for label, (text, _) in templates.items()}
+    kept = {word: [(t, p) for t, p in postings[word] if word in rare[labels[t]]] for word in sorted(idf)}
+    kept = {word: places for word, places in kept.items() if places}
+    index = F.create_map(*[x for word, places in kept.items() for x in (F.lit(word), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(idf[word]).alias("weight")) for t, p in places]))])
 
-    def votes(rare: Column) -> Column:
+    def votes() -> Column:
         """A vote for each place of a rare word in the text and in a template."""
-        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(by_rarity) & F.array_contains(rare, e["w"]))
-        return F.flatten(F.transform(at, lambda e: F.transform(index[e["w"]], lambda q: F.struct(q["t"].alias("t"), (e["i"] - q["p"]).alias("begin"), weight[e["w"]].alias("weight")))))
+        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(list(kept)))
+        return F.flatten(F.transform(at, lambda e: F.transform(index[e["w"]], lambda q: F.struct(q["t"].alias("t"), (e["i"] - q["p"]).alias("begin"), q["weight"].alias("weight")))))
 
     def verdict(cast: Column, number: int, label: str) -> Column:
-        text, key = templates[label]
-        could = sum(sorted((idf[w] for w in set(text.split()) if w in idf), reverse=True)[:rarest])
-
-        def best(own: Column) -> Column:
-            def votes_near(b: Column) -> Column:
-                return F.aggregate(own, F.lit(0.0), lambda total, v: total + F.when(F.abs(v["begin"] - b) <= 1, v["weight"]).otherwise(0.0))
-
-            return F.coalesce(F.array_max(F.transform(F.array_distinct(F.transform(own, lambda v: v["begin"])), votes_near)), F.lit(0.0))
-
-        share = _let(F.filter(cast, lambda v: v["t"] == number), lambda own: F.least(best(own) / could, F.lit(1.0)))
-        return F.when((share >= min_share) & F.contains(joined, F.lit(f" {key} ")), F.struct(F.lit(label.partition("/")[0]).alias("label"), share.alias("score")))
+        _, key = templates[label]
+        could = sum(idf[w] for w in rare[label])
+        own = F.transform(F.filter(cast, lambda v: v["t"] == number), lambda v: F.struct(v["begin"].alias("begin"), v["weight"].alias("weight")))
+        share = F.least(_most_votes(own) / could, F.lit(1.0))
+        scored = _let(share, lambda share: F.when(share >= min_share, F.struct(F.lit(label.partition("/")[0]).alias("label"), share.alias("score"))))
+        return F.when(F.contains(joined, F.lit(f" {key} ")), scored)
 
     def verdicts(cast: Column) -> Column:
         return F.array_compact(F.array(*(verdict(cast, number, label) for number, label in enumerate(labels))))
 
-    own_rare = F.slice(F.array_intersect(place, words), 1, rarest)
-    return _let(own_rare, lambda rare: _let(votes(rare), verdicts))
+    return _let(votes(), verdicts)
 
 
 def _may_hold(lowered: Column, phrases: list[str]) -> Column:

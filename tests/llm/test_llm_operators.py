@@ -306,6 +306,26 @@ def test_license_templates(spark):
     assert got == {1: "mit", 2: "", 3: "gpl-3", 4: ""}
 
 
+@pytest.mark.parametrize("around", ["", "associated binary charge code conditions domain fee library met name person provided", "name code " * 500])
+def test_license_crowded(spark, around):
+    whole = {label: text for label, (text, _) in license_scan.TEMPLATES.items() if "/" not in label}
+    pairs = [(a, b) for a in whole for b in whole if a != b]
+    rows = [(k, f"{around} {whole[a]} {around} {whole[b]} {around}") for k, (a, b) in enumerate(pairs)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({a, b} <= got[k] for k, (a, b) in enumerate(pairs))
+    longer = {"long": (" ".join(f"word{k}" for k in range(40)), "word0 word1")}
+    found = license_scan.license_labels(spark.createDataFrame([(1, longer["long"][0] + " " + around)], "doc_id long, text string"), longer, {"no such": "none"}).first()
+    assert found.labels == "long" and found.score == pytest.approx(1)
+
+
+def test_license_votes(spark):
+    rng = random.Random(6)
+    lists = [[(rng.randint(-5, 12), float(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    table = spark.createDataFrame([(k, own) for k, own in enumerate(lists)], "k int, own array<struct<begin: int, weight: double>>")
+    got = {r.k: r.most for r in table.select("k", license_scan._most_votes(F.col("own")).alias("most")).collect()}
+    assert got == {k: max((sum(w for c, w in own if abs(c - b) <= 1) for b, _ in own), default=0.0) for k, own in enumerate(lists)}
+
+
 def brute_components(rows, width, percent):
     words = re.compile(r"[^\x20\x09-\x0D]+")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
