@@ -2,7 +2,8 @@
 
 Tokens: one map over the documents. The ids are those that the tokenizers library gives for
 byte_bpe_50k.json; the tiktoken library, which has the same vocabulary as ranks, gives the same ones
-six times as fast (a test holds them against each other). A document longer than a window is cut into whole windows and a rest. Plan: the
+six times as fast (a test holds them against each other). Added tokens of that file (<|endoftext|>) are one id where
+a text holds them, as in that library. A document longer than a window is cut into whole windows and a rest. Plan: the
 lengths' histogram, of one entry a length, goes to the driver; its size is the window's,
 whatever the input's. There, combinations of two or three lengths that fill a window
 are enumerated; non-negative least squares gives how often each is repeated; rounded
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.llm.common import bounded_batches, stored, trimmed
-from quarrykit.llm.tokens import TIKTOKEN_FILE, tiktoken_encoding
+from quarrykit.llm.tokens import TIKTOKEN_FILE, TOKENIZERS_FILE, text_encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -40,16 +41,16 @@ SHARE_ROWS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, window: int = WINDOW, with_ids: bool = False, added: str = TOKENIZERS_FILE) -> DataFrame:
     """Each document's ids cut into whole windows and a rest, one row a piece."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken_encoding(vocabulary)
+        encode = text_encoder(vocabulary, added)
         names, types = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids], [pa.int64()] * 5 + [pa.list_(pa.int64())]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array(encoding.encode_ordinary(text.as_py() or "") + [END_ID], "<u4")
+                ids = np.array(encode(text.as_py() or "") + [END_ID], "<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece if with_ids else None))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
@@ -26,6 +27,33 @@ def tiktoken_encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
+@lru_cache(2)
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that the tokenizers library finds in a text before it splits it into words."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that match by more than their text aren't supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+@lru_cache(2)
+def text_encoder(path: str, tokenizers_path: str):
+    """text to ids, as the tokenizers library's encode(text, add_special_tokens=False) gives them: added tokens are one id."""
+    import tiktoken
+
+    added = added_tokens(tokenizers_path)
+    encoding = tiktoken.Encoding("public-added", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens=added)
+    names = set(added)
+
+    def encode(text: str) -> list[int]:
+        if any(name in text for name in names):
+            return encoding.encode(text, allowed_special=names, disallowed_special=())
+        return encoding.encode_ordinary(text)
+
+    return encode
+
+
 @lru_cache(2)
 def words_pattern():
     import regex

@@ -139,6 +139,21 @@ def test_packing(docs, rows, none):
     assert ids.ids[-1] == 1 and ids.length == len(ids.ids)
 
 
+def test_packing_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, end = Tokenizer.from_file(tokens.TOKENIZERS_FILE), "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f"one  {end}  two \n{end}\n", f"<|endoftext{end}|>", f"<|END{end[5:]}", f"don't{end}'s 12{end}34", "w " * 3000 + end + " é" * 3000, "none of it", "", f"中文{end}😀", *(t or "" for _, t in EDGES)]
+    assert all(tokens.text_encoder(tokens.TIKTOKEN_FILE, tokens.TOKENIZERS_FILE)(t) == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    want = Counter()
+    for k, t in enumerate(texts):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID], "<u4")
+        pieces = [(start, ids[start : start + packing.WINDOW]) for start in range(0, len(ids), packing.WINDOW)]
+        want.update((k, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)) for start, piece in pieces)
+    made = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    same(made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect(), want.elements())
+
+
 def test_packing_plan():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 2048, 3000), np.full(500, 700), np.array([1]), np.array([2048, 2048]), np.array([], int)):
