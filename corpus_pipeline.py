@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """Keeps one row of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8."""
     return one_of_each(docs, width=5, percent=80)
 
 

@@ -27,6 +27,7 @@ its hash and its size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,13 +97,17 @@ def folded(rows: np.ndarray, bins: int) -> np.ndarray:
     return rows.reshape(len(rows), bins, -1).sum(2, dtype=np.int32)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int | None, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, keys: list[bytes] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Each row's doc_id and set; its text's key is put into keys before."""
     hashes = _Words()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if len(hashes) > _KEPT_WORDS:
                 hashes.clear()
-            yield doc_id, shingle_set(text.as_py(), hashes, width)
+            text = text.as_py()
+            if keys is not None:
+                keys.append(_key(text))
+            yield doc_id, shingle_set(text, hashes, width)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -113,21 +118,28 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 _FIRST = "doc_id long, n long, gid long, sketch binary, token long, count long"
 
 
-def _first_pass(width: int):
-    """Each document's class, and the shingles that are common in this task's documents."""
-    names, types = ["doc_id", "n", "gid", "sketch", "token", "count"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+def _key(text: str | None) -> bytes:
+    """What tells texts of one class apart: the MD5 of the bytes; a null text is empty."""
+    return hashlib.md5((text or "").encode(), usedforsecurity=False).digest()
+
+
+def _first_pass(width: int, keyed: bool = False):
+    """Each document's class (and, if keyed, its text's key), and the shingles that are common in this task's documents."""
+    names, types = ["doc_id", "n", "gid", "sketch", "token", "count", "key"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    names, types = names[: 6 + keyed], types[: 6 + keyed]
 
     def common(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         kept = counts >= COMMON_IN_TASK
         nothing = [None] * int(kept.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(nothing, t) for t in types[:4]] + [pa.array(tokens[kept].view(np.int64)), pa.array(counts[kept].astype(np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(nothing, t) for t in types[:4]] + [pa.array(tokens[kept].view(np.int64)), pa.array(counts[kept].astype(np.int64))] + [pa.array(nothing, t) for t in types[6:]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, n_held, seen = [], [], 0, set()
-        for doc_id, own in _sets(batches, width):
+        keys: list[bytes] = []
+        for doc_id, own in _sets(batches, width, keys if keyed else None):
             gid = class_id(own) if len(own) else None
-            rows.append((doc_id, len(own), gid, sketch(own).tobytes() if len(own) else None, None, None))
+            rows.append((doc_id, len(own), gid, sketch(own).tobytes() if len(own) else None, None, None, *([keys.pop()] if keyed else [])))
             if gid is not None and gid not in seen:
                 seen.add(gid)
                 held.append(own)
@@ -376,13 +388,14 @@ def _class_sets(width: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, gid (the class; null without shingles) of each document."""
+def _placed(docs: DataFrame, width: int, percent: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n, gid (the class; null without shingles), root (the component's class of smallest gid), component_id and, if
+    keyed, key (see _key) of each document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select("doc_id", "text")
-    first = stored(texts.mapInArrow(trimmed(_first_pass(width)), _FIRST), "shingle-classes")
-    documents = first.filter("token is null").select("doc_id", "n", "gid", "sketch")
+    first = stored(texts.mapInArrow(trimmed(_first_pass(width, keyed)), _FIRST + ", key binary" * keyed), "shingle-classes")
+    documents = first.filter("token is null").select("doc_id", "n", "gid", "sketch", *["key"] * keyed)
     classes = stored(documents.filter("gid is not null").groupBy("gid", "n").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "classes")
 
     # At most COMMON_ENTRIES rows.
@@ -413,14 +426,33 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     drop_stored(sets, clusters)
 
     roots = components(edges, "a", "b")
-    named = roots.join(classes, roots["node"] == classes["gid"]).groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select(F.col("node").alias("gid"), "component_id")
-    placed = classes.select("gid", "n", "least").join(named, "gid", "left").select("gid", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return documents.join(placed, ["gid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "gid")
+    named = roots.join(classes, roots["node"] == classes["gid"]).groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select(F.col("node").alias("gid"), "root", "component_id")
+    placed = classes.select("gid", "n", "least").join(named, "gid", "left").select("gid", "n", F.coalesce("root", "gid").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    component_id = F.when(F.col("gid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return documents.join(placed, ["gid", "n"], "left").select("doc_id", "n", "gid", "root", component_id.alias("component_id"), *["key"] * keyed)
+
+
+def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, gid (the class; null without shingles) of each document."""
+    return _placed(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "gid")
 
 
 def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without those that link, directly or over others, with one of a smaller doc_id. Of rows
-    that repeat an id, one stays if its component's id is that id."""
-    placed = jaccard_components(docs, width, percent)
-    gone = placed.filter(F.col("component_id").isNotNull() & F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component (documents that link, directly or over others): that of the smallest doc_id, of
+    equal ids that of the smallest key of its text, and of rows equal in both any one. A null doc_id comes after all others.
+    Rows are told by id and text, so another text of the same id has its own component. Texts without shingles link with
+    nothing: all their rows stay."""
+    rows = _placed(docs, width, percent, keyed=True).filter("root is not null").groupBy("doc_id", "key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    rows = stored(rows, "placed-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept"))
+    rows = rows.join(kept, "root").select("doc_id", "key", (order == F.col("kept")).alias("stays"), "n")
+    # One row of a component alone: most rows. So what goes, or repeats, is joined.
+    other = stored(rows.filter("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__other"), "stays"), "other-rows")
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    same = lambda there: keyed["doc_id"].eqNullSafe(there["__id"]) & (keyed["__key"] == there["__other"])
+    left = keyed.join(other, same(other), "left_anti")
+    repeated = other.filter("stays")
+    if not repeated.isEmpty():
+        left = left.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return left.select(*docs.columns)

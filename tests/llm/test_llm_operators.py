@@ -393,6 +393,25 @@ def test_one_of_each(docs, rows):
     assert {r.doc_id for r in kept.collect()} == ids
 
 
+def test_one_of_each_rows(spark):
+    words = [f"{chr(97 + k % 26)}{k}" for k in range(400)]
+    text = lambda k: " ".join(f"{k}{w}" for w in words)
+    clean, near = text("c"), text("a") + " end"
+    rows = [(5, text("a"), 1), (7, near, 2), (7, clean, 3), (9, text("b"), 4), (9, text("b"), 5), (9, text("b"), 6), (None, text("n"), 7), (None, text("n"), 8), (None, text("m"), 9), (None, text("b"), 10)]
+    rows += [(20, text("d"), 11), (20, text("d") + " x", 12), (None, text("e"), 13), (None, text("e") + " x", 14), (30, "", 15), (30, "", 16), (None, None, 17), (40, text("f"), 18), (40, text("f"), 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(3)
+    kept = jaccard_join.one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns
+    groups = [{1, 2}, {3}, {4, 5, 6, 10}, {7, 8}, {9}, {11, 12}, {13, 14}, {15}, {16}, {17}, {18}]
+    got = [r.key for r in kept.collect()]
+    assert len(got) == len(groups) and all(len(set(got) & g) == 1 for g in groups) and 1 in got and 10 not in got
+    assert {t for _, t, k in rows if k in got} == {r.text for r in kept.collect()}
+    # The next stage blanks what still has copies: nothing may be lost.
+    left = [r.text for r in suffix_dedup.without_repeats(kept).collect()]
+    assert sum(len(t or "") > 1000 for t in left) == 8
+    assert jaccard_join.one_of_each(docs.filter("1 = 0"), 5, 80).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
