@@ -3,8 +3,8 @@
 Text made of words takes few tokens: three or more characters each. A random
 string takes one token for one or two characters. Runs of key characters whose ratio of
 characters to tokens is below a threshold are therefore reported, after known
-digests (hexadecimal of a usual length, UUIDs) and identifiers (numbers, words
-joined by dashes, underscores or slashes) are set aside.
+digests (hexadecimal of a usual length, UUIDs) and identifiers (numbers, words of
+fewer than 20 letters, alone, in camel case or joined by dashes, underscores or slashes) are set aside.
 
 Defined cases: a null text counts as empty and gives zero counts and empty span
 lists; repeated rows each give a row; a null doc_id stays null; columns other than
@@ -32,7 +32,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"[0-9]+|(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/=+]*|(?:[A-Z]?[a-z]{2,})+[0-9]*")
+# Letters of one case in a row are a word only up to this length; longer ones take the ratio test.
+_WORD = r"(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,19}|[0-9]+)"
+_IDENTIFIER = re.compile(rf"[0-9]+|{_WORD}(?:[-_/=+]+{_WORD})*[-_/=+]*|[A-Z]?[a-z]{{2,19}}(?:[A-Z][a-z]{{2,19}})*[0-9]*")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 

@@ -81,6 +81,17 @@ def test_secret_mask(docs):
     assert texts[900022].startswith("key [SECRET] end 3f2504e0-") and texts[900001] is None and texts[900009] == PASSAGE
 
 
+def test_secret_scan_one_case():
+    encoding, rng = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE), random.Random(1)
+    found = lambda run: bool(secret_scan.random_spans(f"see {run} there", [], lambda s: len(encoding.encode_ordinary(s)), 2.0))
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for length in (20, 32, 40):
+            runs = ["".join(rng.choices(letters, k=length)) for _ in range(200)]
+            assert sum(map(found, runs)) >= 180 and sum(found(f"my_key={run}") for run in runs) >= 180
+    words = "internationalization donaudampfschifffahrtsgesellschaft anticonstitutionnellement desafortunadamentemente INTERNATIONALIZATION myLongVariableNameOfWords some_long_identifier_with_words SOME_LONG_CONSTANT_NAME_HERE"
+    assert not any(map(found, words.split()))
+
+
 def test_byte_bpe(docs, rows, none):
     encoding = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE)
     want = []
