@@ -17,6 +17,10 @@ two pairs that are new. Ranks come from a literal: a hash table in an array of l
 two possible slots a key, each with the pair and what it merges to. Words that are in the
 vocabulary as they stand need no fold.
 
+A step copies the word's array, so the fold of a word takes the square of its length. Words over WHOLE_CHARS
+characters are therefore cut beforehand where no piece of the vocabulary lies across, so that no merge can; what is left in
+one part of over FOLDED_BYTES bytes is merged by a heap of its pairs, in the map, and goes on as its pieces.
+
 Defined cases: a null text is empty and gives no ids; repeated rows each give
 a row; a null doc_id stays null; of other columns nothing is read.
 """
@@ -24,6 +28,7 @@ a row; a null doc_id stays null; of other columns nothing is read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import zlib
 from array import array
@@ -49,6 +54,9 @@ BLOCK_CHARS, KEPT_WORDS = 2_000_000, 300_000
 #: Words that are folded once for all tasks, and the tasks and characters a task of the sample that they are chosen from.
 COMMON_WORDS, SAMPLE_TASKS, SAMPLE_CHARS = 600_000, 64, 1_500_000
 
+#: Characters of a word, and bytes of one of its parts, up to which it is folded whole.
+WHOLE_CHARS, FOLDED_BYTES = 64, 512
+
 _BLOCK = "fresh boolean, doc_ids array<bigint>, doc_parts array<binary>, part_words binary, part_sizes binary, known binary, todo array<array<bigint>>"
 
 
@@ -166,6 +174,55 @@ def folded(word: Column, merges: Column, mask: int) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step, lambda state: F.transform(state, lambda e: piece(e).cast("int")))
 
 
+class Cutter:
+    """Cuts long words into parts that merge by themselves."""
+
+    def __init__(self, vocabulary: dict[bytes, int]) -> None:
+        self.ranks = vocabulary
+        #: Beginnings of pieces, each with whether it is one.
+        self.begins: dict[bytes, bool] = {}
+        for piece in vocabulary:
+            for n in range(2, len(piece)):
+                self.begins.setdefault(piece[:n], False)
+            self.begins[piece] = True
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word in parts of at most FOLDED_BYTES, or single pieces: no merge goes from one to another."""
+        begins, cuts, reached = self.begins, [], 1
+        for at in range(len(word)):
+            if at >= reached:
+                cuts.append(at)
+            n = 2
+            while at + n <= len(word) and (whole := begins.get(word[at : at + n])) is not None:
+                if whole:
+                    reached = max(reached, at + n)
+                n += 1
+            reached = max(reached, at + 1)
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            out += [word[a:b]] if b - a <= FOLDED_BYTES else self.merged(word[a:b])
+        return out
+
+    def merged(self, word: bytes) -> list[bytes]:
+        """The word's pieces: the pair of least rank, leftmost first, merges until none does."""
+        ranks, n = self.ranks, len(word)
+        after, before, stop = list(range(1, n + 1)), list(range(-1, n)), list(range(1, n + 1))
+        # A pair is (rank, where it begins, where it ends); it is current while its left piece's neighbour still ends there.
+        heap = [(rank, at, at + 2) for at in range(n - 1) if (rank := ranks.get(word[at : at + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, at, end = heapq.heappop(heap)
+            right = after[at]
+            if stop[at] < 0 or right >= n or stop[right] != end:
+                continue
+            stop[at], stop[right], after[at] = end, -1, after[right]
+            before[after[right]] = at
+            for left in (at, before[at]):
+                if left >= 0 and (other := after[left]) < n and (rank := ranks.get(word[left : stop[other]])) is not None:
+                    heapq.heappush(heap, (rank, left, stop[other]))
+        return [word[at : stop[at]] for at in range(n) if stop[at] > 0]
+
+
 @dataclass
 class Common:
     """Words folded beforehand, by hash: two hashes of each, its pieces end to end, and how many it has. About 40 bytes a word."""
@@ -228,7 +285,7 @@ def _blocks(vocabulary: str, block_chars: int, common):
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct, pattern = ranks(vocabulary), words_pattern()
-        of_bytes = byte_ranks(direct)
+        of_bytes, cutter = byte_ranks(direct), Cutter(direct)
         before = common.value
         parts, word_of, fresh = _Parts(), _Numbered(), True
         ids: list = []
@@ -238,10 +295,14 @@ def _blocks(vocabulary: str, block_chars: int, common):
         def block() -> pa.RecordBatch:
             flat, sizes = array("i"), array("i")
             for part in parts.taken():
-                refs = [word_of[w] for w in pattern.findall(part)]
+                if len(part) <= WHOLE_CHARS:
+                    refs = [word_of[w] for w in pattern.findall(part)]
+                else:
+                    words = (w.encode() for w in pattern.findall(part))
+                    refs = [word_of[p] for w in words for p in ([w] if len(w) <= WHOLE_CHARS or w in direct else cutter.parts(w))]
                 flat.extend(refs)
                 sizes.append(len(refs))
-            words = [w.encode() for w in word_of.taken()]
+            words = [w if isinstance(w, bytes) else w.encode() for w in word_of.taken()]
             # A rank; or, below -1, a common word; or -1, a word to fold.
             known = np.fromiter((direct.get(w, -1) for w in words), np.int32, len(words))
             other = np.flatnonzero(known < 0)
@@ -270,18 +331,18 @@ def _blocks(vocabulary: str, block_chars: int, common):
 
 
 class _Numbered(dict):
-    """Numbers its keys in the order of their first lookup."""
+    """Numbers its keys, words or parts of words, in the order of their first lookup."""
 
     def __init__(self) -> None:
         super().__init__()
-        self._new: list[str] = []
+        self._new: list[str | bytes] = []
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str | bytes) -> int:
         self[key] = at = len(self)
         self._new.append(key)
         return at
 
-    def taken(self) -> list[str]:
+    def taken(self) -> list[str | bytes]:
         """The keys that are new since the last call."""
         new, self._new = self._new, []
         return new
