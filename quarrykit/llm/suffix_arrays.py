@@ -1,21 +1,24 @@
-"""Suffix arrays of byte strings by induced sorting, with NumPy.
+"""Suffix arrays by induced sorting, with NumPy.
 
 Suffixes are of type S or L (smaller or larger than the next one). The leftmost S ones (LMS) are
 sorted first: their substrings by one induction from unsorted ones, then, by these
 substrings' names, the LMS suffixes by recursion. A second induction from the sorted LMS
 suffixes gives all. An induction goes bucket by bucket; a bucket's entries are handled in waves,
 each wave whole: its predecessors of the right type are dealt to their buckets in
-order, which a stable sort of their first bytes does. The work is linear.
+order, which a stable sort of their first symbols does. The work is linear.
 
-The recursion is the same procedure while names fit a byte; with more names, buckets
-are too small for arrays to pay, and ranks are doubled instead, up to the depth asked for.
-So with a depth, suffixes are in order by their first depth bytes at least.
+The recursion is the same procedure at every depth; names are symbols of their own, at most half as
+many as the string above has. Where buckets are small (names have many), an induction handles entry by entry
+instead of wave by wave.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Symbols a bucket on average from which waves pay.
+BUCKET_FOR_WAVES = 200
+
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """Eight bytes from each position on, as one little-endian number; past the end, zeros."""
@@ -47,7 +50,7 @@ def common_prefixes(wide: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.nda
 
 
 def _larger(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is of type L; the end is smaller than any byte."""
+    """True where a suffix is of type L; the end is smaller than any symbol."""
     n = len(text)
     differs = np.append(text[1:] != text[:-1], True)
     at = np.where(differs, np.arange(n), n)
@@ -56,87 +59,101 @@ def _larger(text: np.ndarray) -> np.ndarray:
     return falls[at]
 
 
-def _induce(text: np.ndarray, larger: np.ndarray, lms: np.ndarray) -> np.ndarray:
+def _induce(text: np.ndarray, larger: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix array that follows from lms, the LMS positions in order (or, for their substrings'
-    order, in any order)."""
-    n = len(text)
-    counts = np.bincount(text, minlength=256)
-    ends = np.cumsum(counts)
-    starts = ends - counts
+    order, in any order). Symbols are below symbols."""
+    ends = np.cumsum(np.bincount(text, minlength=symbols))
+    if len(text) < BUCKET_FOR_WAVES * symbols:
+        return _by_entries(text.tolist(), larger.tolist(), lms.tolist(), ends.tolist())
+    return _by_waves(text, larger, lms, ends)
+
+
+def _by_entries(text: list[int], larger: list[bool], lms: list[int], ends: list[int]) -> np.ndarray:
+    n, tail, head = len(text), ends.copy(), [0, *ends[:-1]]
+    out = [0] * n  # a place that nothing has come to yet leads to nothing, as position 0 does
+    for j in reversed(lms):
+        tail[text[j]] -= 1
+        out[tail[text[j]]] = j
+    last = text[-1]
+    out[head[last]] = n - 1  # the end's predecessor
+    head[last] += 1
+    for j in out:  # grows ahead of the loop
+        if j and larger[j - 1]:
+            c = text[j - 1]
+            out[head[c]] = j - 1
+            head[c] += 1
+    tail = ends
+    for at in range(n - 1, -1, -1):
+        j = out[at]
+        if j and not larger[j - 1]:
+            c = text[j - 1]
+            tail[c] -= 1
+            out[tail[c]] = j - 1
+    return np.array(out, np.int64)
+
+
+def _by_waves(text: np.ndarray, larger: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n, symbols = len(text), len(ends)
+    starts = np.append(0, ends[:-1])
     out = np.full(n, -1, np.int64)
     first = text[lms]
-    lms = lms[np.argsort(first, kind="stable")]
-    n_lms = np.bincount(first, minlength=256)
-    at = np.concatenate([np.arange(e - k, e) for e, k in zip(ends, n_lms, strict=True) if k]) if len(lms) else lms
-    out[at] = lms
-    present = np.flatnonzero(counts)
+    order = np.argsort(first, kind="stable")
+    lms, first = lms[order], first[order]
+    n_lms = np.bincount(first, minlength=symbols)
+    out[(ends - np.cumsum(n_lms))[first] + np.arange(len(lms))] = lms
+    present = np.flatnonzero(ends > starts).tolist()
 
     def dealt(wave: np.ndarray, of_larger: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         before = wave[wave > 0] - 1
         before = before[larger[before] == of_larger]
-        byte = text[before]
-        order = np.argsort(byte, kind="stable")
-        byte = byte[order]
-        n_each = np.bincount(byte, minlength=256)
-        rank = np.arange(len(byte)) - (np.cumsum(n_each) - n_each)[byte]
-        return before[order], byte, rank, n_each
+        symbol = text[before]
+        order = np.argsort(symbol, kind="stable")
+        symbol = symbol[order]
+        n_each = np.bincount(symbol, minlength=symbols)
+        return before[order], symbol, np.arange(len(symbol)) - (np.cumsum(n_each) - n_each)[symbol], n_each
 
     head = starts.copy()
     out[head[text[-1]]] = n - 1  # the end's predecessor
     head[text[-1]] += 1
+
+    def forward(wave: np.ndarray) -> None:
+        before, symbol, rank, n_each = dealt(wave, True)
+        out[head[symbol] + rank] = before
+        np.add(head, n_each, out=head)
+
     for c in present:
         done = starts[c]
         while done < head[c]:
             wave, done = out[done : head[c]], head[c]
-            before, byte, rank, n_each = dealt(wave, True)
-            out[head[byte] + rank] = before
-            head += n_each
+            forward(wave)
         if n_lms[c]:
-            before, byte, rank, n_each = dealt(out[ends[c] - n_lms[c] : ends[c]].copy(), True)
-            out[head[byte] + rank] = before
-            head += n_each
+            forward(out[ends[c] - n_lms[c] : ends[c]].copy())
     tail = ends.copy()
-    for c in present[::-1]:
+
+    def backward(wave: np.ndarray) -> None:
+        before, symbol, rank, n_each = dealt(wave, False)
+        out[tail[symbol] - 1 - rank] = before
+        np.subtract(tail, n_each, out=tail)
+
+    for c in reversed(present):
         done = ends[c]
         while tail[c] < done:
             wave, done = out[tail[c] : done][::-1], tail[c]
-            before, byte, rank, n_each = dealt(wave, False)
-            out[tail[byte] - 1 - rank] = before
-            tail -= n_each
+            backward(wave)
         if head[c] > starts[c]:
-            before, byte, rank, n_each = dealt(out[starts[c] : head[c]][::-1], False)
-            out[tail[byte] - 1 - rank] = before
-            tail -= n_each
+            backward(out[starts[c] : head[c]][::-1])
     return out
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of names in order by their first depth names at least."""
-    n = len(names)
-    rank, k = names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1 if k < n else after[: n - k]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        moved = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = moved
-        k *= 2
-        if moved[-1] == n - 1 or k >= min(depth, n):
-            return order
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Positions of the suffixes of text (bytes) in order; with a depth, of their first depth bytes."""
+def _sorted(text: np.ndarray, symbols: int) -> np.ndarray:
     n = len(text)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: bytes(text[i:])), np.int64)
+        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     larger = _larger(text)
     lms = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
     if not len(lms):
-        return _induce(text, larger, lms)
-    rough = _induce(text, larger, lms)
+        return _induce(text, larger, lms, symbols)
+    rough = _induce(text, larger, lms, symbols)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
@@ -144,18 +161,19 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     length[lms] = np.append(np.diff(lms) + 1, n + 1)  # the last one ends with the text, so no other equals it
     a, b = ordered[:-1], ordered[1:]
     same = length[a] == length[b]
-    same[same] = common_prefixes(words_at(text), a[same], b[same], length[a[same]]) == length[a[same]]
+    a, b = a[same], b[same]
+    size = text.dtype.itemsize
+    same[same] = common_prefixes(words_at(text.view(np.uint8)), size * a, size * b, size * length[a]) == size * length[a]
     name = np.empty(n, np.int64)
     name[ordered] = np.append(0, np.cumsum(~same))
     names = name[lms]
-    if names.max() == len(lms) - 1:
-        sorted_lms = ordered
-    elif names.max() < 256:
-        sorted_lms = lms[suffix_array(names.astype(np.uint8), depth)]
-    else:
-        # LMS positions are two bytes apart or more.
-        sorted_lms = lms[_doubled(names, len(lms) if depth is None else depth // 2 + 2)]
-    return _induce(text, larger, sorted_lms)
+    count = int(names.max()) + 1
+    return _induce(text, larger, ordered if count == len(lms) else lms[_sorted(names, count)], symbols)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes of text (bytes) in order."""
+    return _sorted(text, 256)
 
 
 def permuted_common_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int, breaks: np.ndarray | None = None) -> np.ndarray:
@@ -181,7 +199,7 @@ def permuted_common_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int,
 def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int, breaks: np.ndarray) -> np.ndarray:
     """For each of starts (positions with length bytes of one piece after them; breaks: where pieces begin),
     whether its length bytes also begin at another of them."""
-    order = suffix_array(text, length)
+    order = suffix_array(text)
     valid = np.zeros(len(text), bool)
     valid[starts] = True
     # Positions follow their source by less than a piece's starts; so much is counted beyond length.
