@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    the session has none (a local run), a temporary folder that is then set."""
+    a local session has none, a temporary folder that is then set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quarrykit-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,6 +53,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of a few numbers that are broadcast at most: some 40 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, a stored table of a few columns of fixed size, marked for a broadcast if its rows, which are counted, are few enough; beyond
+    that the join is the session's choice. So a join with texts moves no text while the other side is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def trimmed(fn):
     """fn, a map over batches, that gives a worker's free memory back when its task ends: workers live on."""
 
