@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import bounded_batches, drop_stored, stored, trimmed
+from quarrykit.llm.common import bounded_batches, drop_stored, if_small, stored, trimmed
 from quarrykit.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -359,6 +359,8 @@ def _block_links(percent: int):
     """Of a cluster's block, or two: links that connect what links."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        # A class may come from several documents.
+        table = table.take(np.unique(table["gid"].to_numpy(), return_index=True)[1])
         sets = [np.array(s.values) for s in table["own"]]
         allowed = _by_sketch([sketch(s.view(np.uint64)).tobytes() for s in sets], np.array([len(s) for s in sets]), percent)
         found = _connecting(len(sets), table["side"].to_numpy(), allowed, lambda i, j: links(sets[i], sets[j], percent))
@@ -378,8 +380,13 @@ def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
 def _class_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        seen: set[int] = set()
         for _, own in _sets(batches, width):
-            rows.append((class_id(own), own.view(np.int64)))
+            gid = class_id(own)
+            if gid in seen:
+                continue
+            seen.add(gid)
+            rows.append((gid, own.view(np.int64)))
             if len(rows) >= 500:
                 yield _batch(rows, ["gid", "own"], [pa.int64(), pa.list_(pa.int64())])
                 rows = []
@@ -416,14 +423,15 @@ def _placed(docs: DataFrame, width: int, percent: int, keyed: bool = False) -> D
     clusters = stored(components(near, "a", "b").select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "clusters")
     drop_stored(candidates, near)
 
-    wanted = clusters.select("gid")
-    least = classes.join(wanted, "gid").select(F.coalesce("least", F.lit(-1)).alias("key")).distinct()
-    own = texts.withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(least, "key").select("doc_id", "text")
-    sets = own.mapInArrow(trimmed(_class_sets(width)), "gid long, own array<long>").join(wanted, "gid").dropDuplicates(["gid"])
-    sets = stored(sets, "sets")
-    blocks = _in_blocks(clusters, "cluster").join(sets, "gid")
+    # Each clustered class with its blocks, and where its text is. Both are a few numbers a class, so that no text moves while they are few.
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    members = clusters.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    members = stored(members.join(classes.select("gid", F.coalesce("least", F.lit(-1)).alias("key")), "gid"), "members")
+    own = texts.withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(if_small(members.select("key").distinct()), "key").select("doc_id", "text")
+    sets = own.mapInArrow(trimmed(_class_sets(width)), "gid long, own array<long>").join(if_small(members.drop("key")), "gid")
+    blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "gid", "own")
     edges = stored(blocks.groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct(), "links")
-    drop_stored(sets, clusters)
+    drop_stored(clusters, members)
 
     roots = components(edges, "a", "b")
     named = roots.join(classes, roots["node"] == classes["gid"]).groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select(F.col("node").alias("gid"), "root", "component_id")
@@ -451,7 +459,7 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     other = stored(rows.filter("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__other"), "stays"), "other-rows")
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     same = lambda there: keyed["doc_id"].eqNullSafe(there["__id"]) & (keyed["__key"] == there["__other"])
-    left = keyed.join(other, same(other), "left_anti")
+    left = keyed.join(if_small(other), same(other), "left_anti")
     repeated = other.filter("stays")
     if not repeated.isEmpty():
         left = left.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__key"]))
