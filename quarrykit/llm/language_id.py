@@ -27,12 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quarrykit.llm.common import bounded_batches, trimmed
 
 SAMPLE_DOCS = 2000
 MIN_DOC_SHARE = 0.01
+#: A text of GRAMS_TO_JUDGE n-grams or more is in a learned language if that language has this share of them. Of the 10,000 texts of a test
+#: table, those with 50 words or more have 0.64 at least; random letters and other languages have 0.2 at most.
+MIN_SHARE, GRAMS_TO_JUDGE = 0.4, 24
 FILTER_BITS = 20
 N_HASHES = 3
 #: Fixed odd multipliers, one a hash.
@@ -124,9 +127,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float =
     bound = F.when(F.col("n") <= 4 * sample_docs, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * sample_docs) / F.col("n")).cast("long"))
     bounds = docs.sparkSession.createDataFrame(counts.select("lang", bound.alias("bound")).collect(), "lang string, bound long")
     under = learnable.select("doc_id", "lang").join(F.broadcast(bounds), "lang").filter(F.xxhash64("doc_id") <= F.col("bound"))
-    # At most sample_docs rows a language: a bound that the data don't move.
-    chosen = under.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
-    sample = learnable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
+    # At most sample_docs rows a language: a bound that the data don't move. Of rows that repeat an id, one text is taken.
+    chosen = under.distinct().withColumn("n", F.row_number().over(few)).filter(F.col("n") <= sample_docs).select("doc_id", "lang")
+    sample = learnable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     slices = -(-len(languages) // 64)
@@ -150,36 +153,41 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float =
     return Filters(languages, words, fill**N_HASHES, max(languages, key=lambda x: (sizes[x], x)) if languages else "und")
 
 
-def predict(docs: DataFrame, filters: Filters, bits: int = FILTER_BITS) -> DataFrame:
-    """docs with lang_pred and score; one map. Every column of docs stays (and none may have these two names)."""
+def predict(docs: DataFrame, filters: Filters, prefix: str = "", bits: int = FILTER_BITS) -> DataFrame:
+    """docs with lang_pred, score (the language's part of all languages' shares), share (of its n-grams, those the language has beyond
+    chance) and grams (how many n-grams it has), their names behind prefix; one map. Every other column of docs stays; one of these four
+    names is replaced."""
     bounded_batches(docs.sparkSession)
-    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    names = [f"{prefix}{name}" for name in ("lang_pred", "score", "share", "grams")]
+    docs = docs.drop(*names)
+    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), DoubleType(), LongType()), strict=True))])
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
-    def told(texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def told(texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
         import regex
 
         model, letter = sent.value, regex.compile(r"\p{L}")
         spoken = [i for i, t in enumerate(texts) if t and letter.search(t)] if model.languages else []
-        preds, scores = ["und"] * len(texts), [0.0] * len(texts)
+        preds, scores, own, sizes = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0] * len(texts)
         a = 0
         while a < len(spoken):
             b, chars = a, 0
             while b < len(spoken) and (b == a or chars + len(texts[spoken[b]]) <= _TEXT_TOGETHER):
                 chars += len(texts[spoken[b]])
                 b += 1
-            shares, _ = model.shares([texts[i] for i in spoken[a:b]], bits)
+            shares, n = model.shares([texts[i] for i in spoken[a:b]], bits)
             total, best = shares.sum(1), shares.argmax(1)
             for row, i in enumerate(spoken[a:b]):
                 preds[i] = model.languages[best[row]] if total[row] else model.commonest
                 scores[i] = float(shares[row, best[row]] / total[row]) if total[row] else 0.0
+                own[i], sizes[i] = float(shares[row, best[row]]), int(n[row])
             a = b
-        return preds, scores
+        return preds, scores, own, sizes
 
     def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            preds, scores = told(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            made = [pa.array(c, t) for c, t in zip(told(batch.column(at).to_pylist()), (pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(trimmed(say), schema)
 
@@ -188,3 +196,13 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: flo
     """doc_id, held_out, lang_pred, score of each document."""
     filters = fit(docs, sample_docs, min_doc_share)
     return predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, filters: Filters, wanted: list[str] | None = None, min_share: float = MIN_SHARE) -> DataFrame:
+    """The documents in a language of wanted (any learned one by default): those that some n-gram tells, and, of texts long enough
+    to judge, those of which the language has at least min_share of the n-grams. Columns stay as they are."""
+    told = predict(docs, filters, "__")
+    kept = (F.col("__lang_pred") != "und") & (F.col("__score") > 0) & ((F.col("__grams") < GRAMS_TO_JUDGE) | (F.col("__share") >= min_share))
+    if wanted is not None:
+        kept = kept & F.col("__lang_pred").isin(wanted)
+    return told.filter(kept).select(*docs.columns)
