@@ -51,13 +51,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], n_tokens: Callable[[str], int], max_ratio: float) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of runs with fewer than max_ratio characters a token that no taken span touches."""
-    found = []
+    """(start, 3, end) of runs with fewer than max_ratio characters a token that no taken span (in order of their starts) touches."""
+    found: list[tuple[int, int, int]] = []
+    ahead, reached = 0, 0
     for m in _RUN.finditer(text):
         run = m.group()
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run):
+        while ahead < len(taken) and taken[ahead][0] < m.end():
+            reached = max(reached, taken[ahead][2])
+            ahead += 1
+        if m.start() < reached:
             continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken):
+        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run):
             continue
         if len(run) < max_ratio * n_tokens(run):
             found.append((m.start(), 3, m.end()))
