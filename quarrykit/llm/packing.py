@@ -11,8 +11,8 @@ down they never use more pieces than there are, and what is left is packed greed
 longest first, each time with the longest piece that still fits. Assignment: pieces are
 numbered within their length and joined to the plan's ranges of numbers.
 
-A length that very many pieces share is numbered in shares (a hash of the piece), each
-share starting where the counts of the former end, so no task holds a whole length.
+A length that very many pieces share is numbered in shares (a hash of the piece; as many as keep a share bounded), each
+share starting where the counts of the former end, so no task holds a whole length. Whole windows aren't dealt at all.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows are each
 packed; a null doc_id stays null; other columns aren't read; an empty table gives no
@@ -140,15 +140,14 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, .
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces (see token_pieces) with sequence_id and offset. pieces is read twice: pass a stored table."""
     spark = pieces.sparkSession
-    n_rows = pieces.count()
-    shares = min(1024, max(8, n_rows // SHARE_ROWS))
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shares)).cast("int"))
-    # At most window x shares rows, both bounded.
-    counts = sorted((r["length"], r["share"], r["n"]) for r in dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n")).collect())
-    histogram, before = np.zeros(window + 1, np.int64), []
-    for length, share, n in counts:
-        before.append((length, share, int(histogram[length])))
-        histogram[length] += n
+    shares = max(8, pieces.count() // SHARE_ROWS)
+    share = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shares)).cast("int")
+    # A whole window is a sequence by itself: its number is any that no other has.
+    whole, dealt = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window).withColumn("share", share)
+    counts = stored(dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = np.zeros(window + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row a length
+        histogram[r["length"]] = r["n"]
     ranges, used, first = [], np.zeros(window + 1, np.int64), 0
     for sequence, n in plan(histogram, window):
         offset = 0
@@ -158,13 +157,15 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             offset += length
         first += n
     numbered = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")
-    befores = spark.createDataFrame(before, "length long, share int, before long")
+    former = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    befores = counts.select("length", "share", F.coalesce(F.sum("n").over(former), F.lit(0)).alias("before"))
     slots = spark.createDataFrame(ranges, "length long, low long, high long, first long, offset long")
-    dealt = dealt.withColumn("n", F.row_number().over(numbered) - 1).join(F.broadcast(befores), ["length", "share"]).withColumn("n", F.col("n") + F.col("before"))
-    # Both tables' sizes depend on the window and the number of shares alone.
-    return dealt.join(F.broadcast(slots), (dealt["length"] == slots["length"]) & (dealt["n"] >= slots["low"]) & (dealt["n"] < slots["high"])).select(
+    dealt = dealt.withColumn("n", F.row_number().over(numbered) - 1).join(befores, ["length", "share"]).withColumn("n", F.col("n") + F.col("before"))
+    # The plan's size depends on the window alone.
+    placed = dealt.join(F.broadcast(slots), (dealt["length"] == slots["length"]) & (dealt["n"] >= slots["low"]) & (dealt["n"] < slots["high"])).select(
         *(dealt[c] for c in pieces.columns), (slots["first"] + dealt["n"] - slots["low"]).alias("sequence_id"), slots["offset"]
     )
+    return placed.unionByName(whole.withColumns({"sequence_id": F.lit(first) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = TIKTOKEN_FILE, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
