@@ -92,6 +92,76 @@ def test_secret_scan_one_case():
     assert not any(map(found, words.split()))
 
 
+def test_secret_scan_long_runs():
+    """Every shape of run takes time in proportion, and so do many runs among many spans."""
+    import time
+
+    encoding = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE)
+    n_tokens = lambda s: len(encoding.encode_ordinary(s))
+    for shape in ("a", "aA", "aaA1", "aB-", "a-", "-", "A", "Aaaa", "Ab1_", "0a", "=", "aaaaaaaaaaaaaaaaaaaaA"):
+        for end in ("", "1A+", "!"):
+            text, began = (shape * 10_000)[:10_000] + end, time.time()
+            secret_scan.random_spans(text, secret_scan.base_spans(text), n_tokens, 2.0)
+            assert time.time() - began < 1, shape
+    text, began = "\n".join(f"{k:040x} Zk9qX2vLw8TzR4bNc1Hd7Yp{k}" for k in range(20_000)), time.time()
+    found = secret_scan.random_spans(text, secret_scan.base_spans(text), n_tokens, 2.0)
+    assert len(found) == 20_000 and time.time() - began < 10
+
+
+def test_secret_scan_random_brute(rows):
+    """The method's own spans against a scan character by character."""
+    encoding = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE)
+    key_chars = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    joints = set("-_/=+")
+
+    def is_word(w):
+        lower = w.islower() and w.isalpha()
+        return w.isdigit() or (w.isalpha() and ((lower and len(w) <= 19) or (w.isupper() and len(w) <= 19) or (w[:1].isupper() and w[1:].islower() and len(w) <= 20)))
+
+    def is_camel(run):
+        body = run.rstrip("0123456789")
+        if not body.isalpha():
+            return False
+        humps, at = [], 0
+        for k in range(1, len(body) + 1):
+            if k == len(body) or body[k].isupper():
+                humps.append(body[at:k])
+                at = k
+        small = [h[1:] if h[0].isupper() else h for h in humps]
+        return all(h.islower() and 2 <= len(h) <= 19 for h in small) and all(h[0].isupper() for h in humps[1:])
+
+    def is_identifier(run):
+        if run.isdigit() or is_camel(run):
+            return True
+        words = "".join(" " if c in joints else c for c in run).split()
+        return run[0] not in joints and all(map(is_word, words))
+
+    def is_digest(run):
+        hexes = set("0123456789abcdefABCDEF")
+        parts = run.split("-")
+        return (set(run) <= hexes and len(run) in (32, 40, 56, 64, 96, 128)) or ([len(p) for p in parts] == [8, 4, 4, 4, 12] and set("".join(parts)) <= hexes)
+
+    rng, odd = random.Random(9), []
+    for k in range(400):
+        alphabet = rng.choice(["abcdef0123456789", "abcXYZ012-_", "aB", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="])
+        odd.append(" ".join("".join(rng.choices(alphabet, k=rng.choice((19, 20, 25, 32, 36, 40, 64)))) for _ in range(5)))
+    told = 0
+    for text in [t or "" for _, t in rows] + odd:
+        base = secret_scan.base_spans(text)
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in key_chars:
+                end += 1
+            run = text[at:end]
+            if len(run) >= 20 and not is_digest(run) and not is_identifier(run) and all(b <= at or a >= end for a, _, b in base) and len(run) < 2 * len(encoding.encode_ordinary(run)):
+                want.append((at, 3, end))
+            at = max(end, at + 1)
+        assert secret_scan.random_spans(text, base, lambda s: len(encoding.encode_ordinary(s)), 2.0) == want
+        told += len(want)
+    assert told > 200
+
+
 def test_byte_bpe(docs, rows, none):
     encoding = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE)
     want = []
@@ -106,6 +176,28 @@ def test_byte_bpe(docs, rows, none):
     assert back == Counter((t or "").encode() for _, t in rows)
 
 
+def test_byte_bpe_long_words(spark):
+    """Words of any length: parts that no merge crosses, merged as the whole would be, in time that follows the length."""
+    import time
+
+    encoding, ranks, rng = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE), tokens.ranks(tokens.TIKTOKEN_FILE), random.Random(7)
+    cutter = byte_bpe.Cutter(ranks)
+    assert all(cutter.merged(piece) == [piece] for piece in list(ranks)[::7])
+    thai = "".join(map(chr, range(0x0E01, 0x0E3A)))
+    runs = ["".join(rng.choices(letters, k=k)) for letters in (thai, "ab", "aeioustrn", "abcdefghijklmnopqrstuvwxyz", "éèàç", "中文字符", "a", "=", " ", "the") for k in (65, 130, 700, 3000)]
+    for run in runs:
+        parts = cutter.parts(run.encode())
+        assert b"".join(parts) == run.encode()
+        assert len(encoding._encode_single_piece(run)) and [ranks[x] for p in parts for x in cutter.merged(p)] == encoding._encode_single_piece(run)
+    texts = [f"{run} and {run[:50]}  {run}" for run in runs] + ["".join(rng.choices(thai, k=200_000)), "a" * 200_000, "x" + " " * 100_000 + "y"]
+    began = time.time()
+    got = byte_bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    want = [encoding.encode_ordinary(t) for t in texts]
+    same([r[:3] for r in got], [(k, len(ids), sha(" ".join(map(str, ids)).encode())) for k, ids in enumerate(want)])
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {k: sha(t.encode()) for k, t in enumerate(texts)}
+
+
 def test_split_text_keeps_matches():
     pattern = tokens.words_pattern()
     for t in [t or "" for _, t in EDGES] + ["a b", " a", "a ", "a  b", "a\n b", "don't  stop 12ab", "　x y"]:
@@ -114,10 +206,10 @@ def test_split_text_keeps_matches():
 
 
 def test_tokenizer_libraries_agree(rows):
-    one, two = tokens.tiktoken_encoding(tokens.TIKTOKEN_FILE), tokens.hf_tokenizer(tokens.TOKENIZERS_FILE)
+    one, two = tokens.text_encoder(tokens.TIKTOKEN_FILE, tokens.TOKENIZERS_FILE), tokens.hf_tokenizer(tokens.TOKENIZERS_FILE)
     texts = [t or "" for _, t in rows] + ["<|endoftext|> x", "".join(map(chr, range(32, 0x250)))]
     for text, made in zip(texts, two.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert made.ids == one.encode_ordinary(text)
+        assert made.ids == one(text)
 
 
 def check_packing(packed, rows):
@@ -165,6 +257,20 @@ def test_packing_added_tokens(spark):
     same(made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect(), want.elements())
 
 
+def test_packing_hot_length(spark, monkeypatch):
+    """One length in many shares, and whole windows, fill sequences without a gap."""
+    monkeypatch.setattr(packing, "SHARE_ROWS", 20)
+    rows = [(k % 7, 0, length, k, length) for k, length in enumerate([700] * 900 + [2048] * 100 + [648] * 440 + [1] * 10)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES).repartition(5)).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed) == Counter(rows)
+    by_sequence: dict[int, list] = {}
+    for r in packed:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by_sequence.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+    assert len(by_sequence) <= 100 + 440 + 10
+
+
 def test_packing_plan():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 2048, 3000), np.full(500, 700), np.array([1]), np.array([2048, 2048]), np.array([], int)):
@@ -225,11 +331,34 @@ def test_suffix_dedup(docs, rows, none, monkeypatch):
     # An anchor in many texts goes by its windows' cores.
     monkeypatch.setattr(suffix_dedup, "HOT_PLACES", 2)
     same(suffix_dedup.repeated_bytes(docs).collect(), want)
-    cut = suffix_dedup.without_repeats(docs)
+    cut = suffix_dedup.without_repeats(docs, 400)
     texts = {r.doc_id: r.text for r in cut.collect()}
     assert cut.columns == docs.columns and texts[900009] == "" and texts[900007] == "beforeafter" and texts[900001] is None and texts[900005] == "one two"
 
 
+def test_passages_of_words():
+    words = [f"w{k}" for k in range(51)]
+    text = " ".join(words).encode()
+    assert suffix_dedup.of_words(text, 0, len(text)) and not suffix_dedup.of_words(text, 1, len(text)) and not suffix_dedup.of_words(text, 0, len(text) - 1)
+    within = b"x " + text + b"\n y"
+    assert suffix_dedup.of_words(within, 1, 3 + len(text)) and suffix_dedup.of_words(within, 2, 2 + len(text)) and not suffix_dedup.of_words(within, 3, 2 + len(text))
+    assert suffix_dedup.of_words(b"a" * 400, 0, 400) and not suffix_dedup.of_words(b"a" * 400, 0, 399) and not suffix_dedup.of_words(b"", 0, 0)
+
+
+def test_fragments_in_one_task():
+    """A fragment that a task has often goes on once, and every place has its run."""
+    import pyarrow as pa
+
+    passage = bytes(random.Random(3).choices(range(97, 123), k=600))
+    h, first, n, at = suffix_dedup.anchors(np.frombuffer(passage, np.uint8), np.array([0, len(passage)]))
+    spots = [{"h": int(a), "first": int(b) + 3, "n": int(c), "at": int(d) + 3, "hot": False} for a, b, c, d in zip(h, first, n, at, strict=True)]
+    batch = pa.RecordBatch.from_pylist([{"key": k.to_bytes(16, "little"), "text": f"{k:2} " + passage.decode() + f" {k}", "spots": spots} for k in range(50)])
+    rows = [r for b in suffix_dedup._fragments(400)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["key"], r["fragment"] in passage) for r in rows if r["fragment"]] == [(None, True)] * len(spots)
+    want = {(k.to_bytes(16, "little"), s["first"], s["first"] + s["n"]) for k in range(50) for s in spots}
+    assert sorted((r["key"], r["first"], r["stop"]) for r in rows if not r["fragment"]) == sorted(want)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for t in range(120):
@@ -239,6 +368,7 @@ def test_suffix_arrays():
         data = x.tobytes()
         order = suffix_arrays.suffix_array(x)
         assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        assert suffix_arrays._sorted(x.astype(np.int64) * 300, 2000).tolist() == order.tolist()
         shared = suffix_arrays.permuted_common_prefixes(x, order, 10**6)
         for a, b in zip(order, order[1:], strict=False):
             n = 0
@@ -247,6 +377,16 @@ def test_suffix_arrays():
             assert shared[b] == n
 
 
+def test_suffix_arrays_deep():
+    """Text whose names need several depths, in waves and entry by entry."""
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    data = b" ".join(words[k] for k in rng.integers(0, 300, 20_000))
+    data = data[:60_000] + data[10_000:50_000] + data[:70_000]
+    order = suffix_arrays.suffix_array(np.frombuffer(data, np.uint8))
+    assert len(np.unique(order)) == len(data) and all(data[a:] < data[b:] for a, b in zip(order[:-1:7].tolist(), order[1::7].tolist(), strict=False))
+
+
 def test_host_rules(docs, rows, none):
     words = re.compile(r"[^\x20\x09-\x0D]+")
     want = []
@@ -310,6 +450,41 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_language_filters_by_sets(spark):
+    """The filters against plain sets of n-grams: same language where sets leave a margin, and shares within what chance adds."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    rows = table.collect()
+
+    def grams_of(text):
+        data = f" {text.lower()} ".encode()
+        data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in data) + b"   "
+        found = [data[k : k + 4] for k in range(len(data) - 3)]
+        return [g for g in found if b"  " not in g]
+
+    counts, sizes = {}, Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            sizes[r.lang] += 1
+            counts.setdefault(r.lang, Counter()).update(set(grams_of(r.text)))
+    assert max(sizes.values()) <= language_id.SAMPLE_DOCS
+    sets = {lang: {g for g, n in of.items() if n >= max(2 if sizes[lang] > 20 else 1, 0.01 * sizes[lang])} for lang, of in counts.items()}
+    got = {r.doc_id: r for r in language_id.predict(table, language_id.fit(table)).collect()}
+    judged = 0
+    for r in rows:
+        own = grams_of(r.text or "")
+        if not own:
+            continue
+        share = {lang: sum(g in of for g in own) / len(own) for lang, of in sets.items()}
+        best = max(share.values())
+        tolerance = 0.03 + 1.5 / len(own)
+        assert got[r.doc_id].grams == len(own) and abs(got[r.doc_id].share - best) <= tolerance
+        near = {lang for lang, x in share.items() if x >= best - 2 * tolerance}
+        if best > 0:
+            assert got[r.doc_id].lang_pred in near
+            judged += len(near) == 1
+    assert judged > 0.9 * len(rows)
+
+
 def test_license_scan(docs, rows, none):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -325,11 +500,62 @@ def test_license_scan(docs, rows, none):
     assert license_scan.license_labels(none).count() == 0
 
 
-def test_license_templates(spark):
-    mit = "X. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software')"
-    rows = [(1, mit), (2, "permission is hereby granted free"), (3, "Licensed under the GNU General Public License, version 3."), (4, "the license of the general public")]
-    got = {r.doc_id: r.labels for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "mit", 2: "", 3: "gpl-3", 4: ""}
+def brute_labels(text):
+    """Labels and scores by the templates' rarest words: weights of those that stand where they would, one place off at most."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(lower))
+    _, idf = license_scan.rare_word_index(license_scan.TEMPLATES)
+    found = {}
+    for label, places in license_scan.rarest_words(license_scan.TEMPLATES).items():
+        key = license_scan.TEMPLATES[label][1].split()
+        if not any(words[k : k + len(key)] == key for k in range(len(words))):
+            continue
+        votes = Counter()
+        for k, word in enumerate(words):
+            for w, p in places:
+                if w == word:
+                    votes[k - p] += idf[w]
+        best = max((votes[b - 1] + votes[b] + votes[b + 1] for b in list(votes)), default=0) / sum(idf[w] for w, _ in places)
+        if best >= license_scan.MIN_SHARE:
+            name = label.partition("/")[0]
+            found[name] = max(found.get(name, 0), min(1.0, best))
+    return found
+
+
+def test_license_templates(spark, docs, rows):
+    rng = random.Random(11)
+    texts = {label: text for label, (text, _) in license_scan.TEMPLATES.items()}
+    odd = [f"Copyright (c) 2020 A. Person\n\n{text}\n" for text in texts.values()]
+    for label, text in texts.items():  # words lost, exchanged and put in
+        words = text.split()
+        for changes in (1, 3, 10, 40):
+            w = list(words)
+            for _ in range(changes):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice(([], ["other"], [w[at], "added"]))
+            odd.append(" ".join(w))
+    odd += ["permission is hereby granted free", "Licensed under the GNU General Public License, version 3.", "the license of the general public", "creative commons attribution 4 0"]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(700000 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
+    got = {(r.doc_id, r.labels, r.base_labels, round(r.score, 9)) for r in license_scan.license_labels(table).collect()}
+    for i, text in [*rows, *((700000 + k, t) for k, t in enumerate(odd))]:
+        found = brute_labels(text)
+        base = next(b for j, _, b, _ in got if j == i) if i is not None else ""
+        labels = ",".join(sorted({*found, *filter(None, base.split(","))}))
+        assert (i, labels, base, 1.0 if base else round(max(found.values(), default=0.0), 9)) in got
+    told = {i: labels for i, labels, _, _ in got}
+    assert all(label.partition("/")[0] in told[700000 + k].split(",") for k, label in enumerate(texts))
+    assert [told[700000 + len(odd) - 4 + k] for k in range(4)] == ["", "gpl-3", "", ""]
+
+
+def test_license_long_file(spark):
+    """A file of very many notices takes time in proportion."""
+    import time
+
+    notice = license_scan.TEMPLATES["gpl-3/line"][0] + "; released under the MIT License. "
+    table = spark.createDataFrame([(1, notice * 20_000)], "doc_id long, text string")
+    began = time.time()
+    got = license_scan.license_labels(table).first()
+    assert got.labels == "gpl-3,mit" and got.n_base == 20_000 and time.time() - began < 30
 
 
 @pytest.mark.parametrize("around", ["", "associated binary charge code conditions domain fee library met name person provided", "name code " * 500])
