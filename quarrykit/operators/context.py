@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.functions.text import CHARS_PER_TOKEN, CONTENT_OPEN, CONTEXT_CLOSE, CONTEXT_OPEN, CUT_CONTENT_OPEN
+from quarrykit.functions.text import CHARS_PER_TOKEN, CONTENT_OPEN, CONTEXT_CLOSE, CONTEXT_OPEN, CUT_CONTENT_OPEN, source_block
 from quarrykit.operators.chunking import split_lines
 from quarrykit.operators.ranking import keep_first, within
 
@@ -97,3 +97,9 @@ def pack_until_full(ranked: DataFrame, block_chars: str, max_chars: int = CONTEX
     """Ranked rows whose blocks, two characters apart, fit max_chars with their frame; stops at the first that doesn't. The
     first stays (and is to be cut to max_chars less the frame)."""
     return within(ranked, ["query_id"], ["rank"], F.col(block_chars) + 2, max_chars - frame_chars + 2)
+
+
+def block_chars(rows: DataFrame) -> Column:
+    """Characters of each ranked row's source block."""
+    language = F.col("language") if "language" in rows.columns else F.lit(None).cast("string")
+    return F.char_length(source_block(F.concat(F.lit("S"), F.col("rank").cast("string")), F.col("path"), F.col("start_line"), F.col("end_line"), language, F.col("content")))

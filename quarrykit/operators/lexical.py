@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import STOPWORDS, TEST_WORDS, compounds, is_test_path, lexical_text
 from quarrykit.operators.ranking import top_k
+from quarrykit.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,30 @@ def corpus_stats(tokenised_chunks: DataFrame) -> DataFrame:
     return tokenised_chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, chunk_id, doc_len, is_test, tf) and one row of statistics."""
+
+    postings: DataFrame
+    stats: DataFrame
+    config: BM25
+
+
+def write_index(chunks: DataFrame, config: BM25 = BM25()) -> tuple[str, str]:
+    """Paths of stored postings, in order of their terms, and statistics. Each chunk is split into tokens once; searches read the
+    postings of their terms. chunks: chunk_id, path, symbol, content."""
+    made = postings(tokenised(chunks, config)).repartition("term").sortWithinPartitions("term", "chunk_id")
+    at = written(made, "postings")
+    # Chunks without a token count as well, so their number is that of the chunks. One row each.
+    total = chunks.sparkSession.read.parquet(at).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    counted = total.crossJoin(chunks.agg(F.count(F.lit(1)).alias("n_docs")))
+    return at, written(counted.select("n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len")), "corpus-stats")
+
+
+def read_index(spark: SparkSession, paths: tuple[str, str], config: BM25 = BM25()) -> Index:
+    return Index(spark.read.parquet(paths[0]), spark.read.parquet(paths[1]), config)
+
+
 def query_terms(queries: DataFrame, config: BM25 = BM25(), tokens: Column | None = None) -> DataFrame:
     """query_id, term, qf, about_tests. queries: query_id, query. Where stop words are all there is, they stay."""
     rows = queries.select("query_id", (compounds(F.col("query")) if tokens is None else tokens).alias("tokens"))
@@ -50,8 +75,8 @@ def query_terms(queries: DataFrame, config: BM25 = BM25(), tokens: Column | None
 
 
 def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, config: BM25 = BM25()) -> DataFrame:
-    """query_id, chunk_id, score. Postings are cut to the queries' terms before anything is summed; a term
-    that most chunks hold is split by Spark's skew join."""
+    """query_id, chunk_id, score. Postings (see write_index: what isn't stored is worked out twice) are cut to the queries' terms
+    before anything is summed; a term that most chunks hold is split by Spark's skew join."""
     used = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()

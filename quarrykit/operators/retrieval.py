@@ -25,7 +25,7 @@ def exact_identifier_queries(queries: DataFrame) -> DataFrame:
 
 
 def symbol_search(chunks: DataFrame, wanted: DataFrame, limit: int = SYMBOL_LIMIT) -> DataFrame:
-    """query_id, rank, tier, identifier, path, chunk_index. Tier 0: a qualified name, 1: a simple one that looks like code, 2: a plain
+    """query_id, rank, tier, identifier, path, chunk_index, identity. Tier 0: a qualified name, 1: a simple one that looks like code, 2: a plain
     word. chunks: path, chunk_index, symbol, qualified. Of a symbol's fragments in a file the first counts, before the limit."""
     names = chunks.select("path", "chunk_index", F.coalesce("qualified", "symbol").alias("identity"), F.explode(F.array(F.struct(F.col("qualified").alias("name"), F.lit(True).alias("q")), F.struct(F.col("symbol").alias("name"), F.lit(False).alias("q")))).alias("n"))
     names = names.select("path", "chunk_index", "identity", F.col("n.name").alias("identifier"), F.col("n.q").alias("qualified")).filter("identifier is not null")
@@ -33,7 +33,7 @@ def symbol_search(chunks: DataFrame, wanted: DataFrame, limit: int = SYMBOL_LIMI
     found = wanted.join(names, ["identifier", "qualified"]).withColumn("tier", tier)
     best = keep_first(found, ["query_id", "path", "chunk_index"], ["tier", "identifier"])
     first = keep_first(best, ["query_id", "path", "identity"], ["tier", "chunk_index"])
-    return top_k(first, ["query_id"], ["tier", "path", "chunk_index"], limit).select("query_id", "rank", "tier", "identifier", "path", "chunk_index")
+    return top_k(first, ["query_id"], ["tier", "path", "chunk_index"], limit).select("query_id", "rank", "tier", "identifier", "path", "chunk_index", "identity")
 
 
 def with_evidence(symbols: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.functions.vectors import is_sound, unit
+from quarrykit.functions.text import compounds
+from quarrykit.functions.vectors import hash_slot, is_sound, unit
 from quarrykit.operators.ranking import top_k
 
 #: Vectors that a fit looks at, and queries compared at a time.
@@ -22,17 +23,44 @@ def model_violations(vectors: DataFrame) -> DataFrame:
     return found.filter("n_dimensions > 1 or n_unsound > 0")
 
 
-def _block_scores(k: int):
+class DimensionError(ValueError):
+    """Vectors of different lengths, which have no cosine."""
+
+
+def dimensions(vectors: DataFrame, queries: DataFrame) -> int | None:
+    """The length that all sound vectors and queries have; None without any. Otherwise raises DimensionError."""
+    sizes = [sorted(r["n"] for r in df.filter(is_sound(F.col("embedding"))).select(F.size("embedding").alias("n")).distinct().limit(10).collect()) for df in (vectors, queries)]
+    if len(sizes[0]) > 1 or len(sizes[1]) > 1:
+        raise DimensionError(f"stored vectors have lengths {sizes[0]}, queries {sizes[1]}: mixed dimensions")
+    if sizes[0] and sizes[1] and sizes[0] != sizes[1]:
+        raise DimensionError(f"queries have {sizes[1][0]} dimensions, stored vectors {sizes[0][0]}")
+    return next(iter(sizes[0] or sizes[1]), None)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, mode: str = "exact", exclude_own: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score by the mode, exact or ann. Both: id, embedding, of one length; unsound queries have no result."""
+    if mode not in ("exact", "ann"):
+        raise ValueError("mode must be 'exact' or 'ann'")
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError("k must be a positive integer")
+    dimensions(vectors, queries)
+    return (exact_top_k if mode == "exact" else ann_top_k)(vectors, queries, k, exclude_own=exclude_own)
+
+
+def _block_scores(k: int, exclude_own: bool):
     """Of rows of one shard and queries of one block: each query's k best rows there, by one matrix product."""
 
     def search(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not rows.num_rows or not queries.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        if (lengths := {len(v) for t, c in ((rows, "v"), (queries, "q_v")) for v in t.column(c)}) and len(lengths) > 1:
+            raise DimensionError(f"vectors have lengths {sorted(lengths)}")
         points, asked = (np.array(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, -1) for t, c in ((rows, "v"), (queries, "q_v")))
         ids, own = rows["id"].to_numpy(), queries["q_id"].to_numpy()
         scores = np.clip(asked @ points.T, -1, 1)
-        scores[own[:, None] == ids[None, :]] = -np.inf
+        if exclude_own:
+            scores[own[:, None] == ids[None, :]] = -np.inf
         order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
         kept = np.take_along_axis(scores, order, 1)
         sound = np.isfinite(kept).ravel()
@@ -46,21 +74,21 @@ def units(vectors: DataFrame) -> DataFrame:
     return vectors.filter(is_sound(F.col("embedding"))).select(F.col("id").cast("long").alias("id"), unit(F.col("embedding")).alias("v"))
 
 
-def _searched(points: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:
+def _searched(points: DataFrame, queries: DataFrame, k: int, keys: list[str], exclude_own: bool) -> DataFrame:
     asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in [*keys, "id", "v"]))
-    found = points.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(_block_scores(k), "query_id long, vec_id long, score double")
+    found = points.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(_block_scores(k, exclude_own), "query_id long, vec_id long, score double")
     found = found.withColumn("key", F.round("score", 9))
     return top_k(found, ["query_id"], [F.desc("key"), "vec_id"], k).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 50_000) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest other vectors. Both: id, embedding. Rows go to shards,
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 50_000, exclude_own: bool = True) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest vectors, other than that of its own id unless these are kept. Both: id, embedding. Rows go to shards,
     queries to blocks, both of bounded size; a shard and block is one task."""
     points, asked = units(vectors), units(queries)
     shards, blocks = max(1, -(-points.count() // shard_rows)), max(1, -(-asked.count() // BLOCK_QUERIES))
     points = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return _searched(points, asked, k, ["shard", "block"])
+    return _searched(points, asked, k, ["shard", "block"], exclude_own)
 
 
 def fit_cells(vectors: DataFrame, n_cells: int, sample: int = SAMPLE_VECTORS, rounds: int = 8) -> np.ndarray:
@@ -91,15 +119,35 @@ def _cells(centres: np.ndarray, n: int):
     return assign
 
 
-def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probes: int = 11, shard_rows: int = 50_000) -> DataFrame:
-    """exact_top_k over the n_probes cells nearest to each query; every vector is in one cell. Cells are cut into shards."""
+#: The share of cells that a search looks into at first, and the recall at which it stops to look into more.
+FIRST_SHARE, WANTED_RECALL, RECALL_QUERIES = 0.08, 0.93, 64
+
+
+def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int | None = None, n_probes: int | None = None, shard_rows: int = 50_000, exclude_own: bool = True) -> DataFrame:
+    """exact_top_k over the n_probes cells nearest to each query; every vector is in one cell. Cells are cut into shards.
+
+    There are as many cells as the square root of the rows, so a query reads some n_probes / n_cells of them. Without n_probes, a
+    bounded number of the queries is searched exactly as well, and the cells are raised until these reach the recall wanted."""
+    rows = vectors.count()
+    n_cells = max(1, min(4096, round(rows**0.5))) if n_cells is None else n_cells
     centres = fit_cells(vectors, n_cells)
+    n_cells = len(centres)
     schema = "id long, v array<double>, cell int"
-    points, asked = units(vectors).mapInArrow(_cells(centres, 1), schema), units(queries).mapInArrow(_cells(centres, n_probes), schema)
-    shards = max(1, -(-vectors.count() // (shard_rows * n_cells)))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return _searched(points, asked, k, ["cell", "shard"])
+    shards = max(1, -(-rows // (shard_rows * max(1, n_cells))))
+    points = units(vectors).mapInArrow(_cells(centres, 1), schema).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+
+    def probed(asked: DataFrame, n: int) -> DataFrame:
+        asked = units(asked).mapInArrow(_cells(centres, n), schema).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        return _searched(points, asked, k, ["cell", "shard"], exclude_own)
+
+    if n_probes is None:
+        n_probes = max(1, round(FIRST_SHARE * n_cells))
+        few = queries.orderBy(F.xxhash64("id"), "id").limit(RECALL_QUERIES)
+        exact = exact_top_k(vectors, few, k, shard_rows, exclude_own).cache()
+        while n_probes < n_cells and (exact.count() and recall(probed(few, n_probes), exact).agg(F.avg("recall")).first()[0] < WANTED_RECALL):
+            n_probes = min(n_cells, n_probes + max(1, n_probes // 2))
+        exact.unpersist()
+    return probed(queries, n_probes)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -123,3 +171,11 @@ def batches(rows: DataFrame, size: str, keys: list[str], order: list[str], most:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.groupBy(*keys).applyInArrow(number, f"{fields}, batch long")
+
+
+def hashed_vectors(texts: DataFrame, size: int = 64) -> DataFrame:
+    """id, embedding of each text's hashed bag of words (counts by slot); a text without a word has no row. texts: id, text."""
+    tokens = texts.select("id", F.explode(compounds(F.col("text"))).alias("term"))
+    slots = tokens.groupBy("id", hash_slot(F.col("term"), size).alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counted = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("by_slot"))
+    return counted.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda s: F.coalesce(F.try_element_at("by_slot", s), F.lit(0.0))).alias("embedding"))

@@ -9,6 +9,7 @@ from quarrykit.functions import text as T
 from quarrykit.functions.vectors import hash_slot
 from quarrykit.operators import chunking, context, evaluation, indexing, lexical, retrieval, searching
 from quarrykit.plans.registry import query, table
+from quarrykit.sources.shared import exists
 
 FOLD = "replace(lower({}), 'ß', 'ss')"
 COMPOUND = r"[\p{L}\p{N}]+(?:[_.\-/][\p{L}\p{N}]+)*"
@@ -80,14 +81,6 @@ def index_apply_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.applied(before, upserted, moved)
 
 
-@query(_VERSIONS + """, c AS (SELECT relative_path, CAST(doc_id % 3 AS BIGINT) AS n FROM b)
-SELECT b.relative_path, b.content_hash, c.n AS chunk_count FROM b JOIN c ON b.relative_path = c.relative_path""")
-def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0").withColumn("relative_path", path())
-    chunks = docs.filter("doc_id % 3 > 0").select("relative_path", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))))
-    return indexing.manifest(docs.select("relative_path", F.sha2("text", 256).alias("content_hash")), chunks)
-
-
 @query("""SELECT 'dup' AS problem, count(*) AS rows FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)
 UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'label not binary', count(*) FROM labels WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)""")
@@ -110,6 +103,13 @@ def line_chunks_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.line_windows(files(spark, sf_dir), 20, 5).select("path", "chunk_index", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
+@query(_LINES + f", h AS (SELECT path, count(*) AS n FROM k GROUP BY path) SELECT {PATH} AS relative_path, sha256(text) AS content_hash, coalesce(h.n, 0) AS chunk_count FROM documents LEFT JOIN h ON h.path = {PATH}")
+def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir)
+    chunks = chunking.line_windows(rows, 20, 5).select(F.col("path").alias("relative_path"))
+    return indexing.manifest(rows.select(F.col("path").alias("relative_path"), F.sha2("content", 256).alias("content_hash")), chunks)
+
+
 @query()
 def line_chunks_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(files(spark, sf_dir).withColumn("language", F.lit("text")), "line_v1", 20, 5, 1500).drop("symbol", "qualified")
@@ -168,12 +168,24 @@ def span_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.span_evidence(seeds.filter("rank <= 20").select("case_id", "path", "start_line", "end_line", "rank"), spans)
 
 
+_INDEXES: dict[tuple[str, str, lexical.BM25], tuple[str, str]] = {}
+
+
+def bm25_index(spark: SparkSession, sf_dir: str, config: lexical.BM25) -> lexical.Index:
+    """The index of a folder's documents: made once a session for a configuration, and read by every lexical query."""
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    at = _INDEXES.get(key)
+    if at is None or not all(exists(spark, path) for path in at):
+        at = _INDEXES[key] = lexical.write_index(chunk_rows(spark, sf_dir), config)
+    return lexical.read_index(spark, at, config)
+
+
 _TOKENS = f"WITH d AS (SELECT doc_id, regexp_extract_all({FOLD.format(f'concat({PATH}, chr(10), text)')}, '{COMPOUND}') AS toks FROM documents)"
 
 
 @query(_TOKENS + ", t AS (SELECT doc_id, unnest(toks) AS term FROM d), c AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most FROM c GROUP BY term HAVING count(*) >= 5")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical.postings(lexical.tokenised(chunk_rows(spark, sf_dir)))
+    index = bm25_index(spark, sf_dir, lexical.BM25()).postings
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("total"), F.max("tf").alias("most")).filter("df >= 5")
 
 
@@ -194,8 +206,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS sco
 
 
 def _bm25(spark: SparkSession, sf_dir: str, config: lexical.BM25, k: int, chunks: DataFrame | None = None) -> DataFrame:
-    rows = lexical.tokenised(chunk_rows(spark, sf_dir) if chunks is None else chunks, config)
-    return lexical.bm25_top_k(lexical.postings(rows), lexical.corpus_stats(rows), lexical.query_terms(questions(spark, sf_dir), config), k, config)
+    index = bm25_index(spark, sf_dir, config) if chunks is None else lexical.read_index(spark, lexical.write_index(chunks, config), config)
+    return lexical.bm25_top_k(index.postings, index.stats, lexical.query_terms(questions(spark, sf_dir), config), k, config)
 
 
 @query(_bm25_sql(f"concat({PATH}, chr(10), text)", True, "1", 10))

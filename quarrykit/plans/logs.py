@@ -174,7 +174,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     chunks = table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.col("p_brand"), F.lit(".py")).alias("path"), F.col("p_partkey").alias("chunk_index"), name.alias("symbol"), F.concat("p_brand", F.lit("."), name).alias("qualified"))
     wanted = spark.createDataFrame([(1, "Brand#1.red_widget", True, True), (1, "small_ring", False, True), (1, "red_widget", False, True), (1, "blue_bolt", False, False)], "query_id long, identifier string, qualified boolean, strong boolean")
-    return retrieval.symbol_search(chunks, wanted, 50)
+    return retrieval.symbol_search(chunks, wanted, 50).drop("identity")
 
 
 @query(_SYMBOLS + "SELECT CAST(1 AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, CAST(tier AS INTEGER) AS tier, identifier, path, chunk_index FROM o WHERE rank <= 50")

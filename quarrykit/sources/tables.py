@@ -44,11 +44,23 @@ class VersionedTable:
             stream.write(bytearray(json.dumps({"version": version, "fingerprint": fingerprint}).encode()))
         finally:
             stream.close()
-        before = self.pointer()
-        self._fs.delete(at, False)
-        self._fs.rename(new, at)
-        if before:
-            self._fs.delete(self._path(f"{self.folder}/{before['version']}"), True)
+        # One step, so a reader finds the old pointer or the new one. Old versions stay for readers that have begun: see expire().
+        jvm = self.spark._jvm
+        overwrite = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE.getClass(), 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, at, overwrite)
+
+    def expire(self, older_than_ms: int) -> list[str]:
+        """Deletes versions that aren't current and were written longer ago than that; returns their names."""
+        now = self.pointer()
+        limit = self.spark._jvm.java.lang.System.currentTimeMillis() - older_than_ms
+        gone = []
+        for status in self._fs.listStatus(self._path(self.folder)):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name != (now or {}).get("version") and status.getModificationTime() <= limit:
+                self._fs.delete(status.getPath(), True)
+                gone.append(name)
+        return sorted(gone)
 
     def compatible(self, fingerprint: str | None) -> bool:
         """Whether an incremental update with this fingerprint fits: both are there and equal."""
@@ -72,5 +84,6 @@ def append_trace(runs: DataFrame, events: DataFrame, folder: str) -> None:
     events.sortWithinPartitions("run_id", "sequence").write.mode("append").parquet(f"{folder}/events")
 
 
-def write_json_report(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").json(path)
+def write_json_report(rows: DataFrame, path: str, one_file: bool = True) -> None:
+    """A report is small: one file unless told otherwise."""
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").json(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrykit.functions.text import sse_frame
+from quarrykit.sources.shared import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -53,9 +53,8 @@ def frames(events: DataFrame) -> DataFrame:
 
 
 def finished(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """What is there, run through as a stream into a table of the session's shared folder (a local one if it has none)."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    """What is there, run through as a stream into a table of the session's shared folder."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}") if mode == "append" else batch.write.mode("overwrite").parquet(f"{at}/out")
