@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions.text import lines_kept
 
 MAX_LINES, OVERLAP, MAX_CHARS = 120, 20, 12_000
-CHUNKS = "path string, chunk_index int, start_line int, end_line int, kind string, symbol string, qualified string, content string"
+CHUNKS = "path string, chunk_index int, start_line int, end_line int, kind string, symbol string, qualified string, parent string, fragment_index int, fragment_count int, content string"
 
 
 def line_windows(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -74,70 +75,106 @@ def windows_of(text: str, max_lines: int = MAX_LINES, overlap: int = OVERLAP, ma
         at = end - shared
 
 
-def python_units(text: str) -> list[tuple[int, int, str, str | None]]:
-    """(first line, last line, kind, qualified name) of a module's parts: functions, methods, classes' heads, and what lies between.
-    Raises SyntaxError (or ValueError) where the text doesn't parse."""
-    tree = ast.parse(text)
-    total = len(split_lines(text))
-    out: list[tuple[int, int, str, str | None]] = []
-
-    def begins(node: ast.stmt) -> int:
-        return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
-
-    def visit(body: list[ast.stmt], first: int, last: int, kind: str, name: str | None) -> None:
-        """Lines first..last that hold body; its definitions become units, the rest gaps of kind."""
-        at = first
-        for node in body:
-            if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                continue
-            start, end = begins(node), node.end_lineno or node.lineno
-            if start < at:
-                continue
-            if start > at:
-                out.append((at, start - 1, kind, name))
-            own = f"{name}.{node.name}" if name else node.name
-            if isinstance(node, ast.ClassDef):
-                visit(node.body, start, end, "class", own)
-            else:
-                out.append((start, end, "method" if kind == "class" else "function", own))
-                nested(node, own)
-            at = end + 1
-        if at <= last:
-            out.append((at, last, kind, name))
-
-    def nested(node: ast.AST, name: str) -> None:
-        for inner in ast.iter_child_nodes(node):
-            if isinstance(inner, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                own = f"{name}.{inner.name}"
-                out.append((begins(inner), inner.end_lineno or inner.lineno, "class" if isinstance(inner, ast.ClassDef) else "function", own))
-                nested(inner, own)
-            else:
-                nested(inner, name)
-
-    visit(tree.body, 1, total, "module", None)
-    return out
+_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+
+
+class Unit(NamedTuple):
+    """A part of a module: its lines, what it is, whose it is, and the lines where a break is welcome."""
+
+    first: int
+    last: int
+    kind: str
+    qualified: str | None = None
+    parent: str | None = None
+    breaks: frozenset[int] = frozenset()
+
+
+def _head(node: ast.stmt) -> int:
+    return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
+
+
+def _within(body: list[ast.stmt]) -> list[ast.stmt]:
+    """The definitions in body, however deep in other statements, but not those of other definitions."""
+    found: list[ast.stmt] = []
+    waiting: list[ast.AST] = list(body)
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, _DEFINITIONS):
+            found.append(node)
+        else:
+            waiting += ast.iter_child_nodes(node)
+    return sorted(found, key=lambda n: (_head(n), n.end_lineno or n.lineno))
 
 
-def structural(text: str, is_python: bool, max_lines: int, overlap: int, max_chars: int) -> Iterator[tuple[int, int, str, str | None, str]]:
-    """(first line, last line, kind, qualified name, content) by structure; by lines where there is none or it doesn't parse."""
+def python_units(text: str) -> Iterator[Unit]:
+    """A module's parts in order: functions, methods, classes, what lies between definitions, and behind a function the definitions
+    within it. Raises SyntaxError (or ValueError) where the text doesn't parse."""
+
+    def told(node: ast.stmt, parent: str | None, kind: str) -> Iterator[Unit]:
+        name, last = f"{parent}.{node.name}" if parent else node.name, node.end_lineno or node.lineno
+        ends = frozenset(s.end_lineno or s.lineno for s in node.body)
+        if isinstance(node, ast.ClassDef):
+            yield from spread(node.body, Unit(_head(node), last, "class", name, parent, ends), "method")
+            return
+        yield Unit(_head(node), last, kind, name, parent, ends)
+        for deeper in _within(node.body):
+            yield from told(deeper, name, "function")
+
+    def spread(body: list[ast.stmt], whole: Unit, kind: str) -> Iterator[Unit]:
+        """The definitions of body, and the rest of whole as gaps; whole itself where there are none."""
+        own, at = [s for s in body if isinstance(s, _DEFINITIONS)], whole.first
+        for node in own:
+            if at < _head(node):
+                yield whole._replace(first=at, last=_head(node) - 1, breaks=frozenset())
+            yield from told(node, whole.qualified, kind)
+            at = (node.end_lineno or node.lineno) + 1
+        if at <= whole.last:
+            yield whole._replace(first=at, breaks=frozenset() if own else whole.breaks)
+
+    yield from spread(ast.parse(text).body, Unit(1, len(split_lines(text)), "module"), "function")
+
+
+def unit_parts(lines: list[str], unit: Unit, max_lines: int, max_chars: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, content): the unit in parts of at most max_lines lines and max_chars characters. A part that can't hold the
+    rest ends behind its last statement, if one ends in it; a line over max_chars is cut into near equal pieces."""
+    pieces = [(n, piece) for n in range(unit.first, unit.last + 1) for piece in (near_equal(lines[n - 1], max_chars) if len(lines[n - 1]) > max_chars else [lines[n - 1]])]
+    parts, at = [], 0
+    while at < len(pieces):
+        end, room, good = at, max_chars, 0
+        while end < len(pieces) and len(pieces[end][1]) <= room and pieces[end][0] - pieces[at][0] < max_lines:
+            line, piece = pieces[end]
+            room, end = room - len(piece), end + 1
+            if line in unit.breaks and (end == len(pieces) or pieces[end][0] > line):
+                good = end
+        if good and end < len(pieces):
+            end = good
+        parts.append((pieces[at][0], pieces[end - 1][0], "".join(piece for _, piece in pieces[at:end])))
+        at = end
+    return parts
+
+
+_Chunk = tuple[int, int, str, str | None, str | None, int | None, int | None, str]
+
+
+def structural(text: str, is_python: bool, max_lines: int, overlap: int, max_chars: int) -> Iterator[_Chunk]:
+    """(first line, last line, kind, qualified name, parent, fragment, fragments, content) by structure; by lines where there is none or it
+    doesn't parse."""
     try:
-        units = python_units(text) if is_python else None
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        units = list(python_units(text)) if is_python else None
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
         units = None
     if units is None:
         for a, b, content in windows_of(text, max_lines, overlap, max_chars):
-            yield a, b, "line_fallback", None, content
+            yield a, b, "line_fallback", None, None, None, None, content
         return
     lines = split_lines(text)
-    for a, b, kind, name in units:
-        content = "".join(lines[a - 1 : b])
-        if not content.strip():
+    for unit in units:
+        parts = unit_parts(lines, unit, max_lines, max_chars)
+        if not any(content.strip() for *_, content in parts):
             continue
-        if len(content) <= max_chars:
-            yield a, b, kind, name, content
-        else:
-            for x, y, piece in windows_of(content, max(1, b - a + 1), 0, max_chars):
-                yield a + x - 1, a + y - 1, "structural_fragment", name, piece
+        for k, (a, b, content) in enumerate(parts, 1):
+            alone = len(parts) == 1
+            yield a, b, unit.kind if alone else "structural_fragment", unit.qualified, unit.parent, None if alone else k, None if alone else len(parts), content
 
 
 def chunks(files: DataFrame, strategy: str = "line_v1", max_lines: int = MAX_LINES, overlap: int = OVERLAP, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -146,17 +183,17 @@ def chunks(files: DataFrame, strategy: str = "line_v1", max_lines: int = MAX_LIN
         raise ValueError("overlap must be less than max_lines, max_chars positive and the strategy known")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "chunk_index", "start_line", "end_line", "kind", "symbol", "qualified", "content"]
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+        names = ["path", "chunk_index", "start_line", "end_line", "kind", "symbol", "qualified", "parent", "fragment_index", "fragment_count", "content"]
+        types = [pa.string(), *[pa.int32()] * 3, *[pa.string()] * 4, *[pa.int32()] * 2, pa.string()]
         for batch in batches:
             rows = []
             for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if strategy == "line_v1":
-                    made = ((a, b, "line", None, content) for a, b, content in windows_of(text or "", max_lines, overlap, max_chars))
+                    made = ((a, b, "line", None, None, None, None, content) for a, b, content in windows_of(text or "", max_lines, overlap, max_chars))
                 else:
                     made = structural(text or "", language == "python", max_lines, overlap, max_chars)
-                rows += [(path, i, a, b, kind, name.rpartition(".")[2] if name else None, name, content) for i, (a, b, kind, name, content) in enumerate(made)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
+                rows += [(path, i, a, b, kind, name.rpartition(".")[2] if name else None, name, *rest) for i, (a, b, kind, name, *rest) in enumerate(made)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return files.select("path", "language", "content").mapInArrow(cut, CHUNKS)

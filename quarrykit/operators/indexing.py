@@ -27,18 +27,38 @@ def classified(current: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b, "relative_path", "full").select("relative_path", change.alias("change"))
 
 
-def update_violations(upserted: DataFrame, deleted: DataFrame, chunks: DataFrame, current: DataFrame) -> DataFrame:
-    """relative_path, problem: why an update would not be applied."""
-    twice = upserted.groupBy("relative_path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("relative_path", F.lit("upserted twice").alias("problem"))
-    both = upserted.join(deleted, "relative_path", "left_semi").select("relative_path", F.lit("upserted and deleted").alias("problem"))
-    stays = deleted.join(current, "relative_path", "left_semi").select("relative_path", F.lit("deleted but current").alias("problem"))
-    unknown = upserted.join(current, "relative_path", "left_anti").select("relative_path", F.lit("upserted but not current").alias("problem"))
-    stray = chunks.join(upserted, "relative_path", "left_anti").select("relative_path", F.lit("chunk of a file not upserted").alias("problem")).distinct()
-    same = chunks.groupBy("relative_path", "chunk_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("relative_path", F.lit("repeated chunk").alias("problem")).distinct()
-    holes = chunks.groupBy("relative_path").agg(F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"), F.countDistinct("chunk_index").alias("n")).filter("low <> 0 or high + 1 <> n").select("relative_path", F.lit("chunk indexes not 0..n").alias("problem"))
-    out = twice
-    for more in (both, stays, unknown, stray, same, holes):
-        out = out.unionByName(more)
+def update_violations(
+    upserted: DataFrame, deleted: DataFrame, chunks: DataFrame, current: DataFrame, persisted: DataFrame | None = None, full_rebuild: bool = False, compatible: bool = True
+) -> DataFrame:
+    """relative_path, problem: why an update would not be applied. current and persisted: relative_path, content_hash of the snapshot and of
+    what is indexed (None: not looked at); compatible: whether what is indexed has the update's fingerprint. A rebuild drops all that is indexed,
+    so it must upsert the whole snapshot; any other update must account for each path of both."""
+    path = "relative_path"
+    new, old = upserted.select(path).distinct(), deleted.select(path).distinct()
+    twice = lambda df: df.groupBy(path).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = chunks.groupBy(path).agg(F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"), F.countDistinct("chunk_index").alias("n"))
+    found = {
+        "upserted twice": twice(upserted), "deleted twice": twice(deleted), "upserted and deleted": new.join(old, path, "left_semi"), "upserted but not current": new.join(current, path, "left_anti"),
+        "chunk of a file not upserted": chunks.select(path).distinct().join(new, path, "left_anti"),
+        "repeated chunk": chunks.groupBy(path, "chunk_index").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "chunk indexes not 0..n": counted.filter("low <> 0 or high + 1 <> n"),
+    }
+    if full_rebuild:
+        found["rebuild omits it"] = current.join(new, path, "left_anti")
+    else:
+        found["deleted but current"] = old.join(current, path, "left_semi")
+        if not compatible:
+            found["no matching fingerprint: rebuild"] = current.sparkSession.createDataFrame([("",)], f"{path} string")
+        if persisted is not None:
+            reused = current.select(path, F.col("content_hash").alias("now")).join(new, path, "left_anti").join(persisted.select(path, F.col("content_hash").alias("then")), path, "left")
+            left = persisted.join(current, path, "left_anti")
+            found["deleted but not indexed"] = old.join(current, path, "left_anti").join(persisted, path, "left_anti")
+            found["left the snapshot but not deleted"] = left.join(old, path, "left_anti")
+            found["new but not upserted"] = reused.filter("then is null")
+            found["changed but not upserted"] = reused.filter("then <> now")
+    out = None
+    for problem, rows in found.items():
+        rows = rows.select(path, F.lit(problem).alias("problem")).distinct()
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import casefold, lines_kept
+from quarrykit.operators.ranking import with_truncation
 
 LINE_CHARS = 500
 
@@ -33,6 +34,19 @@ def search(files: DataFrame, needle: str, case_sensitive: bool = False) -> DataF
     return lines.withColumn("found", found).filter("found >= 0").select("path", "line_number", bounded(F.col("line"), F.col("found")).alias("line"))
 
 
+#: Matches that a search returns at most.
+MAX_RESULTS = 50
+
+
+def search_limited(files: DataFrame, needle: str, max_results: int = MAX_RESULTS, case_sensitive: bool = False, under: str | None = None) -> tuple[DataFrame, bool]:
+    """(the first matches by path and line, whether there are more). under: a folder or file that paths must lie in."""
+    if not needle or not 1 <= max_results <= 1000:
+        raise ValueError("a search needs a needle, and 1 to 1000 results")
+    if under is not None:
+        files = files.filter((F.col("path") == under) | F.col("path").startswith(under.rstrip("/") + "/"))
+    return with_truncation(search(files, needle, case_sensitive), ["path", "line_number"], max_results)
+
+
 def declaration_kind(line: Column, symbol: str) -> Column:
     """function, class or variable if the line declares symbol, else null; the first pattern that fits decides."""
     name = re.escape(symbol) + r"(?![A-Za-z0-9_$])"

@@ -81,6 +81,28 @@ def index_apply_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.applied(before, upserted, moved)
 
 
+@query(_VERSIONS + f""",
+s AS (SELECT a.relative_path, a.content_hash, CAST(regexp_extract(a.relative_path, 'doc_([0-9]+)', 1) AS BIGINT) AS i FROM a),
+up AS (SELECT relative_path FROM s WHERE i % 7 = 0 OR i % 10 = 0), u AS (SELECT * FROM up WHERE relative_path NOT LIKE '%3.txt'),
+de AS (SELECT relative_path FROM b WHERE relative_path LIKE '%1.txt' AND relative_path NOT LIKE '%31.txt' UNION SELECT relative_path FROM b WHERE relative_path LIKE '%77.txt' UNION ALL SELECT relative_path FROM b WHERE relative_path LIKE '%41.txt'),
+p AS (SELECT 'deleted twice' AS problem, relative_path FROM de GROUP BY relative_path HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'upserted and deleted', u.relative_path FROM u JOIN de ON u.relative_path = de.relative_path
+UNION ALL SELECT DISTINCT 'deleted but current', de.relative_path FROM de JOIN a ON a.relative_path = de.relative_path
+UNION ALL SELECT 'left the snapshot but not deleted', relative_path FROM b WHERE relative_path NOT IN (SELECT relative_path FROM a) AND relative_path NOT IN (SELECT relative_path FROM de)
+UNION ALL SELECT 'new but not upserted', relative_path FROM a WHERE relative_path NOT IN (SELECT relative_path FROM b) AND relative_path NOT IN (SELECT relative_path FROM u)
+UNION ALL SELECT 'changed but not upserted', a.relative_path FROM a JOIN b ON a.relative_path = b.relative_path WHERE a.content_hash <> b.content_hash AND a.relative_path NOT IN (SELECT relative_path FROM u))
+SELECT problem, count(*) AS files FROM p GROUP BY problem""")
+def index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update that leaves some changed files out, deletes one too few, one too many and one twice."""
+    current, before = versions(spark, sf_dir)
+    number, name = F.regexp_extract("relative_path", "doc_([0-9]+)", 1).cast("long"), F.col("relative_path")
+    upserted = current.filter(((number % 7 == 0) | (number % 10 == 0)) & ~name.endswith("3.txt")).select("relative_path")
+    ends = lambda *of: before.filter(name.rlike("(?:" + "|".join(of) + ")[.]txt$")).select("relative_path")
+    deleted = ends("1", "77").filter(~name.endswith("31.txt")).unionByName(ends("41"))
+    none = upserted.filter("1 = 0").withColumn("chunk_index", F.lit(0))
+    return indexing.update_violations(upserted, deleted, none, current, before).groupBy("problem").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("""SELECT 'dup' AS problem, count(*) AS rows FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)
 UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT 'label not binary', count(*) FROM labels WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)""")
@@ -112,16 +134,22 @@ def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def line_chunks_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(files(spark, sf_dir).withColumn("language", F.lit("text")), "line_v1", 20, 5, 1500).drop("symbol", "qualified")
+    return chunking.chunks(files(spark, sf_dir).withColumn("language", F.lit("text")), "line_v1", 20, 5, 1500).select("path", "chunk_index", "start_line", "end_line", "kind", "content")
+
+
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a module: its lines are statements of a class's methods, seven a method; a fifth of the documents are one function."""
+    clean = lambda line: F.regexp_replace(line, r"['\\\\\p{Cntrl}]", "_")
+    parts = F.split(F.coalesce("content", F.lit("")), "\n", -1)
+    method = F.transform(parts, lambda line, i: F.concat(F.when(i % 7 == 0, F.concat(F.lit("\n    def m"), i.cast("string"), F.lit("(self):\n"))).otherwise(""), F.lit("        v = '"), clean(line), F.lit("'\n")))
+    body = F.transform(parts, lambda line, i: F.concat(F.lit("    v = '"), clean(line), F.lit("'\n")))
+    module = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("import os\n\n\ndef whole():\n"), F.array_join(body, ""))).otherwise(F.concat(F.lit("import os\n\n\nclass Doc:\n    x = 1\n"), F.array_join(method, ""), F.lit("\n\ndef tail():\n    return os\n")))
+    return files(spark, sf_dir).withColumn("content", module).withColumn("language", F.lit("python"))
 
 
 @query()
 def python_ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a module: its first words name a class and methods."""
-    word = lambda i: F.concat(F.lit("w"), F.regexp_replace(F.coalesce(F.get(F.split("content", r"\s+"), i), F.lit("x")), r"[^A-Za-z0-9]", ""))
-    source = F.concat(F.lit("import os\n\n\nclass "), word(0), F.lit(":\n    def "), word(1), F.lit("(self):\n        return 1\n\n\ndef "), word(2), F.lit("():\n    return os\n"))
-    rows = files(spark, sf_dir).withColumn("content", source).withColumn("language", F.lit("python"))
-    return chunking.chunks(rows, "python_ast_v1")
+    return chunking.chunks(python_files(spark, sf_dir), "python_ast_v1", 120, 20, 4000)
 
 
 _CHUNKS = _LINES + ", s AS (SELECT path, chunk_index, start_line, end_line, content, row_number() OVER (PARTITION BY chunk_index % 3 ORDER BY path, chunk_index) AS rank, chunk_index % 3 AS query_id FROM k WHERE chunk_index > 0)"

@@ -76,12 +76,13 @@ def eval_by_category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.by_category(_cases(spark, sf_dir), ["recall", "reciprocal_rank"])
 
 
-@query(_NEAREST + """, g AS (SELECT a.vec_id AS case_id, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 20 = 0 AND b.vec_id < 50),
+@query(_NEAREST + """, g AS (SELECT a.vec_id AS case_id, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 k AS (SELECT query_id AS case_id, vec_id AS item FROM r WHERE rank <= 10),
 x AS (SELECT g.case_id, count(*) AS wanted, count(k.item) AS hits FROM g LEFT JOIN k ON g.case_id = k.case_id AND g.item = k.item GROUP BY g.case_id)
 SELECT case_id, hits / wanted AS coverage, hits / 10 AS "precision", 0.5 AS utilisation, CAST(10 AS BIGINT) AS packed FROM x""")
 def eval_context_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    gold = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), "label").join(rows.filter("vec_id < 50").select(F.col("vec_id").alias("item"), "label"), "label").select("case_id", "item")
+    cases, items = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), "label"), rows.select(F.col("vec_id").alias("item"), "label")
+    gold = cases.join(items, "label").filter("case_id <> item").select("case_id", "item")
     packed = _nearest(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("item"), F.lit(50).alias("tokens"))
     return evaluation.context_quality(packed, gold, 1000)

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import answering, chunking, context, evaluation, indexing, jobs, lexical, ranking, retrieval, traces, vector
+from quarrykit.operators import answering, chunking, context, evaluation, indexing, jobs, lexical, ranking, retrieval, search, searching, traces, vector
 from quarrykit.operators.answering import Providers
 
 
@@ -104,6 +104,109 @@ def test_python_chunks(spark):
     assert {r.kind for r in rows if r.path != "a.py"} == {"line_fallback"}
 
 
+NESTED = """x = 1
+def outer(a):
+    b = 1
+    if a:
+        class Local:
+            z = 3
+
+            def m(self):
+                return 1
+
+            y = 2
+    return b
+class Empty:
+    p = 1
+    q = (2,
+         3)
+    r = 4
+async def last():
+    pass
+"""
+
+
+def test_python_units():
+    got = [tuple(u)[:5] for u in chunking.python_units(NESTED)]
+    assert got == [
+        (1, 1, "module", None, None), (2, 12, "function", "outer", None), (5, 7, "class", "outer.Local", "outer"), (8, 9, "method", "outer.Local.m", "outer.Local"),
+        (10, 11, "class", "outer.Local", "outer"), (13, 17, "class", "Empty", None), (18, 19, "function", "last", None),
+    ]
+    empty = next(u for u in chunking.python_units(NESTED) if u.qualified == "Empty")
+    assert empty.breaks == {14, 16, 17}
+    # Three lines at most: the class ends its first part behind a statement, not within one.
+    lines = chunking.split_lines(NESTED)
+    assert [(a, b) for a, b, _ in chunking.unit_parts(lines, empty, 3, 1000)] == [(13, 14), (15, 17)]
+    assert [(a, b) for a, b, _ in chunking.unit_parts(lines, empty._replace(breaks=frozenset()), 3, 1000)] == [(13, 15), (16, 17)]
+    assert [len(c) for *_, c in chunking.unit_parts(["a" * 25], chunking.Unit(1, 1, "module"), 5, 10)] == [9, 8, 8]
+
+
+def test_fragments(spark):
+    body = "".join(f"    v{i} = {i}\n" for i in range(300))
+    files = spark.createDataFrame([("a.py", "python", f"def f():\n{body}")], "path string, language string, content string")
+    rows = chunking.chunks(files, "python_ast_v1").orderBy("chunk_index").collect()
+    assert [(r.kind, r.fragment_index, r.fragment_count, r.start_line, r.end_line, r.qualified, r.parent) for r in rows] == [
+        ("structural_fragment", k + 1, 3, 120 * k + 1, min(301, 120 * k + 120), "f", None) for k in range(3)
+    ]
+    assert "".join(r.content for r in rows) == f"def f():\n{body}"
+
+
+def test_python_query_covers_its_files(spark):
+    from quarrykit.plans import documents
+
+    small = "/root/testdata/sf0.001"
+    texts = {r.path: r.content for r in documents.python_files(spark, small).collect()}
+    made: dict[str, list] = {}
+    for r in documents.python_ast_chunks(spark, small).collect():
+        made.setdefault(r.path, []).append(r)
+        assert r.end_line - r.start_line < 120 and len(r.content) <= 4000 and (r.kind == "structural_fragment") == (r.fragment_index is not None) and r.kind != "line_fallback"
+    for path, text in texts.items():
+        got = "".join(r.content for r in sorted(made[path], key=lambda r: r.chunk_index))
+        assert got.replace("\n", "") == text.replace("\n", "")
+    assert any(r.kind == "structural_fragment" for rows in made.values() for r in rows)
+
+
+def test_search_limited(spark):
+    files = spark.createDataFrame([("a/b.py", "x\nTODO one\ntodo two"), ("a/c.py", "todo three"), ("ab.py", "todo four")], "path string, content string")
+    rows, more = searching.search_limited(files, "todo", 2)
+    assert [(r.path, r.line_number) for r in rows.collect()] == [("a/b.py", 2), ("a/b.py", 3)] and more
+    rows, more = searching.search_limited(files, "todo", 3, under="a")
+    assert rows.count() == 3 and not more
+    assert searching.search_limited(files, "todo", 5, case_sensitive=True)[0].count() == 3
+    with pytest.raises(ValueError):
+        searching.search_limited(files, "")
+
+
+def test_dimensions(spark):
+    rows = lambda *vs: spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vs)], "id long, embedding array<float>")
+    with pytest.raises(vector.DimensionError):
+        vector.search(rows([1.0, 0, 0], [1.0, 0, 0, 0, 0]), rows([1.0, 0, 0]), 2)
+    with pytest.raises(vector.DimensionError):
+        vector.search(rows([1.0, 0, 0]), rows([1.0, 0]), 2)
+    with pytest.raises(ValueError):
+        vector.search(rows([1.0]), rows([1.0]), 2, "nearly")
+    got = vector.search(rows([1.0, 0], [0.0, 1], [0.0, 0]), rows([1.0, 0]), 5).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(0, 1.0), (1, 0.0)]
+    assert vector.search(rows(), rows([1.0]), 2).count() == 0
+
+
+def test_search_errors(spark):
+    chunks = spark.createDataFrame([(1, "a.py", 0, None, None, "alpha beta"), (2, "b.py", 0, "load_it", "m.load_it", "gamma")], "chunk_id long, path string, chunk_index int, symbol string, qualified string, content string")
+    vectors = vector.hashed_vectors(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
+    corpus = search.Corpus(chunks, vectors, lexical.read_index(spark, lexical.write_index(chunks)))
+    asked = lambda *qs: spark.createDataFrame(list(enumerate(qs)), "query_id long, query string")
+    q_vectors = lambda q: vector.hashed_vectors(q.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id")
+    q = asked("load_it", "alpha")
+    got = {(r.query_id, r.chunk_id): r.symbol_rank for r in search.search(corpus, q, q_vectors(q), 2).collect()}
+    assert got[(0, 2)] == 1 and got[(1, 1)] is None
+    for bad in (lambda: search.search(corpus, q, None, 2), lambda: search.search(corpus, q, q_vectors(q), 2, "best"), lambda: search.search(corpus, asked("\u3000 "), q_vectors(q), 2), lambda: search.search(corpus, q, q_vectors(q), 0)):
+        with pytest.raises(search.SearchError):
+            bad()
+    lost = lambda shown: shown.filter("rank > 1").select("query_id", "chunk_id", F.col("rank").alias("position"))
+    with pytest.raises(search.SearchError):
+        search.hybrid_search_with_reranking(corpus, q, q_vectors(q), lost)
+
+
 def test_neighbours_and_packing(spark):
     chunks = spark.createDataFrame([("a", i, i * 10 + 1, i * 10 + 10, "x" * 100, "line_v1", "f" if i < 2 else None) for i in range(4)], "path string, chunk_index int, start_line int, end_line int, content string, strategy string, symbol string")
     seeds = chunks.filter("chunk_index = 1").withColumn("query_id", F.lit(1).cast("long")).withColumn("rank", F.lit(1))
