@@ -38,7 +38,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -49,7 +48,7 @@ from quarrykit.llm.common import bounded_batches, trimmed
 from quarrykit.llm.tokens import TIKTOKEN_FILE, has_adjacent_space, ranks, split_text, words_pattern
 
 #: Characters of text in a block, and words that a task keeps before it starts over.
-BLOCK_CHARS, KEPT_WORDS = 2_000_000, 300_000
+BLOCK_CHARS, KEPT_WORDS = 500_000, 150_000
 
 #: Words that are folded once for all tasks, and the tasks and characters a task of the sample that they are chosen from.
 COMMON_WORDS, SAMPLE_TASKS, SAMPLE_CHARS = 600_000, 64, 1_500_000
@@ -274,7 +273,7 @@ def common_words(docs: DataFrame, vocabulary: str, merges: list[int], mask: int)
     hashes, crcs = made["hash"].to_numpy().view(np.uint64), made["crc"].to_numpy().astype(np.uint32)
     pieces = made["pieces"].combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32()))
     order = np.argsort(hashes, kind="stable")
-    sizes = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+    sizes = list_sizes(pieces)
     flat = pieces.flatten().to_numpy()[ragged((np.cumsum(sizes) - sizes)[order], sizes[order])]
     return Common(hashes[order], crcs[order], flat.astype(np.uint16), sizes[order].astype(np.uint16))
 
@@ -285,13 +284,18 @@ def _blocks(vocabulary: str, block_chars: int, common):
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct, pattern = ranks(vocabulary), words_pattern()
-        of_bytes, cutter = byte_ranks(direct), Cutter(direct)
+        of_bytes, cutter = byte_ranks(direct), None  # made for the first long word
         before = common.value
         parts, word_of, fresh = _Parts(), _Numbered(), True
         ids: list = []
         texts: list[bytes] = []
         held = 0
 
+        def parts_of(word: bytes) -> list[bytes]:
+            nonlocal cutter
+            cutter = cutter or Cutter(direct)
+            return cutter.parts(word)
+
         def block() -> pa.RecordBatch:
             flat, sizes = array("i"), array("i")
             for part in parts.taken():
@@ -299,7 +303,7 @@ def _blocks(vocabulary: str, block_chars: int, common):
                     refs = [word_of[w] for w in pattern.findall(part)]
                 else:
                     words = (w.encode() for w in pattern.findall(part))
-                    refs = [word_of[p] for w in words for p in ([w] if len(w) <= WHOLE_CHARS or w in direct else cutter.parts(w))]
+                    refs = [word_of[p] for w in words for p in ([w] if len(w) <= WHOLE_CHARS or w in direct else parts_of(w))]
                 flat.extend(refs)
                 sizes.append(len(refs))
             words = [w if isinstance(w, bytes) else w.encode() for w in word_of.taken()]
@@ -386,6 +390,11 @@ class _Shared(dict):
         return at
 
 
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """How many elements each list has; none is null."""
+    return np.diff(lists.offsets.to_numpy()).astype(np.int64)
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i] + sizes[i] - 1 of all i in turn."""
     ends = np.cumsum(sizes)
@@ -411,13 +420,12 @@ class _Groups:
 def _documents(vocabulary: str, with_ids: bool, common):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(vocabulary)
-        pieces = {rank: piece for piece, rank in table.items()}
+        written = _Written(table)
         rank_of_byte = np.arange(1 << 16, dtype=np.int32)
         rank_of_byte[:256] = [table[bytes([b])] for b in range(256)]
-        decimal = _Decimal()
         before = common.value
-        before_sizes = before.sizes.astype(np.int64)
-        before_starts = np.cumsum(before_sizes) - before_sizes
+        before_sizes = before.sizes.astype(np.int32)
+        before_starts = np.cumsum(before_sizes, dtype=np.int32) - before_sizes
         by_word, by_part = _Groups(), _Groups()
         for batch in batches:
             for at in range(batch.num_rows):
@@ -428,7 +436,7 @@ def _documents(vocabulary: str, with_ids: bool, common):
                 known, encoded = numbers["known"], row["encoded"].values
                 fold, often = known == -1, known < -1
                 sizes = np.ones(len(known), np.int64)
-                sizes[fold] = pc.list_value_length(encoded).to_numpy(zero_copy_only=False) if len(encoded) else []
+                sizes[fold] = list_sizes(encoded)
                 sizes[often] = before_sizes[-2 - known[often]]
                 word_ids = np.empty(int(sizes.sum()), np.int32)
                 starts = np.cumsum(sizes) - sizes
@@ -439,25 +447,62 @@ def _documents(vocabulary: str, with_ids: bool, common):
                 ends = np.concatenate([[0], np.cumsum(by_word.sizes[numbers["part_words"]])])
                 bounds = np.concatenate([[0], np.cumsum(numbers["part_sizes"])])
                 by_part.add(by_word.of(numbers["part_words"]), ends[bounds[1:]] - ends[bounds[:-1]])
-                out = []
-                for parts in row["doc_parts"].values:
-                    each = by_part.of(np.frombuffer(parts.as_buffer(), "<i4")).tolist()
-                    said = " ".join(map(decimal.__getitem__, each))
-                    decoded = b"".join(map(pieces.__getitem__, each))
-                    out.append((len(each), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), each if with_ids else None))
-                columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-                made = [row["doc_ids"].values, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-                yield pa.RecordBatch.from_arrays(made[: 4 + with_ids], names=names[: 4 + with_ids])
+                lists = [np.frombuffer(parts.as_buffer(), "<i4") for parts in row["doc_parts"].values]
+                picks = np.concatenate(lists)
+                ids = by_part.of(picks)
+                ends = np.concatenate([[0], np.cumsum(by_part.sizes[picks])])[np.cumsum([0, *map(len, lists)])]
+                digests = written.digests(ids, ends)
+                made = [row["doc_ids"].values, pa.array(np.diff(ends)), *(pa.array(c, pa.string()) for c in zip(*digests, strict=True))]
+                if with_ids:
+                    made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
     return write
 
 
-class _Decimal(dict):
-    def __missing__(self, key: int) -> str:
-        self[key] = text = str(key)
-        return text
+class _Written:
+    """Ids as they are written: decimal and a space after each, and the vocabulary's pieces, end to end in two arrays of bytes."""
+
+    #: Ids written at a time, as long as documents end.
+    TOGETHER = 300_000
+
+    def __init__(self, vocabulary: dict[bytes, int]) -> None:
+        pieces = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for piece, rank in vocabulary.items():
+            pieces[rank] = piece
+        self._tables = [self._table([b"%d " % rank for rank in range(len(pieces))]), self._table(pieces)]
+
+    @staticmethod
+    def _table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def _bytes(self, which: int, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The ids' bytes, and where each id's end."""
+        data, starts, sizes = self._tables[which]
+        own = sizes[ids]
+        return memoryview(data[ragged(starts[ids], own)]), np.cumsum(own)
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[str, str]]:
+        """SHA-256 of the decimal ids, joined by a space, and of the pieces, of each document (its ids are between two of ends)."""
+        out: list[tuple[str, str]] = []
+        at, n = 0, len(ends) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.TOGETHER, side="right")) - 1)
+            hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in range(at, to)]
+            # More than one pass only for a single document that is longer.
+            for a in range(int(ends[at]), int(ends[to]), self.TOGETHER):
+                part = ids[a : min(a + self.TOGETHER, ends[to])]
+                for which in (0, 1):
+                    data, stops = self._bytes(which, part)
+                    places = np.concatenate([[0], stops])[np.clip(ends[at : to + 1] - a, 0, len(part))].tolist()
+                    for k, own in enumerate(hashes):
+                        # No space after a document's last id.
+                        last = which == 0 and a + len(part) >= ends[at + k + 1] and places[k + 1] > places[k]
+                        own[which].update(data[places[k] : places[k + 1] - last])
+            out += [(one.hexdigest(), two.hexdigest()) for one, two in hashes]
+            at = to
+        return out
 
 
 def _literal(entries: list[int]) -> Column:

@@ -63,8 +63,13 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Options of glibc's mallopt, and the size from which memory is mapped by itself, so that it goes back when it is freed.
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _OWN_MAP = -1, -3, 1 << 20
+
+
 def trimmed(fn):
-    """fn, a map over batches, that gives a worker's free memory back when its task ends: workers live on."""
+    """fn, a map over batches, in a worker that gives free memory back: large arrays at once, the rest when its task ends. Workers live on,
+    and several share an executor's memory."""
 
     def run(batches):
         import ctypes
@@ -72,21 +77,29 @@ def trimmed(fn):
 
         import pyarrow as pa
 
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(_M_MMAP_THRESHOLD, _OWN_MAP)
+            libc.mallopt(_M_TRIM_THRESHOLD, _OWN_MAP)
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from fn(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        if hasattr(libc, "malloc_trim"):
             libc.malloc_trim(0)
 
     return run
 
 
-#: Rows of texts that a Python worker gets at a time; Spark's own 10,000 take a third of a small executor's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker gets at a time; Spark's own 10,000 rows of texts take a third of a small executor's memory, and
+#: a thousand very long texts would take all of it.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the rows of the session's Arrow batches, where the session's own bound isn't lower."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds the rows and the bytes of the session's Arrow batches, where the session's own bounds aren't lower. Spark reads these settings
+    when a plan runs, so they stay set; they change no result."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "0")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))

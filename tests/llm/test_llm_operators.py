@@ -176,6 +176,17 @@ def test_byte_bpe(docs, rows, none):
     assert back == Counter((t or "").encode() for _, t in rows)
 
 
+@pytest.mark.parametrize("together", [1, 3, 10, 1000])
+def test_byte_bpe_digests(together, monkeypatch):
+    monkeypatch.setattr(byte_bpe._Written, "TOGETHER", together)
+    vocabulary, rng = tokens.ranks(tokens.TIKTOKEN_FILE), random.Random(together)
+    pieces = {rank: piece for piece, rank in vocabulary.items()}
+    docs = [rng.choices(range(len(pieces)), k=rng.choice((0, 0, 1, 2, 5, 40))) for _ in range(30)]
+    ends = np.cumsum([0, *map(len, docs)])
+    got = byte_bpe._Written(vocabulary).digests(np.array([i for d in docs for i in d], np.int32), ends)
+    assert got == [(sha(" ".join(map(str, d)).encode()), sha(b"".join(pieces[i] for i in d))) for d in docs]
+
+
 def test_byte_bpe_long_words(spark):
     """Words of any length: parts that no merge crosses, merged as the whole would be, in time that follows the length."""
     import time
