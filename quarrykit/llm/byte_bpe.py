@@ -48,7 +48,7 @@ from quarrykit.llm.common import bounded_batches, trimmed
 from quarrykit.llm.tokens import TIKTOKEN_FILE, has_adjacent_space, ranks, split_text, words_pattern
 
 #: Characters of text in a block, and words that a task keeps before it starts over.
-BLOCK_CHARS, KEPT_WORDS = 500_000, 150_000
+BLOCK_CHARS, KEPT_WORDS = 500_000, 300_000
 
 #: Words that are folded once for all tasks, and the tasks and characters a task of the sample that they are chosen from.
 COMMON_WORDS, SAMPLE_TASKS, SAMPLE_CHARS = 600_000, 64, 1_500_000
