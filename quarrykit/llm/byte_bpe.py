@@ -463,8 +463,8 @@ def _documents(vocabulary: str, with_ids: bool, common):
 class _Written:
     """Ids as they are written: decimal and a space after each, and the vocabulary's pieces, end to end in two arrays of bytes."""
 
-    #: Ids written at a time, as long as documents end.
-    TOGETHER = 300_000
+    #: Ids written at a time, as long as documents end; so few that the arrays of their bytes stay in the cache.
+    TOGETHER = 8_000
 
     def __init__(self, vocabulary: dict[bytes, int]) -> None:
         pieces = [b""] * (max(vocabulary.values(), default=-1) + 1)
