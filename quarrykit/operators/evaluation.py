@@ -77,3 +77,35 @@ def report_problems(reports: DataFrame, same: list[str], unique: list[str]) -> D
     differ = [F.when(F.countDistinct(c) > 1, F.lit(f"{c} differs")) for c in same]
     one = reports.agg(F.array_compact(F.array(*differ)).alias("p")).select(F.explode("p").alias("problem"))
     return one.unionByName(reports.groupBy(*unique).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.concat(F.lit("repeated "), F.concat_ws("/", *unique)).alias("problem")))
+
+
+def hit_rates(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
+    """One row: cases, and for each k the share of cases (null without any) that have a gold item in the first k ranks.
+    ranked: case_id, item, rank; gold: case_id, item, one or more a case."""
+    found = gold.select("case_id", "item").distinct().join(ranked.filter(F.col("rank") <= max(ks)), ["case_id", "item"], "left")
+    first = found.groupBy("case_id").agg(F.min("rank").alias("first"))
+    return first.agg(F.count(F.lit(1)).alias("cases"), *(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias(f"hit_{k}") for k in ks))
+
+
+def coding_report(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A suite's figures from a row a case: completed, task_success, verified, expects_recovery, recovered, planned, review_approved,
+    prevented_by_review (booleans); llm_calls, tool_calls, mutations, iterations, completion_attempts, review_attempts and
+    review_blocks (numbers, null where they aren't known, which means pass over). A completed case that fails its task is a false
+    positive. recovery_rate is that of cases that expect a recovery, null without any."""
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return results.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("case_count"),
+        share(F.col("completed")).alias("workflow_completion_rate"),
+        share(F.col("task_success")).alias("task_success_rate"),
+        share(F.col("completed") & ~F.col("task_success")).alias("false_positive_completion_rate"),
+        share(F.col("verified")).alias("verification_pass_rate"),
+        F.round(F.avg(F.when(F.col("expects_recovery"), (F.coalesce(F.col("recovered"), F.lit(False)) & F.col("completed") & F.col("verified")).cast("double"))), 6).alias("recovery_rate"),
+        mean("llm_calls").alias("mean_llm_calls"), mean("tool_calls").alias("mean_tool_calls"), mean("mutations").alias("mean_successful_mutations"),
+        mean("iterations").alias("mean_agent_iterations"), mean("completion_attempts").alias("mean_completion_attempts"),
+        share(F.col("planned")).alias("planner_generation_rate"),
+        share(F.col("review_approved")).alias("review_approval_rate"),
+        mean("review_attempts").alias("mean_review_attempts"),
+        share(F.col("review_blocks") > 0).alias("review_block_rate"),
+        F.count_if("prevented_by_review").alias("false_positive_prevented_by_review_count"),
+    )

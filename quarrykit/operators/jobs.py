@@ -101,3 +101,8 @@ def completion_blockers(require_tests: bool = True, require_ruff: bool = True, r
         fresh = F.col("review_revision") == current
         checks |= {"review_missing": ~there, "review_stale": there & ~fresh, "review_requires_changes": there & fresh & (F.col("review_verdict") == "changes_required")}
     return blockers(checks)
+
+
+def back_off(attempt: Column, base: float, cap: float) -> Column:
+    """Seconds to wait before the next attempt: doubled each time, cap at most."""
+    return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), attempt), F.lit(float(cap)))

@@ -38,3 +38,10 @@ def within(df: DataFrame, keys: list[str], order: list[Column | str], size: Colu
     ordered = Window.partitionBy(*keys).orderBy(*order)
     summed = F.sum(size).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("__sum", summed).withColumn("__place", F.row_number().over(ordered)).filter((F.col("__sum") <= most) | (F.col("__place") == 1)).drop("__sum", "__place")
+
+
+def one(df: DataFrame, **key: object) -> DataFrame:
+    """The row of a key, or none."""
+    for column, value in key.items():
+        df = df.filter(F.col(column) == value)
+    return df.limit(1)

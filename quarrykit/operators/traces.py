@@ -73,3 +73,17 @@ def pending(events: DataFrame, sets: Column, clears: Column, value: str, order:
     """events with pending: what the last setting event of the run left, null after a clearing one."""
     state = F.when(sets, F.struct(F.col(value).alias("v"))).when(clears, F.struct(F.lit(None).cast("string").alias("v")))
     return events.withColumn("pending", F.last(state, ignorenulls=True).over(ordered("run_id", *order).rowsBetween(Window.unboundedPreceding, 0))["v"])
+
+
+def recovered(events: DataFrame, fails: Column, mends: Column, by: str = "sequence") -> DataFrame:
+    """run_id, recovered: whether a mending event comes after a failure. The first of the one and the last of the other tell."""
+    both = events.groupBy("run_id").agg(F.min(F.when(fails, F.col(by))).alias("failed"), F.max(F.when(mends, F.col(by))).alias("mended"))
+    return both.select("run_id", F.coalesce(F.col("failed") < F.col("mended"), F.lit(False)).alias("recovered"))
+
+
+def compared(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys with state: kept, gone or new. One aggregate over both sides, so no side is held in one task, whatever the keys.
+    A symmetric difference is what isn't kept."""
+    sides = before.select(*keys, F.lit(True).alias("b"), F.lit(False).alias("a")).unionByName(after.select(*keys, F.lit(False).alias("b"), F.lit(True).alias("a")))
+    seen = sides.groupBy(*keys).agg(F.bool_or("b").alias("b"), F.bool_or("a").alias("a"))
+    return seen.select(*keys, F.when(F.col("b") & F.col("a"), "kept").when(F.col("b"), "gone").otherwise("new").alias("state"))

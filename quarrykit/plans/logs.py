@@ -244,3 +244,51 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_EVENTS + "SELECT run_id, CAST(sequence AS BIGINT) AS sequence, event_id FROM e")
 def stream_ordered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.finished(spark, progress.ordered_log(progress.stream(spark, sf_dir)), "append")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.one(table(spark, sf_dir, "orders"), o_orderkey=7).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, least(0.5 * pow(2, o_orderkey % 10), 30.0) AS seconds FROM orders")
+def job_back_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", jobs.back_off(F.col("o_orderkey") % 10, 0.5, 30).alias("seconds"))
+
+
+@query(_EVENTS + "SELECT run_id, coalesce(min(sequence) FILTER (WHERE event_type = 'error') < max(sequence) FILTER (WHERE event_type = 'purchase'), false) AS recovered FROM e GROUP BY run_id")
+def failure_before_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.recovered(trace_events(spark, sf_dir), F.col("event_type") == "error", F.col("event_type") == "purchase")
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey AS run, l_partkey AS part FROM lineitem WHERE l_linenumber <= 3), f AS (SELECT DISTINCT l_suppkey AS run, l_partkey AS part FROM lineitem WHERE l_linenumber >= 3)
+SELECT coalesce(b.run, f.run) AS run, coalesce(b.part, f.part) AS part, CASE WHEN f.run IS NULL THEN 'gone' WHEN b.run IS NULL THEN 'new' ELSE 'kept' END AS state FROM b FULL JOIN f ON b.run = f.run AND b.part = f.part""")
+def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("part"), "l_linenumber")
+    return traces.compared(rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber >= 3"), ["run", "part"])
+
+
+@query("(SELECT c_custkey AS trace_id, 'gone' AS state FROM customer EXCEPT SELECT o_custkey, 'gone' FROM orders) UNION ALL (SELECT o_custkey, 'new' FROM orders EXCEPT SELECT c_custkey, 'new' FROM customer)")
+def trace_id_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there, given = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trace_id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"))
+    return traces.compared(there, given, ["trace_id"]).filter("state <> 'kept'")
+
+
+@query(_EVENTS + """, z AS (SELECT *, coalesce(count(*) FILTER (WHERE event_type IN ('purchase', 'error')) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e)
+SELECT run_id, event_id, event_type FROM z WHERE ended = 0""")
+def stream_until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.finished(spark, progress.until_end(progress.stream(spark, sf_dir), ["purchase", "error"]), "append")
+
+
+@query("""WITH o AS (SELECT user_id, ts, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts + INTERVAL 30 MINUTE, true) AS last, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) AS mark FROM events)
+SELECT user_id, ts + INTERVAL 30 MINUTE AS expired_at FROM o WHERE last AND ts + INTERVAL 30 MINUTE <= mark""")
+def stream_expired_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = progress.finished(spark, progress.expired_leases(progress.stream(spark, sf_dir), "30 minutes"), "append")
+    return rows.select("user_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
+
+
+@query("WITH m AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN left(props, length(props) - 1) ELSE props END AS value FROM events) SELECT event_id, CAST(json_extract(value, '$.k') AS INTEGER) AS k FROM m WHERE json_valid(value)")
+def stream_malformed_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    rows = progress.parsed(progress.stream(spark, sf_dir).withColumn("value", cut), "value", "k int")
+    return progress.finished(spark, rows.select("event_id", F.col("message.k").alias("k")), "append")

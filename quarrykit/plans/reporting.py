@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions.metadata import allow_listed, call_identity
+from quarrykit.functions.text import is_protected_file, whole_diff
 from quarrykit.operators import evaluation, ranking, reports
+from quarrykit.operators.traces import recovered
 from quarrykit.plans.documents import PATH, files
 from quarrykit.plans.logs import _EVENTS, trace_events
 from quarrykit.plans.registry import query, table
@@ -70,3 +72,47 @@ def suite_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 3")
 def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), "o_orderkey"], 3, "place").select("o_custkey", "o_orderkey", "place")
+
+
+_PATHS = "CASE doc_id % 6 WHEN 0 THEN 'src/ConfTest.py' WHEN 1 THEN 'a/pyproject.toml. ' WHEN 2 THEN 'lib/x.pth' WHEN 3 THEN 'conftest.py/x.py' WHEN 4 THEN 'my_ruff.toml' ELSE 'tox.ini' END"
+
+
+@query(f"SELECT doc_id, doc_id % 6 IN (0, 1, 2, 5) AS protected FROM (SELECT doc_id, {_PATHS} AS path FROM documents)")
+def protected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", is_protected_file(F.expr(_PATHS)).alias("protected"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN text <> '' THEN concat('<unstaged_diff>', chr(10), text, chr(10), '</unstaged_diff>', chr(10)) ELSE '' END || concat('<staged_diff>', chr(10), source, chr(10), '</staged_diff>') AS diff FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND length(diff) <= 2000 THEN sha256(diff) END AS diff_hash FROM d""")
+def review_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = whole_diff(F.col("text"), F.col("source"), F.col("doc_id") % 3 == 0, 2000)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(diff, 256).alias("diff_hash"))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS case_id, arg_max(l_partkey, l_extendedprice * 10 - l_linenumber) AS item FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT case_id, min(l_linenumber) AS first FROM g JOIN lineitem ON l_orderkey = case_id AND l_partkey = item GROUP BY case_id)
+SELECT count(*) AS cases, avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END) AS hit_1, avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END) AS hit_3, avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END) AS hit_5 FROM f""")
+def exact_symbol_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("rank"), "l_extendedprice")
+    gold = ranked.groupBy("case_id").agg(F.max_by("item", F.col("l_extendedprice") * 10 - F.col("rank")).alias("item"))
+    return evaluation.hit_rates(ranked.drop("l_extendedprice"), gold, [1, 3, 5])
+
+
+@query(_EVENTS + """, r AS (SELECT run_id, run_id % 4 AS mode, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS llm, count(*) FILTER (WHERE event_type = 'click') AS tools, count(*) FILTER (WHERE event_type = 'purchase') AS muts,
+count(*) FILTER (WHERE event_type = 'error') AS errs, coalesce(min(sequence) FILTER (WHERE event_type = 'error') < max(sequence) FILTER (WHERE event_type = 'purchase'), false) AS rec FROM e GROUP BY run_id),
+c AS (SELECT *, muts > 0 AS done, tools > muts AS good, llm > tools AS ver FROM r)
+SELECT mode, count(*) AS case_count, round(avg(done::INT), 6) AS workflow_completion_rate, round(avg(good::INT), 6) AS task_success_rate, round(avg((done AND NOT good)::INT), 6) AS false_positive_completion_rate, round(avg(ver::INT), 6) AS verification_pass_rate,
+round(avg((rec AND done AND ver)::INT) FILTER (WHERE errs > 0), 6) AS recovery_rate, round(avg(llm), 6) AS mean_llm_calls, round(avg(tools), 6) AS mean_tool_calls, round(avg(muts), 6) AS mean_successful_mutations, round(avg(n), 6) AS mean_agent_iterations,
+round(avg(CASE WHEN n % 2 = 0 THEN n END), 6) AS mean_completion_attempts, round(avg((n > 5)::INT), 6) AS planner_generation_rate, round(avg((errs = 0)::INT), 6) AS review_approval_rate, round(avg(errs + 1), 6) AS mean_review_attempts,
+round(avg((errs > 0)::INT), 6) AS review_block_rate, count(*) FILTER (WHERE errs > 0 AND NOT good) AS false_positive_prevented_by_review_count FROM c GROUP BY mode""")
+def coding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    events = trace_events(spark, sf_dir)
+    counts = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("iterations"), *(F.count_if(kind == k).alias(name) for k, name in (("view", "llm_calls"), ("click", "tool_calls"), ("purchase", "mutations"), ("error", "review_blocks"))))
+    runs = counts.join(recovered(events, kind == "error", kind == "purchase"), "run_id")
+    failed, good = F.col("review_blocks") > 0, F.col("tool_calls") > F.col("mutations")
+    rows = runs.select(
+        "*", (F.col("run_id") % 4).alias("mode"), (F.col("mutations") > 0).alias("completed"), good.alias("task_success"), (F.col("llm_calls") > F.col("tool_calls")).alias("verified"), failed.alias("expects_recovery"),
+        (F.col("iterations") > 5).alias("planned"), (~failed).alias("review_approved"), (failed & ~good).alias("prevented_by_review"), F.when(F.col("iterations") % 2 == 0, F.col("iterations")).alias("completion_attempts"), (F.col("review_blocks") + 1).alias("review_attempts"),
+    )
+    return evaluation.coding_report(rows, ["mode"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,48 @@ def ordered_log(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_number, "run_id long, sequence long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _until_end(ends: list[str]):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ended = state.exists and state.get[0]
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        closing = rows["event_type"].isin(ends).to_numpy()
+        rows = rows.iloc[:0] if ended else rows.iloc[: int(closing.argmax()) + 1] if closing.any() else rows
+        state.update((bool(ended or closing.any()),))
+        yield pd.DataFrame({"run_id": [key[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "event_type": rows["event_type"].to_numpy()})
+
+    return run
+
+
+def until_end(events: DataFrame, ends: list[str]) -> DataFrame:
+    """run_id, event_id, event_type: a run's events up to its first ending one, which is the last that is passed on. Whether
+    a run has ended is all the state; later batches of an ended run give nothing."""
+    return events.groupBy("user_id").applyInPandasWithState(_until_end(ends), "run_id long, event_id long, event_type string", "ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def expired_leases(beats: DataFrame, lease: str, key: str = "user_id") -> DataFrame:
+    """key, expired_at: leases that no beat has renewed in time, once the watermark has passed their end. A session of beats
+    that renew one another is a lease, so Spark keeps the state and the timers."""
+    return beats.groupBy(F.session_window("ts", lease).alias("w"), key).agg(F.count(F.lit(1)).alias("beats")).select(key, F.col("w.end").alias("expired_at"), "beats")
+
+
+def parsed(messages: DataFrame, column: str, schema: str) -> DataFrame:
+    """messages with message (a struct); those that aren't JSON, or null, are dropped."""
+    return messages.filter(F.try_parse_json(column).isNotNull()).withColumn("message", F.from_json(column, schema))
+
+
+def best_effort(sink: Callable[[DataFrame, int], None], dead_letters: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that no failing sink stops: a batch that sink refuses goes to dead_letters with the error's name, under
+    its number, so a batch that is run again replaces its own."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        try:
+            sink(batch, number)
+        except Exception as e:  # noqa: BLE001  whatever it is, it becomes a diagnostic
+            batch.withColumn("error", F.lit(type(e).__name__)).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+
+    return put
+
+
 def frames(events: DataFrame) -> DataFrame:
     """events (sequence, event, data) as server-sent frames."""
     return events.select("run_id", "sequence", sse_frame(F.col("sequence"), F.col("event"), F.col("data")).alias("frame"))

@@ -2,11 +2,14 @@ import io
 import json
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.functions import metadata
-from quarrykit.operators import reports
+from quarrykit.functions import text as T
+from quarrykit.operators import evaluation, reports, traces
 from quarrykit.sources import repositories
+from quarrykit.streaming import progress
 
 
 def test_metadata(spark):
@@ -71,3 +74,34 @@ def test_agent_checks(spark):
     assert [(r.place, r.path) for r in reports.observed_evidence(seen).orderBy("place").collect()] == [(1, "a"), (2, "b")]
     steps = spark.createDataFrame([("r", i, 40) for i in range(5)], "run_id string, iteration int, size int")
     assert {(r.iteration, r.omitted) for r in reports.recent_history(steps, "size", 100).collect()} == {(4, 3), (3, 3)}
+
+
+def test_best_effort_keeps_refused_batches(spark, tmp_path):
+    taken = []
+
+    def sink(batch, number):
+        if number:
+            raise OSError("full")
+        taken.extend(r.x for r in batch.collect())
+
+    put = progress.best_effort(sink, str(tmp_path / "dead"))
+    put(spark.createDataFrame([(1,)], "x long"), 0)
+    for _ in range(2):  # a batch that is run again replaces its own
+        put(spark.createDataFrame([(2,), (3,)], "x long"), 1)
+    dead = spark.read.parquet(str(tmp_path / "dead"))
+    assert taken == [1] and sorted((r.x, r.error, r.batch) for r in dead.collect()) == [(2, "OSError", 1), (3, "OSError", 1)]
+
+
+def test_hits_and_figures_without_cases(spark):
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "a", 4), (2, "b", 3)], "case_id long, item string, rank int")
+    gold = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "case_id long, item string")
+    assert tuple(evaluation.hit_rates(ranked, gold, [1, 3]).first()) == (3, pytest.approx(1 / 3), pytest.approx(2 / 3))
+    assert tuple(evaluation.hit_rates(ranked, gold.limit(0), [1]).first()) == (0, None)
+
+
+def test_sets_and_diffs(spark):
+    before, after = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (3,), (None,)], "k long")
+    assert {(r.k, r.state) for r in traces.compared(before, after, ["k"]).collect()} == {(1, "gone"), (2, "kept"), (3, "new"), (None, "kept")}
+    rows = spark.createDataFrame([("a", None, False), ("a", "b", True), ("", "b", False), ("x" * 50, None, False)], "u string, s string, t boolean")
+    got = [r[0] for r in rows.select(T.whole_diff(F.col("u"), F.col("s"), F.col("t"), 40)).collect()]
+    assert got == ["<unstaged_diff>\na\n</unstaged_diff>", None, "<staged_diff>\nb\n</staged_diff>", None]
