@@ -268,10 +268,11 @@ def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.compared(rows.filter("l_linenumber <= 3"), rows.filter("l_linenumber >= 3"), ["run", "part"])
 
 
-@query("(SELECT c_custkey AS trace_id, 'gone' AS state FROM customer EXCEPT SELECT o_custkey, 'gone' FROM orders) UNION ALL (SELECT o_custkey, 'new' FROM orders EXCEPT SELECT c_custkey, 'new' FROM customer)")
+@query("""(SELECT o_custkey AS trace_id, 'gone' AS state FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey, 'gone' FROM orders WHERE o_orderstatus = 'O')
+UNION ALL (SELECT o_custkey, 'new' FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, 'new' FROM orders WHERE o_orderstatus = 'F')""")
 def trace_id_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there, given = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trace_id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trace_id"))
-    return traces.compared(there, given, ["trace_id"]).filter("state <> 'kept'")
+    ids = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "trace_id")
+    return traces.compared(ids.filter("o_orderstatus = 'F'"), ids.filter("o_orderstatus = 'O'"), ["trace_id"]).filter("state <> 'kept'")
 
 
 @query(_EVENTS + """, z AS (SELECT *, coalesce(count(*) FILTER (WHERE event_type IN ('purchase', 'error')) OVER (PARTITION BY run_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e)
