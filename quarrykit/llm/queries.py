@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import host_rules
+from quarrykit.llm import host_rules, main_text, manifest, phrases
 from quarrykit.llm.byte_bpe import encode_documents
 from quarrykit.llm.common import table
 from quarrykit.llm.host_rules import quality_verdicts
@@ -62,7 +62,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("gid")
 
 
-OPERATORS = (op1_secret_scan, op2_byte_bpe, op3_topk_search, op4_suffix_dedup, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan, op10_jaccard_join)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_secret_scan, op2_byte_bpe, op3_topk_search, op4_suffix_dedup, op5_packing, op6_host_rules, op7_warc, op8_language_id, op9_license_scan, op10_jaccard_join,
+    op11_merkle_manifest, op12_main_text, op13_collocations,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,4 +92,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": TOPK_SQL, "op6_host_rules": host_rules.ORACLE}
+    return {"op3_topk_search": TOPK_SQL, "op6_host_rules": host_rules.ORACLE, "op11_merkle_manifest": manifest.ORACLE, "op12_main_text": main_text.ORACLE, "op13_collocations": phrases.ORACLE}
