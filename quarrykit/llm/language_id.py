@@ -13,9 +13,9 @@ of that size. Prediction is one map over all texts.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0; a
 text with letters but no n-gram of any language gets the commonest learned
-language and score 0; with nothing to learn from, all are 'und'; a null doc_id is never
-learned from and isn't held out; repeated rows each give a row; columns other than doc_id, text
-and lang aren't read.
+language and score 0; equal shares go to the first language by name; with nothing to learn from, all are 'und'; a null doc_id is never
+learned from and isn't held out; repeated rows each give a row, and weigh as one in the fit; texts of any length are read whole, by
+blocks; an empty table gives no rows; columns other than doc_id, text and lang aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ MIN_DOC_SHARE = 0.01
 #: table, those with 50 words or more have 0.64 at least; random letters and other languages have 0.2 at most.
 MIN_SHARE, GRAMS_TO_JUDGE = 0.4, 24
 FILTER_BITS = 20
+#: Languages that are learned at most, each 64 of them 8 MB of a broadcast; more are an error.
+MAX_LANGUAGES = 1024
 N_HASHES = 3
 #: Fixed odd multipliers, one a hash.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -121,11 +123,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: float =
     bounded_batches(docs.sparkSession)
     learnable = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     few = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # A language's sample has the smallest hashes. A bound on them, four times as many as asked for are expected under
-    # it, keeps all others out of the shuffle, whatever the language's share and the number of tasks.
-    counts = learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # A language's sample has the smallest hashes. A bound on them, under which four times as many ids as asked for are expected,
+    # keeps all others out of the shuffle, whatever the language's share and the number of tasks. Ids are counted, not rows, which
+    # may repeat an id; the count's error of a few percent is far within the factor of four.
+    counts = learnable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn: their filters would pass the broadcast's bound")
     bound = F.when(F.col("n") <= 4 * sample_docs, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * sample_docs) / F.col("n")).cast("long"))
-    bounds = docs.sparkSession.createDataFrame(counts.select("lang", bound.alias("bound")).collect(), "lang string, bound long")
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, n long").select("lang", bound.alias("bound"))
     under = learnable.select("doc_id", "lang").join(F.broadcast(bounds), "lang").filter(F.xxhash64("doc_id") <= F.col("bound"))
     # At most sample_docs rows a language: a bound that the data don't move. Of rows that repeat an id, one text is taken.
     chosen = under.distinct().withColumn("n", F.row_number().over(few)).filter(F.col("n") <= sample_docs).select("doc_id", "lang")
@@ -198,11 +203,11 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_doc_share: flo
     return predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, filters: Filters, wanted: list[str] | None = None, min_share: float = MIN_SHARE) -> DataFrame:
-    """The documents in a language of wanted (any learned one by default): those that some n-gram tells, and, of texts long enough
-    to judge, those of which the language has at least min_share of the n-grams. Columns stay as they are."""
+def recognised(docs: DataFrame, filters: Filters, wanted: list[str] | None = None, min_share: float = MIN_SHARE, grams_to_judge: int = GRAMS_TO_JUDGE) -> DataFrame:
+    """The documents in a language of wanted (any learned one by default): those that some n-gram tells, and, of texts of grams_to_judge
+    n-grams or more, those of which the language has at least min_share of the n-grams. Columns stay as they are."""
     told = predict(docs, filters, "__")
-    kept = (F.col("__lang_pred") != "und") & (F.col("__score") > 0) & ((F.col("__grams") < GRAMS_TO_JUDGE) | (F.col("__share") >= min_share))
+    kept = (F.col("__lang_pred") != "und") & (F.col("__score") > 0) & ((F.col("__grams") < grams_to_judge) | (F.col("__share") >= min_share))
     if wanted is not None:
         kept = kept & F.col("__lang_pred").isin(wanted)
     return told.filter(kept).select(*docs.columns)

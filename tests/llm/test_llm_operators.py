@@ -461,6 +461,20 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_language_few_ids(spark):
+    """Many rows of two ids are learned as two documents; more languages than the bound are an error."""
+    text = "der die und das nicht ein mit von zu auf " * 3
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    many = spark.range(400_000).select(F.element_at(F.array(*map(F.lit, ids)), (F.col("id") % 2 + 1).cast("int")).cast("long").alias("doc_id"), F.lit("de").alias("lang"), F.lit(text).alias("text"))
+    few = spark.createDataFrame([(i, "en", "the of and to in is that for it with") for i in range(40)], "doc_id long, lang string, text string")
+    filters = language_id.fit(many.unionByName(few))
+    assert filters.languages == ["de", "en"] and filters.words.any()
+    asked = spark.createDataFrame([(1, text), (2, "that is for the")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.predict(asked, filters).orderBy("doc_id").collect()] == ["de", "en"]
+    with pytest.raises(ValueError):
+        language_id.fit(few.withColumn("lang", F.col("doc_id").cast("string")).unionByName(spark.range(3000).select("id", F.col("id").cast("string").alias("lang"), F.lit("x").alias("text")).toDF("doc_id", "lang", "text")))
+
+
 def test_language_filters_by_sets(spark):
     """The filters against plain sets of n-grams: same language where sets leave a margin, and shares within what chance adds."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
