@@ -338,7 +338,8 @@ def xml_escape_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("text"), T.redacted(F.col("text")).contains("[REDACTED]").alias("found"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("text"))
+    return rows.withColumn("found", F.col("text").contains("[REDACTED]"))
 
 
 @query()

@@ -86,7 +86,7 @@ def test_redaction(spark, text, clean):
 def test_public_text(spark):
     assert one(spark, T.public_text(F.col("t")), t="see /home/me/x.py or C:\\x\\y and and/or") == "see [REDACTED] or [REDACTED] and and/or"
     rows = spark.createDataFrame([("it calls secret_function here", "+    secret_function(1)\n")], "t string, d string")
-    assert rows.select(T.public_review("t", "d").alias("x")).first()["x"] == "it calls [REDACTED SOURCE] here"
+    assert rows.select(T.public_review(F.col("t"), F.col("d")).alias("x")).first()["x"] == "it calls [REDACTED SOURCE] here"
 
 
 def test_frames_and_blocks(spark):
@@ -117,3 +117,24 @@ def test_metrics(spark):
     assert one(spark, metrics.reciprocal_rank(gold, F.array(F.lit("q")))) == 0
     best = 1 + 1 / math.log2(3)
     assert one(spark, metrics.ndcg_at(gold, ranked, 4)) == pytest.approx((1 / math.log2(3) + 0.5) / best)
+
+
+def test_redaction_is_unicode(spark):
+    """Columns and the Python form agree where words and white space aren't ASCII."""
+    from quarrykit.functions.metadata import redact
+
+    texts = ["token\u00a0=\u00a0abc123", "password\u3000:\u3000geheim", "see token = abc, secret:\u2003xyz9", "Bearer\u00a0abcdef", "étoken=abc123", "nothing here", "postgres://u:p@h/d\u00a0next"]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.redacted(F.col("t")).alias("x")).collect()]
+    assert got == [redact(t) for t in texts] and got[0] != texts[0] and got[1] != texts[1]
+
+
+def test_public_review(spark):
+    diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n+    compute_everything(first_argument)\r\n-short\n \u00a0kept_line_here = 1\n+" + "z" * 300
+    prose = "It has compute_everything(first_argument), first_argument and kept_line_here = 1; short stays, /home/user/x/y goes, " + "z" * 256
+    row = spark.createDataFrame([(prose, diff), ("as it is", None), (None, diff), (prose, "")], "t string, d string").select(T.public_review(F.col("t"), F.col("d")).alias("x")).collect()
+    mark = "[REDACTED SOURCE]"
+    assert row[0].x == f"It has {mark}, {mark} and {mark}; short stays, [REDACTED] goes, {mark}"
+    assert row[1].x == "as it is" and row[2].x is None and "compute_everything" in row[3].x and "/home" not in row[3].x
+    many = "".join(f"+name_number_{k:04d}\n" for k in range(400))
+    pieces = spark.createDataFrame([(many,)], "d string").select(T.source_pieces(F.col("d")).alias("p")).first().p
+    assert len(pieces) == 128
