@@ -24,10 +24,10 @@ class BM25:
 LEGACY = BM25(include_path=False, query_stopwords=False, test_weight=1.0)
 
 
-def tokenised(chunks: DataFrame, config: BM25 = BM25(), tokens: Column | None = None) -> DataFrame:
-    """chunk_id, is_test, tokens. chunks: chunk_id, path, symbol, content."""
+def tokenised(chunks: DataFrame, config: BM25 = BM25(), tokens: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, is_test, tokens and columns to keep. chunks: chunk_id, path, symbol, content."""
     text = lexical_text(F.col("path"), F.col("symbol"), F.col("content")) if config.include_path else F.col("content")
-    return chunks.select("chunk_id", is_test_path(F.col("path")).alias("is_test"), (compounds(text) if tokens is None else tokens).alias("tokens"))
+    return chunks.select("chunk_id", is_test_path(F.col("path")).alias("is_test"), *keep, (compounds(text) if tokens is None else tokens).alias("tokens"))
 
 
 def postings(tokenised_chunks: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ class Index:
 def write_index(chunks: DataFrame, config: BM25 = BM25()) -> tuple[str, str]:
     """Paths of stored postings, in order of their terms, and statistics. Each chunk is split into tokens once; searches read the
     postings of their terms. chunks: chunk_id, path, symbol, content."""
-    made = postings(tokenised(chunks, config)).repartition("term").sortWithinPartitions("term", "chunk_id")
+    made = postings(tokenised(chunks, config)).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")  # a hot term is many ranges
     at = written(made, "postings")
     # Chunks without a token count as well, so their number is that of the chunks. One row each.
     total = chunks.sparkSession.read.parquet(at).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))

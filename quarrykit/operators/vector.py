@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import compounds
 from quarrykit.functions.vectors import hash_slot, is_sound, unit
 from quarrykit.operators.ranking import top_k
+from quarrykit.sources.shared import shared_dir
 
 #: Vectors that a fit looks at, and queries compared at a time.
 SAMPLE_VECTORS, BLOCK_QUERIES = 20_000, 1024
+#: Queries of a block whose scores are in memory together.
+QUERIES_TOGETHER = 64
 
 
 def model_violations(vectors: DataFrame) -> DataFrame:
@@ -54,17 +59,24 @@ def _block_scores(k: int, exclude_own: bool):
         names = ["query_id", "vec_id", "score"]
         if not rows.num_rows or not queries.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        if (lengths := {len(v) for t, c in ((rows, "v"), (queries, "q_v")) for v in t.column(c)}) and len(lengths) > 1:
+        columns = [t.column(c).combine_chunks() for t, c in ((rows, "v"), (queries, "q_v"))]
+        if len(lengths := {n for c in columns for n in pc.unique(c.value_lengths()).to_pylist()}) > 1:
             raise DimensionError(f"vectors have lengths {sorted(lengths)}")
-        points, asked = (np.array(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, -1) for t, c in ((rows, "v"), (queries, "q_v")))
+        points, asked = (np.array(c.flatten()).reshape(len(c), -1) for c in columns)
         ids, own = rows["id"].to_numpy(), queries["q_id"].to_numpy()
-        scores = np.clip(asked @ points.T, -1, 1)
-        if exclude_own:
-            scores[own[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-        kept = np.take_along_axis(scores, order, 1)
-        sound = np.isfinite(kept).ravel()
-        return pa.table([pa.array(np.repeat(own, order.shape[1])[sound]), pa.array(ids[order].ravel()[sound]), pa.array(kept.ravel()[sound])], names=names)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for begin in range(0, len(own), QUERIES_TOGETHER):
+            scores = np.clip(asked[begin : begin + QUERIES_TOGETHER] @ points.T, -1, 1)
+            if exclude_own:
+                scores[own[begin : begin + QUERIES_TOGETHER, None] == ids[None, :]] = -np.inf
+            keys = np.round(scores, 9)
+            # The k-th key of each query; what ties with it is ordered by id among the few that are left.
+            least = np.partition(keys, -k, axis=1)[:, -k] if k < keys.shape[1] else np.full(len(keys), -np.inf)
+            for query, row, key, kth in zip(own[begin : begin + QUERIES_TOGETHER], scores, keys, least, strict=True):
+                at = np.flatnonzero((key >= kth) & np.isfinite(row))
+                at = at[np.lexsort((ids[at], -key[at]))[:k]]
+                found.append((np.full(len(at), query), ids[at], row[at]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
 
     return search
 
@@ -94,14 +106,18 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int
 def fit_cells(vectors: DataFrame, n_cells: int, sample: int = SAMPLE_VECTORS, rounds: int = 8) -> np.ndarray:
     """Spherical k-means centres of a bounded sample."""
     rows = units(vectors).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
-    points = np.array(rows["v"].to_pylist())
+    return k_means(np.array(rows["v"].combine_chunks().flatten()).reshape(rows.num_rows, -1), n_cells, rounds)
+
+
+def k_means(points: np.ndarray, n_cells: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means centres of unit vectors."""
     centres = points[:: max(1, len(points) // n_cells)][:n_cells].copy()
     for _ in range(rounds):
         near = (points @ centres.T).argmax(1)
-        for cell in range(len(centres)):
-            own = points[near == cell]
-            if len(own) and (length := np.linalg.norm(own.sum(0))) > 0:
-                centres[cell] = own.sum(0) / length
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        lengths = np.linalg.norm(sums, axis=1)
+        centres[lengths > 0] = sums[lengths > 0] / lengths[lengths > 0, None]
     return centres
 
 
@@ -119,35 +135,13 @@ def _cells(centres: np.ndarray, n: int):
     return assign
 
 
-#: The share of cells that a search looks into at first, and the recall at which it stops to look into more.
-FIRST_SHARE, WANTED_RECALL, RECALL_QUERIES = 0.08, 0.93, 64
-
-
-def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int | None = None, n_probes: int | None = None, shard_rows: int = 50_000, exclude_own: bool = True) -> DataFrame:
-    """exact_top_k over the n_probes cells nearest to each query; every vector is in one cell. Cells are cut into shards.
-
-    There are as many cells as the square root of the rows, so a query reads some n_probes / n_cells of them. Without n_probes, a
-    bounded number of the queries is searched exactly as well, and the cells are raised until these reach the recall wanted."""
-    rows = vectors.count()
-    n_cells = max(1, min(4096, round(rows**0.5))) if n_cells is None else n_cells
-    centres = fit_cells(vectors, n_cells)
-    n_cells = len(centres)
-    schema = "id long, v array<double>, cell int"
-    shards = max(1, -(-rows // (shard_rows * max(1, n_cells))))
-    points = units(vectors).mapInArrow(_cells(centres, 1), schema).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-
-    def probed(asked: DataFrame, n: int) -> DataFrame:
-        asked = units(asked).mapInArrow(_cells(centres, n), schema).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        return _searched(points, asked, k, ["cell", "shard"], exclude_own)
+def ann_top_k(vectors: DataFrame, queries: DataFrame, k: int, n_cells: int | None = None, n_probes: int | None = None, exclude_own: bool = True) -> DataFrame:
+    """exact_top_k over each query's nearest cells, of an index made for this call; see ann.CellIndex for one that is kept."""
+    from quarrykit.operators.ann import CellIndex
 
-    if n_probes is None:
-        n_probes = max(1, round(FIRST_SHARE * n_cells))
-        few = queries.orderBy(F.xxhash64("id"), "id").limit(RECALL_QUERIES)
-        exact = exact_top_k(vectors, few, k, shard_rows, exclude_own).cache()
-        while n_probes < n_cells and (exact.count() and recall(probed(few, n_probes), exact).agg(F.avg("recall")).first()[0] < WANTED_RECALL):
-            n_probes = min(n_cells, n_probes + max(1, n_probes // 2))
-        exact.unpersist()
-    return probed(queries, n_probes)
+    index = CellIndex(vectors.sparkSession, f"{shared_dir(vectors.sparkSession)}/cells-{uuid.uuid4().hex}")
+    index.build(vectors, n_cells)
+    return index.search(queries, k, n_probes, exclude_own)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
 from quarrykit.functions.vectors import hash_slot
-from quarrykit.operators import chunking, context, evaluation, indexing, lexical, retrieval, searching
+from quarrykit.operators import chunking, context, evaluation, indexing, lexical, retrieval, searching, segments
 from quarrykit.plans.registry import query, table
-from quarrykit.sources.shared import exists
+from quarrykit.sources.shared import fingerprint, shared_dir
 
 FOLD = "replace(lower({}), 'ß', 'ss')"
 COMPOUND = r"[\p{L}\p{N}]+(?:[_.\-/][\p{L}\p{N}]+)*"
@@ -196,16 +198,18 @@ def span_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.span_evidence(seeds.filter("rank <= 20").select("case_id", "path", "start_line", "end_line", "rank"), spans)
 
 
-_INDEXES: dict[tuple[str, str, lexical.BM25], tuple[str, str]] = {}
+_INDEXES: dict[tuple[str, str, lexical.BM25], segments.SegmentedIndex] = {}
 
 
-def bm25_index(spark: SparkSession, sf_dir: str, config: lexical.BM25) -> lexical.Index:
-    """The index of a folder's documents: made once a session for a configuration, and read by every lexical query."""
-    key = (spark.sparkContext.applicationId, sf_dir, config)
-    at = _INDEXES.get(key)
-    if at is None or not all(exists(spark, path) for path in at):
-        at = _INDEXES[key] = lexical.write_index(chunk_rows(spark, sf_dir), config)
-    return lexical.read_index(spark, at, config)
+def bm25_index(spark: SparkSession, sf_dir: str, config: lexical.BM25, chunks: DataFrame | None = None, what: str = "documents") -> segments.SegmentedIndex:
+    """The index of a folder's documents, which lexical queries share. It is brought up to date whenever the files have changed since: what is kept
+    by path is where the index is, not what it says."""
+    chunks = chunk_rows(spark, sf_dir) if chunks is None else chunks
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{what}", config)
+    if key not in _INDEXES:
+        _INDEXES[key] = segments.SegmentedIndex(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}", config)
+    _INDEXES[key].update(chunks, fingerprint(chunks))
+    return _INDEXES[key]
 
 
 _TOKENS = f"WITH d AS (SELECT doc_id, regexp_extract_all({FOLD.format(f'concat({PATH}, chr(10), text)')}, '{COMPOUND}') AS toks FROM documents)"
@@ -213,7 +217,7 @@ _TOKENS = f"WITH d AS (SELECT doc_id, regexp_extract_all({FOLD.format(f'concat({
 
 @query(_TOKENS + ", t AS (SELECT doc_id, unnest(toks) AS term FROM d), c AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most FROM c GROUP BY term HAVING count(*) >= 5")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = bm25_index(spark, sf_dir, lexical.BM25()).postings
+    index = bm25_index(spark, sf_dir, lexical.BM25()).read().postings
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("total"), F.max("tf").alias("most")).filter("df >= 5")
 
 
@@ -234,7 +238,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS sco
 
 
 def _bm25(spark: SparkSession, sf_dir: str, config: lexical.BM25, k: int, chunks: DataFrame | None = None) -> DataFrame:
-    index = bm25_index(spark, sf_dir, config) if chunks is None else lexical.read_index(spark, lexical.write_index(chunks, config), config)
+    index = bm25_index(spark, sf_dir, config).read() if chunks is None else lexical.read_index(spark, lexical.write_index(chunks, config), config)
     return lexical.bm25_top_k(index.postings, index.stats, lexical.query_terms(questions(spark, sf_dir), config), k, config)
 
 
@@ -243,6 +247,40 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, lexical.BM25(), 10)
 
 
+def short_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's two shortest and two longest words: a common term or two among rare ones, as people ask."""
+    words = F.array_sort(F.array_distinct(F.transform(T.compounds(F.col("query")), lambda w: F.concat(F.lpad(F.char_length(w).cast("string"), 4, "0"), w))))
+    picked = F.array_distinct(F.concat(F.slice(words, 1, 2), F.reverse(F.slice(F.reverse(words), 1, 2))))
+    return questions(spark, sf_dir).withColumn("query", F.array_join(F.transform(picked, lambda w: F.substring(w, 5, 2**31 - 1)), " "))
+
+
+_SHORT = (
+    f"(SELECT item_id, array_to_string(list_transform(list_sort(list_distinct(list_concat(s[1:2], list_reverse(list_reverse(s)[1:2])))), lambda x: x[5:]), ' ') AS text FROM (SELECT item_id, "
+    f"list_sort(list_distinct(list_transform(regexp_extract_all({FOLD.format('text')}, '{COMPOUND}'), lambda w: lpad(CAST(length(w) AS VARCHAR), 4, '0') || w))) AS s FROM benchmark)) AS short"
+)
+
+
+@query(_bm25_sql(f"concat({PATH}, chr(10), text)", True, "1", 10))
+def bm25_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk with score bounds: slices and blocks of postings that can't matter aren't scored."""
+    return bm25_index(spark, sf_dir, lexical.BM25()).pruned_top_k(lexical.query_terms(questions(spark, sf_dir)), 10)[0]
+
+
+@query(_bm25_sql(f"concat({PATH}, chr(10), text)", True, "1", 10).replace("FROM benchmark", f"FROM {_SHORT}"))
+def bm25_short_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_index(spark, sf_dir, lexical.BM25()).pruned_top_k(lexical.query_terms(short_questions(spark, sf_dir)), 10)[0]
+
+
+@query()
+def bm25_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings the terms of short and of whole questions have, and how many of them were scored."""
+    index, out = bm25_index(spark, sf_dir, lexical.BM25()), None
+    for kind, asked in (("short", short_questions(spark, sf_dir)), ("whole", questions(spark, sf_dir))):
+        work = index.pruned_top_k(lexical.query_terms(asked), 10)[1].select(F.lit(kind).alias("kind"), "query_id", "postings", "scored")
+        out = work if out is None else out.unionByName(work)
+    return out.withColumn("share", F.round(F.col("scored") / F.col("postings"), 4))
+
+
 @query(_bm25_sql("text", False, "1", 10))
 def bm25_legacy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, lexical.LEGACY, 10)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.operators import lexical, search, vector
-from quarrykit.plans.documents import COMPOUND, FOLD, PATH, _bm25_sql, _seeds, files
+from quarrykit.plans.documents import COMPOUND, FOLD, PATH, _bm25_sql, _seeds, bm25_index, files
 from quarrykit.plans.registry import query, table
-from quarrykit.sources.shared import exists, written
+from quarrykit.sources.shared import exists, fingerprint, written
 
 _LANG = "['en', 'de', 'fr', 'es'][item_id % 4 + 1]"
-_CORPORA: dict[tuple[str, str], tuple[str, str, str]] = {}
+_VECTORS: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +23,14 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> search.Corpus:
-    """The corpus of a folder of tables: its index and its vectors are made once a session and shared by all queries."""
+    """The corpus of a folder of tables. Its index and its vectors are shared by all queries as long as the files are the same."""
     chunks, key = corpus_chunks(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    at = _CORPORA.get(key)
-    if at is None or not all(exists(spark, path) for path in at):
-        index = lexical.write_index(chunks.withColumn("symbol", F.col("qualified")))
-        vectors = vector.hashed_vectors(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
-        at = _CORPORA[key] = (*index, written(vectors, "corpus-vectors"))
-    return search.Corpus(chunks, spark.read.parquet(at[2]), lexical.read_index(spark, at[:2]))
+    index, state = bm25_index(spark, sf_dir, lexical.BM25(), chunks.withColumn("symbol", F.col("qualified")), "corpus"), fingerprint(chunks)
+    was, at = _VECTORS.get(key, ("", ""))
+    if was != state or not exists(spark, at):
+        at = written(vector.hashed_vectors(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))), "corpus-vectors")
+        _VECTORS[key] = (state, at)
+    return search.Corpus(chunks, spark.read.parquet(at), index.read())
 
 
 def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

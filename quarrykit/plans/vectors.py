@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.operators import evaluation, vector
+from quarrykit.operators import ann, evaluation, vector
 from quarrykit.plans.registry import query, table
+from quarrykit.sources.shared import fingerprint, shared_dir
 
 _NEAREST = """
 WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -23,9 +26,20 @@ def _nearest(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return vector.exact_top_k(rows, rows.filter("id % 20 = 0"), k)
 
 
+_INDEXES: dict[tuple[str, str], ann.CellIndex] = {}
+
+
+def ann_index(spark: SparkSession, sf_dir: str) -> ann.CellIndex:
+    """The index of a folder's embeddings, made when their files have changed since."""
+    rows, key = _vectors(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    index, state = _INDEXES.setdefault(key, ann.CellIndex(spark, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}")), fingerprint(rows)
+    if not index.current(state):
+        index.build(rows, source=state)
+    return index
+
+
 def _approximate(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    rows = _vectors(spark, sf_dir)
-    return vector.ann_top_k(rows, rows.filter("id % 20 = 0"), k)
+    return ann_index(spark, sf_dir).search(_vectors(spark, sf_dir).filter("id % 20 = 0"), k)
 
 
 @query(_NEAREST + "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -50,6 +64,15 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.recall(_approximate(spark, sf_dir), _nearest(spark, sf_dir)).agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("mean_recall"))
 
 
+@query()
+def ann_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept index: its rows and cells, how many cells a search probes, the share of rows it reads, and the recall that was measured."""
+    now = ann_index(spark, sf_dir).state()
+    cells = spark.read.parquet(f"{ann_index(spark, sf_dir).folder}/centres/{now['centres']}")
+    told = {c: F.lit(now[c]) for c in ("probes", "share", "recall")}
+    return cells.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells"), F.max("n").alias("largest_cell")).withColumns(told)
+
+
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics at 10 of nearest neighbours as answers; gold: the query's label, up to 20 smallest ids."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -34,3 +35,15 @@ def written(df: DataFrame, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: what is read more than once is worked out once, and a lost executor costs a reread."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df, what))
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """What the tables' files are at present: a digest of their names, sizes and times. Another one tells that a table has changed."""
+    found: set[str] = set()
+    for df in tables:
+        hadoop, conf = df.sparkSession._jvm.org.apache.hadoop.fs.Path, df.sparkSession._jsc.hadoopConfiguration()
+        for name in df.inputFiles():
+            at = hadoop(name)
+            status = at.getFileSystem(conf).getFileStatus(at)
+            found.add(f"{name}\n{status.getLen()}\n{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()

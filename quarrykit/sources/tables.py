@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class VersionedTable:
-    """A table in a folder that any of Spark's file systems holds."""
+class Pointer:
+    """A small JSON file of a folder, CURRENT, that names what counts there. It is replaced in one step: a reader finds the old one or the new one."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def pointer(self) -> dict | None:
+    def get(self) -> dict | None:
         at = self._path(f"{self.folder}/CURRENT")
         if not self._fs.exists(at):
             return None
@@ -27,6 +27,25 @@ class VersionedTable:
         finally:
             stream.close()
 
+    def put(self, value: dict) -> None:
+        new, at = self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT")
+        stream = self._fs.create(new, True)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+        jvm = self.spark._jvm
+        overwrite = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE.getClass(), 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, at, overwrite)
+
+
+class VersionedTable(Pointer):
+    """A table in a folder that any of Spark's file systems holds."""
+
+    def pointer(self) -> dict | None:
+        return self.get()
+
     def read(self) -> DataFrame:
         now = self.pointer()
         if now is None:
@@ -38,17 +57,8 @@ class VersionedTable:
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
         writer.parquet(f"{self.folder}/{version}")
-        new, at = self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT")
-        stream = self._fs.create(new, True)
-        try:
-            stream.write(bytearray(json.dumps({"version": version, "fingerprint": fingerprint}).encode()))
-        finally:
-            stream.close()
-        # One step, so a reader finds the old pointer or the new one. Old versions stay for readers that have begun: see expire().
-        jvm = self.spark._jvm
-        overwrite = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE.getClass(), 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, at, overwrite)
+        # Old versions stay for readers that have begun: see expire().
+        self.put({"version": version, "fingerprint": fingerprint})
 
     def expire(self, older_than_ms: int) -> list[str]:
         """Deletes versions that aren't current and were written longer ago than that; returns their names."""
