@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrykit.operators import context, lexical, retrieval, vector
 from quarrykit.operators.ranking import top_k
 
-STRATEGIES = ("semantic", "lexical", "hybrid", "hybrid_symbol")
+STRATEGIES = ("semantic", "lexical", "hybrid", "hybrid_symbol", "lexical_symbol")
 CONTEXT_STRATEGIES = ("seeds_only", "expanded")
 
 
@@ -76,23 +76,35 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame,
 
 
 def hybrid_symbol_search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int, depths: Depths = Depths(), mode: str = "exact") -> DataFrame:
-    """hybrid_search with a third source, the symbols that a query names (symbol_rank). A symbol's fragment is the one that the other two
-    sources saw, and a plain word counts only where they saw its chunk as well; a query that is one identifier and nothing
-    else needs neither."""
+    """hybrid_search with a third source, the symbols that a query names (symbol_rank): see with_symbols."""
     _asked(queries, k)
     two = _two(corpus, queries, query_vectors, k, depths, mode)
-    limit = depths.of("symbols", k)
+    return with_symbols(corpus, queries, two, k, depths.of("semantic", k) + depths.of("lexical", k), depths)
+
+
+def lexical_symbol_search(corpus: Corpus, queries: DataFrame, k: int, depths: Depths = Depths(), corroborate_weak: bool = True) -> DataFrame:
+    """query_id, rank, chunk_id, score, lexical_rank, symbol_rank: BM25 and symbols, without vectors."""
+    _asked(queries, k)
+    depth = depths.of("lexical", k)
+    return with_symbols(corpus, queries, {"lexical": lexical_search(corpus, queries, depth)}, k, depth, depths, corroborate_weak)
+
+
+def with_symbols(corpus: Corpus, queries: DataFrame, sources: dict[str, DataFrame], k: int, evidence_depth: int, depths: Depths = Depths(), corroborate_weak: bool = True) -> DataFrame:
+    """The sources fused with the symbols that a query names. A symbol's fragment is the one that the other sources saw, and a plain word counts
+    only where they saw its chunk as well (unless that isn't asked for); a query that is one identifier and nothing else needs neither."""
     identity = F.coalesce("qualified", "symbol").alias("identity")
     places = corpus.chunks.select("chunk_id", "path", "chunk_index", identity)
-    found = retrieval.symbol_search(corpus.chunks, retrieval.query_identifiers(queries), limit)
-    evidence = retrieval.fused(two, ["chunk_id"], depths.of("semantic", k) + depths.of("lexical", k))
+    found = retrieval.symbol_search(corpus.chunks, retrieval.query_identifiers(queries), depths.of("symbols", k))
+    evidence = retrieval.fused(sources, ["chunk_id"], evidence_depth)
     alone = retrieval.exact_identifier_queries(queries).select("query_id")
     named = found.join(alone, "query_id", "left_anti")
     seen = evidence.select("query_id", "rank", "chunk_id").join(places, "chunk_id")
-    backed = retrieval.corroborated(retrieval.with_evidence(named, seen), seen, ["path", "chunk_index"])
+    backed = retrieval.with_evidence(named, seen)
+    if corroborate_weak:
+        backed = retrieval.corroborated(backed, seen, ["path", "chunk_index"])
     symbols = found.join(alone, "query_id", "left_semi").select("query_id", "rank", "path", "chunk_index").unionByName(backed.select("query_id", "rank", "path", "chunk_index"))
     symbols = symbols.join(places.drop("identity"), ["path", "chunk_index"]).select("query_id", "rank", "chunk_id")
-    return retrieval.fused({**two, "symbol": symbols}, ["chunk_id"], k)
+    return retrieval.fused({**sources, "symbol": symbols}, ["chunk_id"], k)
 
 
 def hybrid_search_with_reranking(
@@ -118,6 +130,8 @@ def search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame | None,
     if strategy == "lexical":
         _asked(queries, k)
         return lexical_search(corpus, queries, k)
+    if strategy == "lexical_symbol":
+        return lexical_symbol_search(corpus, queries, k, depths)
     if query_vectors is None:
         raise SearchError(f"{strategy} needs the queries' vectors")
     if strategy == "semantic":

@@ -86,6 +86,14 @@ s3 AS (SELECT *, coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + lexi
 r3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(semantic_rank, lexical_rank, symbol_rank), chunk_id) AS rank FROM s3)"""
 
 
+_LEXICAL_SYMBOL = """,
+lk AS (SELECT * FROM os WHERE rank <= 10 AND (tier < 2 OR EXISTS (SELECT 1 FROM lex WHERE lex.query_id = os.query_id AND lex.chunk_id = os.doc_id))),
+ls AS (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM lk),
+lu AS (SELECT coalesce(lex.query_id, ls.query_id) AS query_id, coalesce(lex.chunk_id, ls.chunk_id) AS chunk_id, lex.rank AS lexical_rank, ls.rank AS symbol_rank FROM lex FULL JOIN ls ON lex.query_id = ls.query_id AND lex.chunk_id = ls.chunk_id),
+lt AS (SELECT *, coalesce(1 / (60 + lexical_rank), 0) + coalesce(1 / (60 + symbol_rank), 0) AS score FROM lu),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(lexical_rank, symbol_rank), chunk_id) AS rank FROM lt)"""
+
+
 @query(_sources_sql(40) + _TWO + " SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 9) AS score, CAST(semantic_rank AS INTEGER) AS semantic_rank, CAST(lexical_rank AS INTEGER) AS lexical_rank FROM r2 WHERE rank <= 10")
 def hybrid_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_search(corpus(spark, sf_dir), *asked(spark, sf_dir), 10)
@@ -99,6 +107,14 @@ def hybrid_symbol_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_symbol_search(corpus(spark, sf_dir), *asked(spark, sf_dir), 10)
 
 
+@query(
+    _sources_sql(40) + _THREE + _LEXICAL_SYMBOL + " SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 9) AS score, CAST(lexical_rank AS INTEGER) AS lexical_rank, "
+    "CAST(symbol_rank AS INTEGER) AS symbol_rank FROM lr WHERE rank <= 10"
+)
+def lexical_symbol_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.lexical_symbol_search(corpus(spark, sf_dir), asked(spark, sf_dir)[0], 10)
+
+
 @query(_sources_sql(80) + _TWO + """,
 cand AS (SELECT query_id, chunk_id, rank, sum(length(d.text)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM r2 JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 20),
 kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS place FROM cand WHERE total <= 30000 OR rank = 1)
@@ -109,9 +125,9 @@ def hybrid_rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_search_with_reranking(corpus(spark, sf_dir), *asked(spark, sf_dir), newest, 20, 5)
 
 
-@query(_sources_sql(20) + _THREE + """,
+@query(_sources_sql(20) + _THREE + _LEXICAL_SYMBOL + """,
 x AS (SELECT 'semantic' AS strategy, query_id, chunk_id, rank FROM sem UNION ALL SELECT 'lexical', query_id, chunk_id, rank FROM lex
-UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM r2 UNION ALL SELECT 'hybrid_symbol', query_id, chunk_id, rank FROM r3)
+UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM r2 UNION ALL SELECT 'hybrid_symbol', query_id, chunk_id, rank FROM r3 UNION ALL SELECT 'lexical_symbol', query_id, chunk_id, rank FROM lr)
 SELECT strategy, query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM x WHERE rank <= 5""")
 def search_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, (queries, vectors) = corpus(spark, sf_dir), asked(spark, sf_dir)
