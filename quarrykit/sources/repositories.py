@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions.text import IGNORED_DIRECTORIES, casefold
+from quarrykit.operators.ranking import with_truncation
 
 MAX_STATUS, MAX_ENTRIES = 500, 500
 
@@ -82,3 +83,10 @@ def directory(files: DataFrame, folder: str = "", recursive: bool = False) -> Da
     last = F.col("d") == F.size("steps")
     named = parts.select(F.concat(F.lit(prefix), F.array_join(F.slice("steps", F.lit(1), F.col("d")), "/")).alias("path"), F.when(last, "file").otherwise("directory").alias("kind"), F.when(last, F.col("size_bytes")).alias("size"))
     return named.distinct()
+
+
+def directory_listing(files: DataFrame, folder: str = "", recursive: bool = False, most: int = MAX_ENTRIES) -> tuple[DataFrame, bool]:
+    """(the first entries of a folder by path, letters of either case alike, at most `most`; whether there are more)."""
+    if most < 1:
+        raise ValueError("a listing needs room for an entry")
+    return with_truncation(directory(files, folder, recursive), [casefold(F.col("path")), "path"], most)

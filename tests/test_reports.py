@@ -105,3 +105,11 @@ def test_sets_and_diffs(spark):
     rows = spark.createDataFrame([("a", None, False), ("a", "b", True), ("", "b", False), ("x" * 50, None, False)], "u string, s string, t boolean")
     got = [r[0] for r in rows.select(T.whole_diff(F.col("u"), F.col("s"), F.col("t"), 40)).collect()]
     assert got == ["<unstaged_diff>\na\n</unstaged_diff>", None, "<staged_diff>\nb\n</staged_diff>", None]
+
+
+def test_directory_is_bounded(spark):
+    files = spark.createDataFrame([(f"src/{name}.py", 1) for name in ("b", "A", "a", "C")], "relative_path string, size_bytes long")
+    rows, more = repositories.directory_listing(files, "src", most=3)
+    assert [r.path for r in rows.collect()] == ["src/A.py", "src/a.py", "src/b.py"] and more
+    rows, more = repositories.directory_listing(files, "src", most=4)
+    assert rows.count() == 4 and not more
