@@ -13,8 +13,9 @@ task holds one shard and one block.
 
 Defined cases: components become floor(1024 x); vectors that are null, empty, or hold a null or
 non-finite component take no part; vectors of different lengths have no score with each other;
-rows that repeat an id and a vector count once; rows of one id never answer that
-id's query, and an id with several vectors asks with each, its answers ranked together; null ids take no part; ties go to the smaller id; other columns aren't read.
+rows of one id never answer that id's query; rows that repeat an id, with the same vector or another, are rows of their own: each answers,
+and each asks, the answers of an id ranked together; null ids take no part; ties go to the smaller id; an empty table, or one without queries, gives no rows; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -122,10 +123,10 @@ def _answer(k: int):
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
-    """id, v (array of long) of the rows that take part, each once."""
+    """id, v (array of long) of the rows that take part."""
     x = F.col(vector_col)
     sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
-    return rows.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v")).dropDuplicates()
+    return rows.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -10,11 +10,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.llm import byte_bpe, host_rules, jaccard_join, language_id, license_scan, packing, secret_scan, suffix_arrays, suffix_dedup, tokens, topk, warc
+from quarrykit.llm import byte_bpe, host_rules, jaccard_join, language_id, license_scan, packing, queries, secret_scan, suffix_arrays, suffix_dedup, tokens, topk, warc
 from quarrykit.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -298,16 +299,24 @@ def test_top_k(spark):
     rng = random.Random(2)
     vectors = [(i, [rng.gauss(0, 0.3) for _ in range(12)]) for i in range(700)]
     vectors += [(700, None), (701, []), (702, [float("nan")] * 12), (703, [float("inf")] * 12), (704, [None] * 12), (705, [0.5] * 5), (800, [0.1] * 5), (None, [0.0] * 12), (3, vectors[3][1]), (801, vectors[0][1]), (802, vectors[0][1])]
+    # Rows that repeat an id: of a query, of its best answer, and so many of one that they fill a result.
+    best = max(range(1, 700), key=lambda i: sum(a * b for a, b in zip(vectors[i][1], vectors[0][1], strict=True)))
+    vectors += [vectors[200], vectors[best], (300, vectors[301][1])] + [(650, [3.0] * 12)] * 14
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("id", F.lit(0)).withColumn("shard", F.lit(0))
-    kept = {(r.vec_id, tuple(int(np.floor(1024 * float(x))) for x in r.embedding)) for r in table.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)}
-    want = set()
-    for q, v in kept:
-        if q % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in kept if i != q and len(w) == len(v))[:10]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)}
+    kept = [(r.vec_id, tuple(int(np.floor(1024 * float(x))) for x in r.embedding)) for r in table.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
+    want = []
+    for q in {i for i, _ in kept if i % 100 == 0}:
+        asked = [v for i, v in kept if i == q]
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for v in asked for i, w in kept if i != q and len(w) == len(v))[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     for shard_rows, block in ((20_000, 4000), (150, 2)):
         got = topk.top_k(table, F.col("id") % 100 == 0, shard_rows=shard_rows, block_queries=block)
-        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == want
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
+    duck = duckdb.connect()
+    duck.register("embeddings", table.filter("vec_id < 700 and size(embedding) = 12").select("vec_id", "embedding").toArrow())
+    by_sql = duck.sql(queries.TOPK_SQL).fetchall()
+    got = topk.top_k(table.filter("vec_id < 700 and size(embedding) = 12"), F.col("id") % 100 == 0)
+    assert sorted(by_sql) == sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect())
     assert topk.top_k(table.filter("1 = 0"), F.col("id") % 100 == 0).count() == 0
 
 
