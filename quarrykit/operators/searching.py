@@ -47,6 +47,10 @@ def search_limited(files: DataFrame, needle: str, max_results: int = MAX_RESULTS
     return with_truncation(search(files, needle, case_sensitive), ["path", "line_number"], max_results)
 
 
+#: Words of which each declaration holds one.
+DECLARING = ("def", "function", "class", "const", "let")
+
+
 def declaration_kind(line: Column, symbol: str) -> Column:
     """function, class or variable if the line declares symbol, else null; the first pattern that fits decides."""
     name = re.escape(symbol) + r"(?![A-Za-z0-9_$])"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import text as T
 from quarrykit.functions.vectors import hash_slot
-from quarrykit.operators import chunking, context, evaluation, indexing, lexical, retrieval, searching, segments
-from quarrykit.plans.registry import query, table
+from quarrykit.operators import chunking, context, evaluation, indexing, lexical, retrieval, searching, segments, trigrams
+from quarrykit.plans.registry import SQL, query, table
 from quarrykit.sources.shared import fingerprint, shared_dir
 
 FOLD = "replace(lower({}), 'ß', 'ss')"
@@ -366,6 +366,34 @@ def find_symbol_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("kind", searching.declaration_kind(F.col("line"), "Of")).filter("kind is not null").select("path", "line_number", "kind")
 
 
+_TRIGRAMS: dict[tuple[str, str], trigrams.TrigramIndex] = {}
+
+
+def trigram_index(spark: SparkSession, sf_dir: str) -> trigrams.TrigramIndex:
+    """The index of a folder's documents, made anew whenever their files have changed."""
+    key, rows = (spark.sparkContext.applicationId, sf_dir), files(spark, sf_dir)
+    if key not in _TRIGRAMS:
+        _TRIGRAMS[key] = trigrams.TrigramIndex(spark, f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}")
+    _TRIGRAMS[key].update(rows, fingerprint(rows))
+    return _TRIGRAMS[key]
+
+
+@query(SQL["search_code_literal"])
+def search_code_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_code_literal by way of the index."""
+    return trigram_index(spark, sf_dir).search("License")
+
+
+@query(_LINES + r""", x AS (SELECT path, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_number FROM l)
+SELECT path, CAST(line_number AS INTEGER) AS line_number, 'class' AS kind FROM x WHERE regexp_matches(rtrim(line, chr(10)), '^\s*(?:export\s+(?:default\s+)?)?class\s+method(?:\s*[(:]|\s*$)')
+UNION ALL SELECT path, CAST(line_number AS INTEGER), 'text' FROM x WHERE contains(line, 'sample')""")
+def find_symbol_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of a symbol, and the lines that hold another word in its very case."""
+    index = trigram_index(spark, sf_dir)
+    named = index.find_declarations("method").select("path", "line_number", "kind")
+    return named.unionByName(index.search("sample", case_sensitive=True).select("path", "line_number", F.lit("text").alias("kind")))
+
+
 @query("""SELECT page_id, sha256(concat('<source id="S', page_id, '">', chr(10), '<path>', e(url), '</path>', chr(10), '<lines>1-1</lines>', chr(10), '<content trust="untrusted-data" encoding="xml-escaped">', chr(10), e(html), '</content>', chr(10), '</source>')) AS block_hash,
 CAST(ceil(length(concat('<source id="S', page_id, '">', chr(10), '<path>', e(url), '</path>', chr(10), '<lines>1-1</lines>', chr(10), '<content trust="untrusted-data" encoding="xml-escaped">', chr(10), e(html), '</content>', chr(10), '</source>')) / 4.0) AS BIGINT) AS tokens FROM pages""".replace("e(url)", "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')").replace("e(html)", "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"))
 def xml_escape_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
