@@ -369,9 +369,10 @@ def find_symbol_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIGRAMS: dict[tuple[str, str], trigrams.TrigramIndex] = {}
 
 
-def trigram_index(spark: SparkSession, sf_dir: str) -> trigrams.TrigramIndex:
-    """The index of a folder's documents, made anew whenever their files have changed."""
-    key, rows = (spark.sparkContext.applicationId, sf_dir), files(spark, sf_dir)
+def trigram_index(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, what: str = "documents") -> trigrams.TrigramIndex:
+    """The index of a folder's documents, or of rows made of them, made anew whenever their files have changed."""
+    rows = files(spark, sf_dir) if rows is None else rows
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{what}")
     if key not in _TRIGRAMS:
         _TRIGRAMS[key] = trigrams.TrigramIndex(spark, f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}")
     _TRIGRAMS[key].update(rows, fingerprint(rows))
@@ -384,14 +385,12 @@ def search_code_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigram_index(spark, sf_dir).search("License")
 
 
-@query(_LINES + r""", x AS (SELECT path, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_number FROM l)
-SELECT path, CAST(line_number AS INTEGER) AS line_number, 'class' AS kind FROM x WHERE regexp_matches(rtrim(line, chr(10)), '^\s*(?:export\s+(?:default\s+)?)?class\s+method(?:\s*[(:]|\s*$)')
-UNION ALL SELECT path, CAST(line_number AS INTEGER), 'text' FROM x WHERE contains(line, 'sample')""")
+@query(SQL["find_symbol_regex"])
 def find_symbol_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations of a symbol, and the lines that hold another word in its very case."""
-    index = trigram_index(spark, sf_dir)
-    named = index.find_declarations("method").select("path", "line_number", "kind")
-    return named.unionByName(index.search("sample", case_sensitive=True).select("path", "line_number", F.lit("text").alias("kind")))
+    """find_symbol_regex by way of the index of its lines."""
+    lines = F.regexp_replace(F.replace("content", F.lit("."), F.lit(":")), "(?md)^", "class ")
+    index = trigram_index(spark, sf_dir, files(spark, sf_dir).withColumn("content", lines), "declared")
+    return index.find_declarations("Of").select("path", "line_number", "kind")
 
 
 @query("""SELECT page_id, sha256(concat('<source id="S', page_id, '">', chr(10), '<path>', e(url), '</path>', chr(10), '<lines>1-1</lines>', chr(10), '<content trust="untrusted-data" encoding="xml-escaped">', chr(10), e(html), '</content>', chr(10), '</source>')) AS block_hash,
