@@ -60,8 +60,7 @@ def semantic(corpus: Corpus, query_vectors: DataFrame, k: int, mode: str = "exac
 
 def lexical_search(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score."""
-    terms = lexical.query_terms(queries, corpus.index.config)
-    return lexical.bm25_top_k(corpus.index.postings, corpus.index.stats, terms, k, corpus.index.config)
+    return corpus.index.top_k(lexical.query_terms(queries, corpus.index.config), k)
 
 
 def _two(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int, depths: Depths, mode: str) -> dict[str, DataFrame]:

@@ -1,8 +1,8 @@
 """A BM25 index of immutable segments: updated by what has changed, searched with score bounds.
 
-A segment holds blocks. A block is the postings of one term in one slice of the segment's chunks: chunks of one folder and of about one length, some
-thousands at most, so a term that every chunk holds is many blocks and no hot key. A block's header (number of postings, greatest
-frequency, least length) bounds the score that any of them can give.
+A segment holds its chunks, each a row with its counted terms, and headers: of each slice of its chunks (chunks of one folder and of about one length, of bounded
+number and size) the terms with the number of chunks that hold them, greatest frequency and least length, which bound the score that any of its chunks can have.
+A slice is made in one task, so no row a posting is shuffled; a folder and length that many chunks share are many slices, one that few share is one.
 
 Updates: chunks whose digest is new or changed are split into tokens and make a new segment; those that are gone or changed
 are listed as dead in their old one. Counts are sums over segments less what is dead, so scores are those of an index made
@@ -10,8 +10,7 @@ afresh. Small segments are merged. A pointer file, written last, names segments,
 that the index was made from.
 
 Searches (pruned_top_k): the k-th best score in the slices of the greatest bounds is a lower bound of a query's true one. A slice whose bounds
-over all terms stay under it holds no result, and isn't scored at all. Terms whose greatest bounds together stay under it can't bring a
-chunk into the result by themselves; they are scored only in the slices of chunks that the other terms leave in question.
+over all terms stay under it holds no result, and isn't scored at all.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +29,17 @@ from quarrykit.operators.ranking import top_k
 from quarrykit.sources.shared import stored
 from quarrykit.sources.tables import Pointer
 
-#: Chunks of a segment for each hash slice of a length's band, and segments from which they are merged.
-SLICE_CHUNKS, MAX_SEGMENTS = 4096, 6
-#: Slices of the greatest bounds that give a query's first floor, and what rounding may cost a bound.
-SEED_SLICES, SLACK = 24, 1e-7
+#: Chunks and tokens of a slice, about, and segments from which they are merged.
+SLICE_CHUNKS, SLICE_TOKENS, MAX_SEGMENTS = 4096, 1 << 20, 6
+#: Slices of the greatest bounds that give a query's first floor, the postings from which no more are taken, and what rounding may cost a bound.
+SEED_SLICES, SEED_POSTINGS, SLACK = 24, 4096, 2e-6
+#: Headers' terms that a task compares with queries together.
+HEADER_TERMS = 1 << 20
 #: Part of the source's state: another layout isn't read as this one.
-LAYOUT = "blocks-2"
+LAYOUT = "rows-1"
+
+DOCS = f"{lexical.ROWS}, digest string, home long, band long, segment string"
+HEADERS = "segment string, slice long, terms array<string>, n array<int>, max_tf array<int>, min_len array<int>, total array<long>"
 
 
 def _home(path: Column) -> Column:
@@ -41,19 +47,43 @@ def _home(path: Column) -> Column:
     return F.xxhash64(F.regexp_replace(path, r"[^/]*$", ""))
 
 
-def _slice(home: Column, doc_len: Column, chunk_id: Column, n_docs: int) -> Column:
-    """Chunks of a folder and a band of lengths, dealt by hash; no more than some SLICE_CHUNKS in one."""
-    buckets = max(1, -(-n_docs // SLICE_CHUNKS))
-    return F.xxhash64(home, F.floor(2 * F.log2(doc_len + F.lit(1.0))), F.pmod(F.xxhash64(chunk_id), F.lit(buckets)))
+def _band(doc_len: Column) -> Column:
+    return F.floor(2 * F.log2(doc_len + F.lit(1.0)))
+
+
+def _header(key: tuple, rows: pa.Table) -> pa.Table:
+    """The header of one slice: of each of its terms how many chunks hold it, how often at most and in all, and the least length of those."""
+    terms, tfs = (rows[c].combine_chunks() for c in ("terms", "tfs"))
+    lengths = np.repeat(rows["doc_len"].to_numpy(), terms.value_lengths().to_numpy(zero_copy_only=False))
+    coded = terms.flatten().dictionary_encode()
+    code, tf, size = coded.indices.to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False), len(coded.dictionary)
+    most, least = np.zeros(size, np.int32), np.full(size, np.iinfo(np.int32).max, np.int32)
+    np.maximum.at(most, code, tf)
+    np.minimum.at(least, code, lengths)
+    columns = [coded.dictionary, np.bincount(code, minlength=size).astype(np.int32), most, least, np.bincount(code, tf, size).astype(np.int64)]
+    ends = pa.array([0, size], pa.int32())
+    return pa.table([rows["segment"][:1], pa.array([key[1].as_py()], pa.int64()), *(pa.ListArray.from_arrays(ends, c if isinstance(c, pa.Array) else pa.array(c)) for c in columns)], names=["segment", "slice", "terms", "n", "max_tf", "min_len", "total"])
+
 
+def _block_bounds(avg_len: float, config: BM25):
+    """Of headers and queries: the greatest score that a chunk of a slice can have for a query, and how many postings the query's terms have there."""
 
-def _blocks(postings: DataFrame, segment: str) -> DataFrame:
-    """Postings (term, slice, home, chunk_id, tf, doc_len, is_test) as blocks."""
-    posting = F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len"), "is_test")
-    made = postings.groupBy("term", "slice", "home").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("doc_len").cast("int").alias("min_len"), F.array_sort(F.collect_list(posting)).alias("postings")
-    )
-    return made.withColumn("segment", F.lit(segment))
+    def bound(key: tuple, headers: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[list[pa.Array]] = []
+        if headers.num_rows and queries.num_rows:
+            asked = lexical.Asked(queries)
+            terms, n, most, least = (headers[c].combine_chunks() for c in ("terms", "n", "max_tf", "min_len"))
+            parts = lexical.saturated(most.flatten().to_numpy().astype(float), least.flatten().to_numpy(), avg_len, config)
+            for first, _, (here, postings) in asked.sums(terms, parts, n.flatten().to_numpy()):
+                row, query = np.nonzero(postings)
+                at = pa.array(first + row)
+                found.append([queries["query_id"].combine_chunks().take(pa.array(query)), *(headers[c].combine_chunks().take(at) for c in ("segment", "slice")), pa.array(here[row, query]), pa.array(postings[row, query].astype(np.int64))])
+        names = ["query_id", "segment", "slice", "here", "n"]
+        if not found:
+            return pa.table([queries["query_id"][:0], pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
+        return pa.table([pa.concat_arrays(c) for c in zip(*found, strict=True)], names=names)
+
+    return bound
 
 
 @dataclass(frozen=True)
@@ -81,16 +111,22 @@ class SegmentedIndex:
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{kind}/{name}" for name in names)) if names else self.spark.createDataFrame([], schema)
 
-    def blocks(self, segments: list[str]) -> DataFrame:
-        return self._read("blocks", segments, "term string, slice long, home long, n int, max_tf int, min_len int, postings array<struct<chunk_id: long, tf: int, doc_len: int, is_test: boolean>>, segment string")
-
-    def docs(self, now: dict) -> DataFrame:
-        """chunk_id, digest, doc_len, slice, segment of the chunks that count."""
-        rows = self._read("docs", [s["name"] for s in now["segments"]], "chunk_id long, digest string, doc_len int, slice long, home long, segment string")
+    def docs(self, now: dict, names: list[str] | None = None) -> DataFrame:
+        """DOCS of the chunks that count, of all segments or of some."""
+        rows = self._read("docs", [s["name"] for s in now["segments"]] if names is None else names, DOCS)
         return rows.join(self.dead(now).select("segment", "chunk_id"), ["segment", "chunk_id"], "left_anti") if now["dead"] else rows
 
+    def headers(self, now: dict) -> DataFrame:
+        return self._read("headers", [s["name"] for s in now["segments"]], HEADERS)
+
+    def _sliced(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """DOCS with slice. bands: how many slices the chunks of a folder and a band of lengths are dealt to."""
+        bands = self._read("bands", names, "segment string, home long, band long, slices long")
+        dealt = F.xxhash64("home", "band", F.pmod(F.xxhash64("chunk_id"), F.col("slices")))
+        return rows.join(bands, ["segment", "home", "band"]).withColumn("slice", dealt)
+
     def dead(self, now: dict) -> DataFrame:
-        rows = self._read("dead", now["dead"], "chunk_id long, doc_len int, slice long, segment string")
+        rows = self._read("dead", now["dead"], "chunk_id long, doc_len int, segment string")
         return rows.filter(F.col("segment").isin([s["name"] for s in now["segments"]]))
 
     def update(self, chunks: DataFrame, source: str | None = None) -> int:
@@ -108,13 +144,13 @@ class SegmentedIndex:
             fresh = told.join(old.select("chunk_id", "digest"), ["chunk_id", "digest"], "left_anti").select("chunk_id")
             changed = changed.join(fresh, "chunk_id", "left_semi")
             name = f"d-{uuid.uuid4().hex}"
-            old.join(told, ["chunk_id", "digest"], "left_anti").select("chunk_id", "doc_len", "slice", "segment").write.parquet(f"{self.folder}/dead/{name}")
+            old.join(told, ["chunk_id", "digest"], "left_anti").select("chunk_id", "doc_len", "segment").write.parquet(f"{self.folder}/dead/{name}")
             gone = Counts(*self._read("dead", [name], "doc_len int").agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first())
             dead_at = [name] if gone.n_docs else []
         n_changed = changed.count()
         segments, added = list(now["segments"]), Counts(0, 0)
         if n_changed:
-            made = self._write(changed, n_changed)
+            made = self._write(changed)
             segments.append(made)
             added = Counts(made["n_docs"], made["total_len"])
         self.pointer.put({
@@ -125,18 +161,21 @@ class SegmentedIndex:
             self.merge()
         return n_changed
 
-    def _write(self, chunks: DataFrame, n_docs: int) -> dict:
-        name = f"s-{uuid.uuid4().hex}"
-        rows = lexical.tokenised(chunks, self.config, keep=("digest", "path")).withColumns({"doc_len": F.size("tokens"), "home": _home(F.col("path"))})
-        rows = rows.withColumn("slice", _slice(F.col("home"), F.col("doc_len"), F.col("chunk_id"), n_docs))
-        terms = rows.select("chunk_id", "is_test", "doc_len", "slice", "home", F.explode("tokens").alias("term")).groupBy("term", "slice", "home", "chunk_id", "doc_len", "is_test").agg(F.count(F.lit(1)).alias("tf"))
-        return self._put(name, _blocks(terms, name), rows.select("chunk_id", "digest", "doc_len", "slice", "home", F.lit(name).alias("segment")))
-
-    def _put(self, name: str, blocks: DataFrame, docs: DataFrame) -> dict:
-        # In order of their terms a file's row groups tell which terms they hold.
-        blocks.sortWithinPartitions("term", "slice").write.parquet(f"{self.folder}/blocks/{name}")
-        docs.write.parquet(f"{self.folder}/docs/{name}")
-        n_docs, total = self._read("docs", [name], "doc_len int").agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    def _write(self, chunks: DataFrame) -> dict:
+        rows = lexical.counted(lexical.tokenised(chunks.withColumn("home", _home(F.col("path"))), self.config, keep=("digest", "home")))
+        return self._put(f"s-{uuid.uuid4().hex}", rows)
+
+    def _put(self, name: str, rows: DataFrame) -> dict:
+        """The rows (ROWS, digest, home) as a segment."""
+        rows = rows.withColumns({"band": _band(F.col("doc_len")), "segment": F.lit(name)})
+        rows.select("chunk_id", "is_test", "doc_len", "terms", "tfs", "digest", "home", "band", "segment").write.parquet(f"{self.folder}/docs/{name}")
+        docs = self._read("docs", [name], DOCS)
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / SLICE_CHUNKS), F.ceil(F.sum("doc_len") / SLICE_TOKENS))
+        docs.groupBy("segment", "home", "band").agg(many.cast("long").alias("slices")).write.parquet(f"{self.folder}/bands/{name}")
+        # A slice's chunks meet in one task: each chunk is moved once, with its terms.
+        sliced = self._sliced(docs, [name]).select("segment", "slice", "doc_len", "terms", "tfs")
+        sliced.groupBy("segment", "slice").applyInArrow(_header, HEADERS).write.parquet(f"{self.folder}/headers/{name}")
+        n_docs, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
         return {"name": name, "n_docs": n_docs, "total_len": total}
 
     def merge(self, keep: int | None = None) -> None:
@@ -146,86 +185,71 @@ class SegmentedIndex:
         small = ordered[keep:]
         if len(small) < 2:
             return
-        names, name = [s["name"] for s in small], f"s-{uuid.uuid4().hex}"
-        docs = self.docs(now).filter(F.col("segment").isin(names))
-        n_docs = docs.count()
-        again = _slice(F.col("home"), F.col("doc_len"), F.col("chunk_id"), n_docs)
-        rows, docs = self._live(now, self.blocks(names), ("home",)).withColumn("slice", again), docs.select("chunk_id", "digest", "doc_len", again.alias("slice"), "home", F.lit(name).alias("segment"))
-        self.pointer.put(now | {"segments": [*ordered[:keep], self._put(name, _blocks(rows, name), docs)]})
-
-    def _live(self, now: dict, blocks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-        """Blocks as postings, without those of dead chunks."""
-        rows = blocks.select("segment", "slice", "term", *extra, F.explode("postings").alias("p")).select("segment", "slice", "term", *extra, "p.*")
-        return rows.join(self.dead(now).select("segment", "chunk_id"), ["segment", "chunk_id"], "left_anti") if now["dead"] else rows
+        rows = self.docs(now, [s["name"] for s in small]).drop("segment", "band")
+        self.pointer.put(now | {"segments": [*ordered[:keep], self._put(f"s-{uuid.uuid4().hex}", rows)]})
 
     def counts(self) -> Counts:
         now = self.state()
         return Counts(now["n_docs"], now["total_len"])
 
     def read(self) -> lexical.Index:
-        """The whole index as postings and statistics."""
+        """The whole index as chunks with their terms, statistics and frequencies."""
         now, counts = self.state(), self.counts()
-        postings = self._live(now, self.blocks([s["name"] for s in now["segments"]])).select("term", "chunk_id", "doc_len", "is_test", "tf")
         stats = self.spark.createDataFrame([(counts.n_docs, counts.avg_len)], "n_docs long, avg_len double")
-        return lexical.Index(postings, stats, self.config)
-
-    def document_frequencies(self, now: dict, headers: DataFrame, blocks: DataFrame) -> DataFrame:
-        """term, df. headers: blocks of the terms asked for, without their postings."""
-        df = headers.groupBy("term").agg(F.sum("n").alias("df"))
-        if not now["dead"]:
-            return df
-        dead = self.dead(now)
-        touched = blocks.join(headers.select("term").distinct(), "term", "left_semi").join(dead.select("segment", "slice").distinct(), ["segment", "slice"], "left_semi")
-        lost = touched.select("segment", "term", F.explode("postings.chunk_id").alias("chunk_id")).join(dead, ["segment", "chunk_id"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
-        return df.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).filter("df > 0")
+        rows = self.docs(now).select("chunk_id", "is_test", "doc_len", "terms", "tfs")
+        return lexical.Index(rows, stats, self.config, self.document_frequencies(now))
+
+    def term_stats(self) -> DataFrame:
+        """term, df, total, most: how many chunks hold a term, how often in all, and how often one at most. Without dead chunks the headers tell."""
+        now = self.state()
+        if now["dead"]:
+            postings = lexical.posted(self.docs(now))
+            return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
+        rows = self.headers(now).select(F.explode(F.arrays_zip("terms", "n", "total", "max_tf")).alias("p"))
+        return rows.groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.n").alias("df"), F.sum("p.total").alias("total"), F.max("p.max_tf").cast("long").alias("most"))
+
+    def document_frequencies(self, now: dict) -> DataFrame:
+        """term, df."""
+        held = self.headers(now).select(F.explode(F.arrays_zip("terms", "n")).alias("p")).select(F.col("p.terms").alias("term"), F.col("p.n").alias("n"))
+        if now["dead"]:
+            names = [s["name"] for s in now["segments"]]
+            gone = self._read("docs", names, DOCS).join(self.dead(now).select("segment", "chunk_id"), ["segment", "chunk_id"], "left_semi")
+            held = held.unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
+        return held.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
 
     def pruned_top_k(self, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(query_id, rank, chunk_id, score, as lexical.bm25_top_k gives them; query_id, postings, scored: how many postings its terms have and how
         many of them were scored). terms: query_id, term, qf, about_tests."""
         now, counts, c = self.state(), self.counts(), self.config
-        blocks = self.blocks([s["name"] for s in now["segments"]])
-        headers = stored(blocks.drop("postings").join(terms.select("term").distinct(), "term", "left_semi"), "block-headers")
-        df = self.document_frequencies(now, headers, blocks)
-        idf = F.log(1 + (counts.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighted = stored(terms.join(df, "term").withColumn("weight", F.col("qf") * idf * (c.k1 + 1)), "query-terms")
-
-        def part(tf: Column, doc_len: Column) -> Column:
-            return F.col("weight") * tf / (tf + c.k1 * (1 - c.b + c.b * doc_len / (counts.avg_len or 1.0)))
-
-        bounded = headers.join(weighted, "term").withColumn("bound", part(F.col("max_tf"), F.col("min_len")))
-        up_to = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-        of_terms = bounded.groupBy("query_id", "term").agg(F.max("bound").alias("most")).withColumn("lower", F.sum("most").over(up_to))
-        # A chunk's postings all lie in its slice, so the slice's bounds are all that it can have.
-        of_slices = stored(bounded.groupBy("query_id", "segment", "slice").agg(F.sum("bound").alias("here")), "slice-bounds")
+        names = [s["name"] for s in now["segments"]]
+        asked_for = self.document_frequencies(now).join(terms.select("term").distinct(), "term", "left_semi")
+        asked = stored(lexical.weighted(terms, asked_for, counts.n_docs, c), "query-terms")
+        of_slices = stored(self._bounds(now, asked, counts), "slice-bounds")
+        rows = self._sliced(self.docs(now), names)
 
         def scored(wanted: DataFrame) -> DataFrame:
-            """query_id, chunk_id, segment, slice, test (the weight of a test's chunk), partial of blocks (query_id, term, segment, slice)."""
-            asked = wanted.join(weighted.select("query_id", "term", "weight", "about_tests"), ["query_id", "term"])
-            rows = self._live(now, blocks.join(wanted.select("term", "segment", "slice").distinct(), ["term", "segment", "slice"], "left_semi"))
-            test = F.when(F.col("is_test") & ~F.col("about_tests"), c.test_weight).otherwise(1.0).alias("test")
-            return rows.join(asked, ["term", "segment", "slice"]).groupBy("query_id", "chunk_id", "segment", "slice", test).agg(F.sum(part(F.col("tf"), F.col("doc_len"))).alias("partial"))
-
-        keyed = bounded.select("query_id", "term", "segment", "slice", "n")
-        seeds = top_k(of_slices, ["query_id"], [F.desc("here"), "segment", "slice"], SEED_SLICES).select("query_id", "segment", "slice", F.lit(True).alias("seed"))
-        floors = scored(keyed.drop("n").join(seeds.drop("seed"), ["query_id", "segment", "slice"])).withColumn("floor", F.col("partial") * F.col("test"))
-        least = top_k(floors, ["query_id"], [F.desc("floor"), "chunk_id"], k).filter(F.col("rank") == k).select("query_id", (F.col("floor") - SLACK).alias("least"))
-        judged = keyed.join(of_terms, ["query_id", "term"]).join(of_slices, ["query_id", "segment", "slice"]).join(least, "query_id", "left").join(seeds, ["query_id", "segment", "slice"], "left")
-        least, seed = F.coalesce("least", F.lit(0.0)), F.coalesce("seed", F.lit(False))
-        judged = judged.select("query_id", "term", "segment", "slice", "n", "most", seed.alias("seed"), least.alias("least"), (F.col("lower") >= least).alias("essential"), (F.col("here") >= least).alias("open"))
-        judged = stored(judged.withColumn("first", F.col("essential") & F.col("open")), "judged-blocks")
-
-        rest = judged.filter("not essential").groupBy("query_id", "term").agg(F.first("most").alias("most")).groupBy("query_id").agg(F.sum("most").alias("rest"))
-        floors = judged.groupBy("query_id").agg(F.first("least").alias("least")).join(rest, "query_id", "left")
-        found = scored(judged.filter("first")).join(floors, "query_id")
-        found = stored(found.filter((F.col("partial") + F.coalesce("rest", F.lit(0.0))) * F.col("test") >= F.col("least")).drop("rest", "least"), "candidates")
-        # Terms that aren't essential count for candidates alone, in the blocks of their slices.
-        places = found.select("query_id", "segment", "slice").distinct()
-        second = judged.filter("not essential").join(places, ["query_id", "segment", "slice"], "left_semi")
-        more = scored(second).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-        total = found.unionByName(more).groupBy("query_id", "chunk_id", "test").agg(F.sum("partial").alias("partial")).withColumn("score", F.col("partial") * F.col("test"))
-        ranked = top_k(total.filter("score > 0").withColumn("key", F.round("score", 9)), ["query_id"], [F.desc("key"), "chunk_id"], k)
-        touched = second.select("query_id", "term", "segment", "slice").withColumn("second", F.lit(True))
-        work = judged.join(touched, ["query_id", "term", "segment", "slice"], "left").groupBy("query_id").agg(
-            F.sum("n").alias("postings"), F.coalesce(F.sum(F.when(F.col("seed") | F.col("first") | F.col("second"), F.col("n"))), F.lit(0)).alias("scored")
-        )
-        return ranked.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score")), work
+            """Each query's k best of the slices that it wants (query_id, segment, slice)."""
+            # Slices that no query wants aren't moved.
+            used = rows.join(wanted.select("segment", "slice").distinct(), ["segment", "slice"], "left_semi")
+            return lexical.sharded_top_k(used, wanted.join(asked, "query_id"), k, ["segment", "slice"], counts.avg_len, c)
+
+        first = top_k(of_slices, ["query_id"], [F.desc("here"), "segment", "slice"], SEED_SLICES)
+        before = F.sum("n").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        seeds = stored(first.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < SEED_POSTINGS).select("query_id", "segment", "slice"), "seed-slices")
+        least = scored(seeds).filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
+        judged = of_slices.join(least, "query_id", "left").join(seeds.withColumn("seed", F.lit(True)), ["query_id", "segment", "slice"], "left")
+        judged = stored(judged.select("query_id", "segment", "slice", "n", F.col("seed").isNotNull().alias("seed"), (F.col("here") >= F.coalesce("least", F.lit(0.0))).alias("open")), "judged-slices")
+        work = judged.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("seed") | F.col("open"), F.col("n")).otherwise(0)).alias("scored"))
+        return scored(judged.filter("open").select("query_id", "segment", "slice")), work
+
+    def _bounds(self, now: dict, asked: DataFrame, counts: Counts) -> DataFrame:
+        """query_id, segment, slice, here (the bound), n (postings) of the slices that hold a query's terms."""
+        headers = self.headers(now)
+        held = headers.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+        shards, blocks = max(1, -(-held // HEADER_TERMS)), max(1, -(-asked.count() // lexical.BLOCK_QUERIES))
+        headers = headers.withColumn("shard", F.pmod(F.xxhash64("segment", "slice"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        keys = ["shard", "block"]
+        asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in keys), "query_id", "about_tests", "asked")
+        grouped = headers.select(*keys, "segment", "slice", "terms", "n", "max_tf", "min_len").groupBy(*keys).cogroup(asked.groupBy("q_shard", "q_block"))
+        return grouped.applyInArrow(_block_bounds(counts.avg_len, self.config), f"query_id {dict(asked.dtypes)['query_id']}, segment string, slice long, here double, n long")

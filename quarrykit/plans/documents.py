@@ -217,8 +217,7 @@ _TOKENS = f"WITH d AS (SELECT doc_id, regexp_extract_all({FOLD.format(f'concat({
 
 @query(_TOKENS + ", t AS (SELECT doc_id, unnest(toks) AS term FROM d), c AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most FROM c GROUP BY term HAVING count(*) >= 5")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = bm25_index(spark, sf_dir, lexical.BM25()).read().postings
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("total"), F.max("tf").alias("most")).filter("df >= 5")
+    return bm25_index(spark, sf_dir, lexical.BM25()).term_stats().filter("df >= 5")
 
 
 def _bm25_sql(text: str, stop: bool, weight: str, k: int, extra: str = "doc_id") -> str:
@@ -239,7 +238,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS sco
 
 def _bm25(spark: SparkSession, sf_dir: str, config: lexical.BM25, k: int, chunks: DataFrame | None = None) -> DataFrame:
     index = bm25_index(spark, sf_dir, config).read() if chunks is None else lexical.read_index(spark, lexical.write_index(chunks, config), config)
-    return lexical.bm25_top_k(index.postings, index.stats, lexical.query_terms(questions(spark, sf_dir), config), k, config)
+    return index.top_k(lexical.query_terms(questions(spark, sf_dir), config), k)
 
 
 @query(_bm25_sql(f"concat({PATH}, chr(10), text)", True, "1", 10))
