@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators import context, lexical, retrieval, vector
 from quarrykit.operators.ranking import top_k
+from quarrykit.sources.shared import stored
 
 STRATEGIES = ("semantic", "lexical", "hybrid", "hybrid_symbol", "lexical_symbol")
 CONTEXT_STRATEGIES = ("seeds_only", "expanded")
@@ -114,7 +115,8 @@ def hybrid_search_with_reranking(
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise SearchError("k must be a positive integer")
     ranked = hybrid_search(corpus, queries, query_vectors, retrieval_k, depths, mode).join(corpus.chunks.select("chunk_id", "content"), "chunk_id")
-    shown = retrieval.rerank_candidates(ranked.withColumn("chars", F.char_length("content")), "chars")
+    # The reranker, the checks of its answer and the answer itself all read what was shown: the searches are made once.
+    shown = stored(retrieval.rerank_candidates(ranked.withColumn("chars", F.char_length("content")), "chars"), "shown-candidates")
     answer = rerank(shown)
     wrong = retrieval.rerank_violations(shown, answer).first()
     if wrong:

@@ -39,3 +39,44 @@ def test_slices_grow_with_the_chunks_that_share_a_folder_and_length(spark, tmp_p
     index = segments.SegmentedIndex(spark, f"file://{tmp_path}/index", lexical.LEGACY)
     index.update(table)
     assert index.headers(index.state()).count() == 40
+
+
+def test_reranking_reads_stored_candidates(spark):
+    """What the answer is made of is what was shown: no search is in its plan."""
+    from pyspark.sql import functions as F
+
+    from quarrykit.operators import search, vector
+
+    chunks = spark.createDataFrame([(i, f"{i}.py", 0, None, None, f"alpha beta{i}") for i in range(6)], "chunk_id long, path string, chunk_index int, symbol string, qualified string, content string")
+    queries = spark.createDataFrame([(1, "alpha beta3")], "query_id long, query string")
+    as_text = lambda df, i, t: vector.hashed_vectors(df.select(F.col(i).alias("id"), F.col(t).alias("text")))
+    corpus = search.Corpus(chunks, as_text(chunks, "chunk_id", "content"), lexical.read_index(spark, lexical.write_index(chunks)))
+    asked = as_text(queries, "query_id", "query").withColumnRenamed("id", "query_id")
+    found = search.hybrid_search_with_reranking(corpus, queries, asked, lambda shown: shown.select("query_id", "chunk_id", F.col("chunk_id").alias("position")), 5, 2)
+    assert "CoGroup" not in plan(found) and [r["rank"] for r in found.collect()] == [1, 2]
+
+
+def test_hashed_vectors_shuffle_no_token(spark):
+    from quarrykit.operators import vector
+
+    texts = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    found = vector.hashed_vectors(texts)
+    assert "Generate" not in plan(found)
+    got = {r.id: r.embedding for r in found.collect()}
+    one = {r.id: r.embedding for r in vector.hashed_vectors(spark.createDataFrame([(1, "a b a b c"), (4, "x")], "id long, text string")).collect()}
+    assert got == one and sum(got[1]) == 5 and len(got[1]) == 64
+
+
+def test_context_quality_by_class_makes_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from quarrykit.operators import evaluation
+
+    items = spark.createDataFrame([(i, i % 4) for i in range(40)] + [(100, 9), (7, 3)], "item long, class int")
+    cases = items.filter("item % 5 = 0").withColumnRenamed("item", "case_id")
+    packed = spark.createDataFrame([(c, i, 10) for c in range(0, 40, 10) for i in (c, c + 1, c + 4, c + 8, 77) if i != 48], "case_id long, item long, tokens int")
+    gold = cases.join(items, "class").filter("case_id <> item").select("case_id", "item")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    found = evaluation.context_quality_by_class(packed, cases, items, 100)
+    assert told(found) == told(evaluation.context_quality(packed, gold, 100))
+    assert found.filter(F.col("case_id") == 100).count() == 0
