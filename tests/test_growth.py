@@ -2,6 +2,9 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from quarrykit.operators import lexical, segments
 
 SCHEMA = "chunk_id long, path string, symbol string, content string"
@@ -22,13 +25,13 @@ def test_bm25_shuffles_no_row_a_query_and_chunk(spark):
     assert {(r.query_id, r["rank"], r.chunk_id) for r in found.collect()} >= {(q, 1, q) for q in range(5)}
 
 
-def test_bm25_in_blocks_and_steps(spark, monkeypatch):
-    """However small shards, blocks and steps are, results are the same; a chunk of more tokens than a step is whole."""
+def test_bm25_in_shards_and_blocks(spark, monkeypatch):
+    """However small shards and blocks are, results are the same."""
     table = spark.createDataFrame([(i, f"{i}.py", None, " ".join(f"w{(i * j) % 11}" for j in range(i % 40))) for i in range(150)] + [(999, None, None, None)], SCHEMA)
     terms = lexical.query_terms(spark.createDataFrame([(q, f"w{q} w{q + 1} w{q} w3") for q in range(9)], "query_id long, query string"), lexical.LEGACY)
     ask = lambda: sorted(map(tuple, lexical.read_index(spark, lexical.write_index(table, lexical.LEGACY), lexical.LEGACY).top_k(terms, 4).collect()))
     want = ask()
-    for name, value in (("SHARD_TOKENS", 500), ("BLOCK_QUERIES", 2), ("PRODUCTS", 16)):
+    for name, value in (("SHARD_TOKENS", 500), ("BLOCK_QUERIES", 2)):
         monkeypatch.setattr(lexical, name, value)
     assert len(want) == 36 and ask() == want
 
@@ -80,3 +83,58 @@ def test_context_quality_by_class_makes_no_pairs(spark):
     found = evaluation.context_quality_by_class(packed, cases, items, 100)
     assert told(found) == told(evaluation.context_quality(packed, gold, 100))
     assert found.filter(F.col("case_id") == 100).count() == 0
+
+
+def test_trigrams_are_split_in_place(spark, monkeypatch, tmp_path):
+    """No shuffle makes postings; a text longer than a step, and texts of several steps, are found as by plain search."""
+    from quarrykit.operators import searching, trigrams
+
+    rows = spark.createDataFrame([("a", "x" * 130 + "needle" + "y" * 100), ("b", ""), ("c", None), ("d", "need\nle"), ("e", "the Needle, ne"), ("f", "n"), ("g", "ab" * 100 + "needl")], "path string, content string")
+    made = trigrams._postings(rows.selectExpr("0 slice", "monotonically_increasing_id() file_id", "content"))
+    assert "Exchange" not in plan(made) and "Generate" not in plan(made)
+    told = lambda df: sorted(map(tuple, df.collect()))
+    index = trigrams.TrigramIndex(spark, f"file://{tmp_path}/index")
+    index.update(rows)
+    for needle in ("needle", "abab", "n", "xn", "y" * 70):
+        assert told(index.search(needle)) == told(searching.search(rows, needle))
+    # In steps of any size, on this process's own batch: the masks are those of each trigram's places.
+    texts = [t.encode() + b"\n\n" for t in ("x" * 130 + "needle" + "y" * 100, "", "need\nle", "ab" * 100 + "needl")]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array(range(4), pa.int64()), pa.array(texts)], names=["slice", "file_id", "data"]).slice(1)
+    want: dict = {}
+    for i, t in enumerate(texts[1:], 1):
+        for at in range(len(t) - 2):
+            want[t[at : at + 3], i] = want.get((t[at : at + 3], i), 0) | 1 << at % 64
+    for step in (64, 128, 1 << 20):
+        monkeypatch.setattr(trigrams, "STEP", step)
+        found: dict = {}
+        for row in pa.Table.from_batches(trigrams._split_all([batch])).to_pylist():
+            for f in row["files"]:
+                found[row["gram"], f["file_id"]] = found.get((row["gram"], f["file_id"]), 0) | f["mask"] % (1 << 64)
+        assert found == want
+
+
+def test_sums_in_steps(monkeypatch):
+    """Whatever is summed together, sums are the same."""
+    queries = pa.table({"asked": pa.array([[{"term": f"w{(q + j) % 5}", "weight": 1.0 + q + j} for j in range(3)] for q in range(4)])})
+    lists = [[f"w{(i * j) % 7}" for j in range(i % 6)] for i in range(30)]
+    terms = pa.array(lists, pa.list_(pa.string()))
+    parts = np.arange(sum(map(len, lists)), dtype=float)
+    for most in (4, 50, 1 << 20):
+        monkeypatch.setattr(lexical, "PRODUCTS", most)
+        got = np.concatenate([total for _, _, (total,) in lexical.Asked(queries).sums(terms, parts)])
+        at, want = 0, np.zeros((30, 4))
+        for i, words in enumerate(lists):
+            for w in words:
+                for q in range(4):
+                    want[i, q] += parts[at] * sum(t["weight"] for t in queries["asked"][q].as_py() if t["term"] == w)
+                at += 1
+        assert np.allclose(got, want)
+
+
+def test_chunks_of_steps(spark):
+    from quarrykit.operators import chunking
+
+    rows = spark.createDataFrame([(f"{i}", "python", f"def f{i}():\n    return {i}\n" * (i % 5)) for i in range(60)] + [("null", "python", None)], "path string, language string, content string")
+    told = lambda: sorted(map(str, chunking.chunks(rows, "python_ast_v1").collect()))
+    assert len(told()) == 120
+    assert list(chunking.steps(np.array([40, 20, 90, 10]), 64)) == [(0, 2), (2, 3), (3, 4)]
