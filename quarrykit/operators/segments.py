@@ -16,6 +16,7 @@ over all terms stay under it holds no result, and isn't scored at all.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,10 +37,11 @@ SEED_SLICES, SEED_POSTINGS, SLACK = 24, 4096, 2e-6
 #: Headers' terms that a task compares with queries together.
 HEADER_TERMS = 1 << 20
 #: Part of the source's state: another layout isn't read as this one.
-LAYOUT = "rows-1"
+LAYOUT = "rows-2"
 
 DOCS = f"{lexical.ROWS}, digest string, home long, band long, segment string"
 HEADERS = "segment string, slice long, terms array<string>, n array<int>, max_tf array<int>, min_len array<int>, total array<long>"
+TERMS = "term string, df long, total long, most long"
 
 
 def _home(path: Column) -> Column:
@@ -97,14 +99,15 @@ class Counts:
 
 
 class SegmentedIndex:
-    """An index in a folder of the shared file system. One writer; readers keep the version they began with."""
+    """An index in a folder of the shared file system. One writer; readers keep the version they began with. bounds: whether slices get headers, which
+    pruned_top_k needs and nothing else; without them no chunk is moved when the index is made."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: BM25 = BM25()) -> None:
-        self.spark, self.folder, self.config, self.pointer = spark, folder.rstrip("/"), config, Pointer(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, config: BM25 = BM25(), bounds: bool = True) -> None:
+        self.spark, self.folder, self.config, self.bounds, self.pointer = spark, folder.rstrip("/"), config, bounds, Pointer(spark, folder)
 
     def state(self) -> dict | None:
         now = self.pointer.get()
-        if now is not None and (now["layout"] != LAYOUT or now["config"] != repr(self.config)):
+        if now is not None and (now["layout"] != LAYOUT or now["config"] != repr(self.config) or now["bounds"] != self.bounds):
             raise ValueError(f"{self.folder} holds an index of another layout or configuration")
         return now
 
@@ -154,7 +157,7 @@ class SegmentedIndex:
             segments.append(made)
             added = Counts(made["n_docs"], made["total_len"])
         self.pointer.put({
-            "layout": LAYOUT, "config": repr(self.config), "source": source, "segments": segments, "dead": now["dead"] + dead_at,
+            "layout": LAYOUT, "config": repr(self.config), "bounds": self.bounds, "source": source, "segments": segments, "dead": now["dead"] + dead_at,
             "n_docs": now["n_docs"] - gone.n_docs + added.n_docs, "total_len": now["total_len"] - gone.total_len + added.total_len,
         })
         if len(segments) > MAX_SEGMENTS:
@@ -170,13 +173,23 @@ class SegmentedIndex:
         rows = rows.withColumns({"band": _band(F.col("doc_len")), "segment": F.lit(name)})
         rows.select("chunk_id", "is_test", "doc_len", "terms", "tfs", "digest", "home", "band", "segment").write.parquet(f"{self.folder}/docs/{name}")
         docs = self._read("docs", [name], DOCS)
+        if self.bounds:
+            self._slice(name, docs)
+            held = self._read("headers", [name], HEADERS).select(F.explode(F.arrays_zip("terms", "n", "total", "max_tf")).alias("p"))
+            held = held.select(F.col("p.terms").alias("term"), F.col("p.n").alias("n"), F.col("p.total").alias("total"), F.col("p.max_tf").alias("most"))
+        else:
+            held = lexical.posted(docs).select("term", F.lit(1).alias("n"), F.col("tf").alias("total"), F.col("tf").alias("most"))
+        told = held.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"), F.max("most").cast("long").alias("most"))
+        told.write.parquet(f"{self.folder}/terms/{name}")
+        n_docs, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+        return {"name": name, "n_docs": n_docs, "total_len": total}
+
+    def _slice(self, name: str, docs: DataFrame) -> None:
         many = F.greatest(F.ceil(F.count(F.lit(1)) / SLICE_CHUNKS), F.ceil(F.sum("doc_len") / SLICE_TOKENS))
         docs.groupBy("segment", "home", "band").agg(many.cast("long").alias("slices")).write.parquet(f"{self.folder}/bands/{name}")
         # A slice's chunks meet in one task: each chunk is moved once, with its terms.
         sliced = self._sliced(docs, [name]).select("segment", "slice", "doc_len", "terms", "tfs")
         sliced.groupBy("segment", "slice").applyInArrow(_header, HEADERS).write.parquet(f"{self.folder}/headers/{name}")
-        n_docs, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-        return {"name": name, "n_docs": n_docs, "total_len": total}
 
     def merge(self, keep: int | None = None) -> None:
         """The smallest segments become one, without what is dead; the `keep` largest stay, by default half of what an index may have."""
@@ -200,37 +213,49 @@ class SegmentedIndex:
         return lexical.Index(rows, stats, self.config, self.document_frequencies(now))
 
     def term_stats(self) -> DataFrame:
-        """term, df, total, most: how many chunks hold a term, how often in all, and how often one at most. Without dead chunks the headers tell."""
+        """term, df, total, most: how many chunks hold a term, how often in all, and how often one at most. Without dead chunks the segments' sums tell."""
         now = self.state()
         if now["dead"]:
             postings = lexical.posted(self.docs(now))
             return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
-        rows = self.headers(now).select(F.explode(F.arrays_zip("terms", "n", "total", "max_tf")).alias("p"))
-        return rows.groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.n").alias("df"), F.sum("p.total").alias("total"), F.max("p.max_tf").cast("long").alias("most"))
+        rows = self._read("terms", [s["name"] for s in now["segments"]], TERMS)
+        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.max("most").alias("most"))
 
     def document_frequencies(self, now: dict) -> DataFrame:
         """term, df."""
-        held = self.headers(now).select(F.explode(F.arrays_zip("terms", "n")).alias("p")).select(F.col("p.terms").alias("term"), F.col("p.n").alias("n"))
+        held = self._read("terms", [s["name"] for s in now["segments"]], TERMS).select("term", F.col("df").alias("n"))
         if now["dead"]:
             names = [s["name"] for s in now["segments"]]
             gone = self._read("docs", names, DOCS).join(self.dead(now).select("segment", "chunk_id"), ["segment", "chunk_id"], "left_semi")
-            held = held.unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
+            held = held.unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("n")))
         return held.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
 
     def pruned_top_k(self, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(query_id, rank, chunk_id, score, as lexical.bm25_top_k gives them; query_id, postings, scored: how many postings its terms have and how
         many of them were scored). terms: query_id, term, qf, about_tests."""
+        if not self.bounds:
+            raise ValueError(f"{self.folder} holds an index without bounds")
         now, counts, c = self.state(), self.counts(), self.config
         names = [s["name"] for s in now["segments"]]
         asked_for = self.document_frequencies(now).join(terms.select("term").distinct(), "term", "left_semi")
         asked = stored(lexical.weighted(terms, asked_for, counts.n_docs, c), "query-terms")
-        of_slices = stored(self._bounds(now, asked, counts), "slice-bounds")
+        sent = lexical.few_enough(asked)
+        of_slices = stored(self._bounds(now, asked, counts, sent), "slice-bounds")
         rows = self._sliced(self.docs(now), names)
 
         def scored(wanted: DataFrame) -> DataFrame:
-            """Each query's k best of the slices that it wants (query_id, segment, slice)."""
+            """Each query's k best of the slices that it wants (query_id, segment, slice; a stored table)."""
+            places = wanted.select("segment", "slice").distinct()
+            if sent is not None and places.count() * sent.num_rows <= lexical.SENT_PAIRS:
+                told = wanted.select("query_id", "segment", "slice").toArrow()
+                row = {query: i for i, query in enumerate(sent["query_id"].to_pylist())}
+                at: dict[tuple[str, int], int] = {}
+                pairs = [(at.setdefault((segment, place), len(at)), row[query]) for query, segment, place in zip(*(c.to_pylist() for c in told.columns), strict=True)]
+                open_to = np.zeros((len(at), sent.num_rows), bool)
+                open_to[tuple(np.array(pairs, np.int64).reshape(-1, 2).T)] = True
+                return lexical.sent_top_k(rows.join(F.broadcast(places), ["segment", "slice"], "left_semi"), sent, k, counts.avg_len, c, (at, open_to))
             # Slices that no query wants aren't moved.
-            used = rows.join(wanted.select("segment", "slice").distinct(), ["segment", "slice"], "left_semi")
+            used = rows.join(places, ["segment", "slice"], "left_semi")
             return lexical.sharded_top_k(used, wanted.join(asked, "query_id"), k, ["segment", "slice"], counts.avg_len, c)
 
         first = top_k(of_slices, ["query_id"], [F.desc("here"), "segment", "slice"], SEED_SLICES)
@@ -242,9 +267,18 @@ class SegmentedIndex:
         work = judged.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("seed") | F.col("open"), F.col("n")).otherwise(0)).alias("scored"))
         return scored(judged.filter("open").select("query_id", "segment", "slice")), work
 
-    def _bounds(self, now: dict, asked: DataFrame, counts: Counts) -> DataFrame:
+    def _bounds(self, now: dict, asked: DataFrame, counts: Counts, sent: pa.Table | None) -> DataFrame:
         """query_id, segment, slice, here (the bound), n (postings) of the slices that hold a query's terms."""
-        headers = self.headers(now)
+        headers, bound = self.headers(now), _block_bounds(counts.avg_len, self.config)
+        schema = f"query_id {dict(asked.dtypes)['query_id']}, segment string, slice long, here double, n long"
+        if sent is not None:
+
+            def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for begin in range(0, sent.num_rows, lexical.BLOCK_QUERIES):
+                        yield from bound((), pa.Table.from_batches([batch]), sent.slice(begin, lexical.BLOCK_QUERIES)).combine_chunks().to_batches()
+
+            return headers.select("segment", "slice", "terms", "n", "max_tf", "min_len").mapInArrow(compare, schema)
         held = headers.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
         shards, blocks = max(1, -(-held // HEADER_TERMS)), max(1, -(-asked.count() // lexical.BLOCK_QUERIES))
         headers = headers.withColumn("shard", F.pmod(F.xxhash64("segment", "slice"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -252,4 +286,4 @@ class SegmentedIndex:
         keys = ["shard", "block"]
         asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in keys), "query_id", "about_tests", "asked")
         grouped = headers.select(*keys, "segment", "slice", "terms", "n", "max_tf", "min_len").groupBy(*keys).cogroup(asked.groupBy("q_shard", "q_block"))
-        return grouped.applyInArrow(_block_bounds(counts.avg_len, self.config), f"query_id {dict(asked.dtypes)['query_id']}, segment string, slice long, here double, n long")
+        return grouped.applyInArrow(bound, schema)

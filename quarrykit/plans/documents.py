@@ -201,13 +201,13 @@ def span_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEXES: dict[tuple[str, str, lexical.BM25], segments.SegmentedIndex] = {}
 
 
-def bm25_index(spark: SparkSession, sf_dir: str, config: lexical.BM25, chunks: DataFrame | None = None, what: str = "documents") -> segments.SegmentedIndex:
-    """The index of a folder's documents, which lexical queries share. It is brought up to date whenever the files have changed since: what is kept
+def bm25_index(spark: SparkSession, sf_dir: str, config: lexical.BM25, chunks: DataFrame | None = None, what: str = "documents", bounds: bool = True) -> segments.SegmentedIndex:
+    """The index of a folder's documents, which lexical queries share; with bounds, if searches are to be pruned. It is brought up to date whenever the files have changed since: what is kept
     by path is where the index is, not what it says."""
     chunks = chunk_rows(spark, sf_dir) if chunks is None else chunks
     key = (spark.sparkContext.applicationId, f"{sf_dir}#{what}", config)
     if key not in _INDEXES:
-        _INDEXES[key] = segments.SegmentedIndex(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}", config)
+        _INDEXES[key] = segments.SegmentedIndex(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}", config, bounds)
     _INDEXES[key].update(chunks, fingerprint(chunks))
     return _INDEXES[key]
 
@@ -237,7 +237,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS sco
 
 
 def _bm25(spark: SparkSession, sf_dir: str, config: lexical.BM25, k: int, chunks: DataFrame | None = None) -> DataFrame:
-    index = bm25_index(spark, sf_dir, config).read() if chunks is None else lexical.read_index(spark, lexical.write_index(chunks, config), config)
+    index = bm25_index(spark, sf_dir, config, bounds=config != lexical.LEGACY).read() if chunks is None else lexical.read_index(spark, lexical.write_index(chunks, config), config)
     return index.top_k(lexical.query_terms(questions(spark, sf_dir), config), k)
 
 

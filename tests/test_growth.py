@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quarrykit.operators import lexical, segments
 
@@ -36,6 +37,52 @@ def test_bm25_in_shards_and_blocks(spark, monkeypatch):
     assert len(want) == 36 and ask() == want
 
 
+def test_queries_go_to_the_chunks(spark, monkeypatch):
+    """No chunk is dealt anew for a batch of bounded size, which a larger one isn't; shares of the work don't tell in the results. A batch without a common term is a batch."""
+    table = spark.createDataFrame([(i, f"{i}.py", None, f"common word{i % 7} w{i}") for i in range(90)] + [(200, "x.py", None, "")], SCHEMA)
+    index = lexical.read_index(spark, lexical.write_index(table, lexical.LEGACY), lexical.LEGACY)
+    terms = lexical.query_terms(spark.createDataFrame([(q, f"common word{q} w{q * 9}") for q in range(6)] + [(50, "w88"), (51, "nowhere")], "query_id long, query string"), lexical.LEGACY)
+    told = lambda df: sorted(map(tuple, df.collect()))
+    found = index.top_k(terms, 4)
+    assert "CoGroup" not in plan(found)
+    want = told(found)
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 2)
+    assert told(index.top_k(terms, 4)) == want and len(want) == 25
+    monkeypatch.setattr(lexical, "SENT_TERMS", 3)
+    found = index.top_k(terms, 4)
+    assert "CoGroup" in plan(found) and told(found) == want
+
+
+def test_pruned_search_moves_no_chunk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SLICE_CHUNKS", 4)
+    monkeypatch.setattr(segments, "SEED_SLICES", 2)
+    rows = [(i, f"f{i % 5}/{i}.py", None, f"common word{i % 7} " + "filler " * (i % 9) + ("rare " if i % 40 == 0 else "")) for i in range(160)]
+    index = segments.SegmentedIndex(spark, f"file://{tmp_path}/index", lexical.LEGACY)
+    index.update(spark.createDataFrame(rows, SCHEMA))
+    terms = lexical.query_terms(spark.createDataFrame([(1, "rare common"), (2, "word3"), (3, "rare word1 filler"), (4, "none")], "query_id long, query string"), lexical.LEGACY)
+    told = lambda both: [sorted(map(tuple, df.collect())) for df in both]
+    both = index.pruned_top_k(terms, 5)
+    assert "CoGroup" not in plan(both[0])
+    want = told(both)
+    assert want[0] == told([index.read().top_k(terms, 5)])[0]
+    for name in ("SENT_PAIRS", "SENT_TERMS"):
+        monkeypatch.setattr(lexical, name, 1)
+        both = index.pruned_top_k(terms, 5)
+        assert "CoGroup" in plan(both[0]) and told(both) == want
+
+
+def test_an_index_without_bounds_moves_no_chunk(spark, tmp_path):
+    rows = [(i, f"{i}.py", None, f"common word{i % 7}") for i in range(30)]
+    made = [segments.SegmentedIndex(spark, f"file://{tmp_path}/{b}", lexical.LEGACY, b) for b in (True, False)]
+    for index in made:
+        index.update(spark.createDataFrame(rows, SCHEMA))
+        index.update(spark.createDataFrame(rows[5:] + [(40, "y.py", None, "common new")], SCHEMA))
+    stats = [sorted(map(tuple, index.term_stats().collect())) for index in made]
+    assert stats[0] == stats[1] and not (tmp_path / "False" / "headers").exists()
+    with pytest.raises(ValueError):
+        made[1].pruned_top_k(lexical.query_terms(spark.createDataFrame([(1, "common")], "query_id long, query string")), 3)
+
+
 def test_slices_grow_with_the_chunks_that_share_a_folder_and_length(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SLICE_CHUNKS", 8)
     table = spark.createDataFrame([(i, f"f{i % 40}/{i}.py", None, "one two three") for i in range(320)], SCHEMA)
