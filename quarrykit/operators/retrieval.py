@@ -26,9 +26,13 @@ def exact_identifier_queries(queries: DataFrame) -> DataFrame:
 
 def symbol_search(chunks: DataFrame, wanted: DataFrame, limit: int = SYMBOL_LIMIT) -> DataFrame:
     """query_id, rank, tier, identifier, path, chunk_index, identity. Tier 0: a qualified name, 1: a simple one that looks like code, 2: a plain
-    word. chunks: path, chunk_index, symbol, qualified. Of a symbol's fragments in a file the first counts, before the limit."""
+    word. chunks: path, chunk_index, symbol, qualified. Of a symbol's fragments in a file the first counts, before the limit. A query takes an identifier at one tier, so
+    none of its first `limit` places lies beyond the identifier's own first `limit`: only these meet the queries, whatever number of chunks bear a name."""
     names = chunks.select("path", "chunk_index", F.coalesce("qualified", "symbol").alias("identity"), F.explode(F.array(F.struct(F.col("qualified").alias("name"), F.lit(True).alias("q")), F.struct(F.col("symbol").alias("name"), F.lit(False).alias("q")))).alias("n"))
     names = names.select("path", "chunk_index", "identity", F.col("n.name").alias("identifier"), F.col("n.q").alias("qualified")).filter("identifier is not null")
+    names = names.join(wanted.select("identifier", "qualified").distinct(), ["identifier", "qualified"], "left_semi")
+    own = ["identifier", "qualified"]
+    names = top_k(keep_first(names, [*own, "path", "identity"], ["chunk_index"]), own, ["path", "chunk_index", "identity"], limit).drop("rank")
     tier = F.when(F.col("qualified"), 0).when(F.col("strong"), 1).otherwise(2)
     found = wanted.join(names, ["identifier", "qualified"]).withColumn("tier", tier)
     best = keep_first(found, ["query_id", "path", "chunk_index"], ["tier", "identifier"])

@@ -83,6 +83,28 @@ def test_an_index_without_bounds_moves_no_chunk(spark, tmp_path):
         made[1].pruned_top_k(lexical.query_terms(spark.createDataFrame([(1, "common")], "query_id long, query string")), 3)
 
 
+def test_symbols_meet_queries_by_their_first_places(spark):
+    """However many chunks bear a name, a query sees some; the same as of all."""
+    from pyspark.sql import functions as F
+
+    from quarrykit.operators import retrieval
+    from quarrykit.operators.ranking import keep_first, top_k
+
+    chunks = spark.createDataFrame([(f"p{i * 37 % 100:03}.py", j, f"s{i % 3}", f"m{i % 2}.s{i % 3}") for i in range(100) for j in range(i % 4)], "path string, chunk_index int, symbol string, qualified string")
+    asked = [(1, "s0", False, False), (1, "m1.s0", True, True), (1, "s1", False, True), (2, "s2", False, False), (3, "m0.s1", True, True), (3, "s1", False, False), (4, "none", False, False)]
+    wanted = spark.createDataFrame(asked, "query_id long, identifier string, qualified boolean, strong boolean")
+    names = chunks.select("path", "chunk_index", F.col("qualified").alias("identity"), F.col("qualified").alias("identifier"), F.lit(True).alias("qualified"))
+    names = names.unionByName(chunks.select("path", "chunk_index", F.col("qualified").alias("identity"), F.col("symbol").alias("identifier"), F.lit(False).alias("qualified")))
+    every = wanted.join(names, ["identifier", "qualified"]).withColumn("tier", F.expr("case when qualified then 0 when strong then 1 else 2 end"))
+    first = keep_first(keep_first(every, ["query_id", "path", "chunk_index"], ["tier", "identifier"]), ["query_id", "path", "identity"], ["tier", "chunk_index"])
+    columns = ["query_id", "rank", "tier", "identifier", "path", "chunk_index", "identity"]
+    told = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    for limit in (1, 5, 30):
+        found = retrieval.symbol_search(chunks, wanted, limit)
+        assert told(found) == told(top_k(first, ["query_id"], ["tier", "path", "chunk_index"], limit))
+    assert re.search(r"WindowGroupLimit \[identifier", plan(retrieval.symbol_search(chunks, wanted, 5)))
+
+
 def test_slices_grow_with_the_chunks_that_share_a_folder_and_length(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SLICE_CHUNKS", 8)
     table = spark.createDataFrame([(i, f"f{i % 40}/{i}.py", None, "one two three") for i in range(320)], SCHEMA)
