@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,8 +66,13 @@ def lexical_search(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _two(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int, depths: Depths, mode: str) -> dict[str, DataFrame]:
-    near = semantic(corpus, query_vectors, depths.of("semantic", k), mode)
-    return {"semantic": near, "lexical": lexical_search(corpus, queries, depths.of("lexical", k))}
+    """Both sources, stored: what fuses them reads them more than once."""
+    near = stored(semantic(corpus, query_vectors, depths.of("semantic", k), mode), "semantic-ranks")
+    return {"semantic": near, "lexical": _lexical_ranks(corpus, queries, depths.of("lexical", k))}
+
+
+def _lexical_ranks(corpus: Corpus, queries: DataFrame, depth: int) -> DataFrame:
+    return stored(lexical_search(corpus, queries, depth), "lexical-ranks")
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int, depths: Depths = Depths(), mode: str = "exact") -> DataFrame:
@@ -78,7 +84,10 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame,
 def hybrid_symbol_search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int, depths: Depths = Depths(), mode: str = "exact") -> DataFrame:
     """hybrid_search with a third source, the symbols that a query names (symbol_rank): see with_symbols."""
     _asked(queries, k)
-    two = _two(corpus, queries, query_vectors, k, depths, mode)
+    return _hybrid_symbol(corpus, queries, _two(corpus, queries, query_vectors, k, depths, mode), k, depths)
+
+
+def _hybrid_symbol(corpus: Corpus, queries: DataFrame, two: dict[str, DataFrame], k: int, depths: Depths) -> DataFrame:
     return with_symbols(corpus, queries, two, k, depths.of("semantic", k) + depths.of("lexical", k), depths)
 
 
@@ -86,7 +95,7 @@ def lexical_symbol_search(corpus: Corpus, queries: DataFrame, k: int, depths: De
     """query_id, rank, chunk_id, score, lexical_rank, symbol_rank: BM25 and symbols, without vectors."""
     _asked(queries, k)
     depth = depths.of("lexical", k)
-    return with_symbols(corpus, queries, {"lexical": lexical_search(corpus, queries, depth)}, k, depth, depths, corroborate_weak)
+    return with_symbols(corpus, queries, {"lexical": _lexical_ranks(corpus, queries, depth)}, k, depth, depths, corroborate_weak)
 
 
 def with_symbols(corpus: Corpus, queries: DataFrame, sources: dict[str, DataFrame], k: int, evidence_depth: int, depths: Depths = Depths(), corroborate_weak: bool = True) -> DataFrame:
@@ -142,6 +151,21 @@ def search(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame | None,
     return of(corpus, queries, query_vectors, k, depths, mode)
 
 
+def every_strategy(corpus: Corpus, queries: DataFrame, query_vectors: DataFrame, k: int, depths: Depths = Depths()) -> DataFrame:
+    """strategy, query_id, rank, chunk_id: what search() gives by each strategy, with exact vector search. The sources are searched once, as deep as any strategy reads."""
+    _asked(queries, k)
+    near, text = depths.of("semantic", k), depths.of("lexical", k)
+    to = lambda rows, depth: rows.filter(F.col("rank") <= depth)
+    semantic_ranks = stored(semantic(corpus, query_vectors, max(k, near)), "semantic-ranks")
+    lexical_ranks = _lexical_ranks(corpus, queries, max(k, text))
+    two = {"semantic": to(semantic_ranks, near), "lexical": to(lexical_ranks, text)}
+    found = {
+        "semantic": to(semantic_ranks, k), "lexical": to(lexical_ranks, k), "hybrid": retrieval.fused(two, ["chunk_id"], k), "hybrid_symbol": _hybrid_symbol(corpus, queries, two, k, depths),
+        "lexical_symbol": with_symbols(corpus, queries, {"lexical": two["lexical"]}, k, text, depths),
+    }
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("strategy"), "query_id", "rank", "chunk_id") for name, rows in found.items()))
+
+
 def rag_context(seeds: DataFrame, chunks: DataFrame, strategy: str = "expanded", budget_tokens: int = context.CONTEXT_TOKENS, max_chars: int = context.CONTEXT_CHARS, radius: int = context.RADIUS) -> DataFrame:
     """query_id, source_no, path, chunk_index, start_line, end_line: what a model is shown of a question's ranked seeds (query_id, rank,
     path, chunk_index, start_line, end_line, strategy, symbol, content). seeds_only: the seeds up to a number of characters; expanded: seeds and

@@ -25,7 +25,7 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> search.Corpus:
     """The corpus of a folder of tables. Its index and its vectors are shared by all queries as long as the files are the same."""
     chunks, key = corpus_chunks(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    index, state = bm25_index(spark, sf_dir, lexical.BM25(), chunks.withColumn("symbol", F.col("qualified")), "corpus"), fingerprint(chunks)
+    index, state = bm25_index(spark, sf_dir, lexical.BM25(), chunks.withColumn("symbol", F.col("qualified")), "corpus", bounds=False), fingerprint(chunks)
     was, at = _VECTORS.get(key, ("", ""))
     if was != state or not exists(spark, at):
         at = written(vector.hashed_vectors(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))), "corpus-vectors")
@@ -130,12 +130,7 @@ x AS (SELECT 'semantic' AS strategy, query_id, chunk_id, rank FROM sem UNION ALL
 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM r2 UNION ALL SELECT 'hybrid_symbol', query_id, chunk_id, rank FROM r3 UNION ALL SELECT 'lexical_symbol', query_id, chunk_id, rank FROM lr)
 SELECT strategy, query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM x WHERE rank <= 5""")
 def search_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, (queries, vectors) = corpus(spark, sf_dir), asked(spark, sf_dir)
-    out = None
-    for strategy in search.STRATEGIES:
-        own = search.search(found, queries, vectors, 5, strategy).select(F.lit(strategy).alias("strategy"), "query_id", "rank", "chunk_id")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return search.every_strategy(corpus(spark, sf_dir), *asked(spark, sf_dir), 5)
 
 
 @query()

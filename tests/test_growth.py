@@ -128,6 +128,26 @@ def test_reranking_reads_stored_candidates(spark):
     assert "CoGroup" not in plan(found) and [r["rank"] for r in found.collect()] == [1, 2]
 
 
+def test_strategies_search_each_source_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarrykit.operators import search, vector
+
+    rows = [(i, f"{i}.py", 0, f"name{i % 3}", f"m.name{i % 3}", f"alpha beta{i} gamma{i % 4}") for i in range(30)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, path string, chunk_index int, symbol string, qualified string, content string")
+    queries = spark.createDataFrame([(1, "alpha beta3 m.name1"), (2, "gamma2 name2"), (3, "name0")], "query_id long, query string")
+    as_text = lambda df, i, t: vector.hashed_vectors(df.select(F.col(i).alias("id"), F.col(t).alias("text")))
+    corpus = search.Corpus(chunks, as_text(chunks, "chunk_id", "content"), lexical.read_index(spark, lexical.write_index(chunks)))
+    asked = as_text(queries, "query_id", "query").withColumnRenamed("id", "query_id")
+    told = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id").collect()))
+    want = {s: told(search.search(corpus, queries, asked, 3, s)) for s in search.STRATEGIES}
+    made, plain = [], lexical.Index.top_k
+    monkeypatch.setattr(lexical.Index, "top_k", lambda *a: made.append(1) or plain(*a))
+    found = search.every_strategy(corpus, queries, asked, 3)
+    assert len(made) == 1 and "MapInArrow" not in plan(found)
+    assert {s: told(found.filter(F.col("strategy") == s)) for s in search.STRATEGIES} == want
+
+
 def test_hashed_vectors_shuffle_no_token(spark):
     from quarrykit.operators import vector
 
