@@ -125,3 +125,48 @@ def test_setting_is_restored(spark):
     with stateful.state_store(spark):
         assert "RocksDB" in spark.conf.get(stateful._PROVIDER)
     assert spark.conf.get(stateful._PROVIDER, None) == before
+
+
+def many(spark, folder, batches):
+    """Batches of (second, event_id, run) as a stream of one a trigger; the last event moves the watermark on."""
+    fields = [("ts", pa.timestamp("us", "UTC")), ("event_id", pa.int64()), ("user_id", pa.int64())]
+    for i, batch in enumerate([*batches, [(10**7, -1, 10**6)]]):
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*((START + timedelta(seconds=s), n, run) for s, n, run in batch), strict=True), fields, strict=True)]
+        pq.write_table(pa.table(columns, names=[n for n, _ in fields]), f"{folder}/e-{i}.parquet")
+        os.utime(f"{folder}/e-{i}.parquet", (1_700_000_000 + i * 60,) * 2)
+    return spark.readStream.schema("ts timestamp, event_id long, user_id long").option("maxFilesPerTrigger", 1).parquet(str(folder)).withWatermark("ts", "10 minutes")
+
+
+def test_neighbouring_keys_share_calls_to_state(spark, tmp_path):
+    """As many timers and rows of state as pages, not as jobs."""
+    jobs = 10 << stateful.JOB_BITS
+    m = messages(spark, tmp_path, [(0, i, i, "submit", None) for i in range(jobs)] + [(1, jobs + i, i, "claim", "a") for i in range(jobs)])
+    with stateful.state_store(spark):
+        asked = stateful.job_transitions(m).writeStream.format("memory").queryName("shared").outputMode("append").trigger(availableNow=True).start()
+        asked.awaitTermination()
+    used = [p["stateOperators"][0] for p in asked.recentProgress if p["stateOperators"]]
+    assert max(u["customMetrics"]["numRegisteredTimers"] for u in used) <= 11 and max(u["numRowsTotal"] for u in used) < jobs
+    told = {r.status: r["count"] for r in spark.table("shared").filter("job_id < 1000000").groupBy("status").count().collect()}
+    assert told == {"queued": 2 * jobs - 1, "running": jobs, "failed": 1}  # leases end; job 4 is one of coding
+
+
+@pytest.mark.parametrize("bits", [0, 2, 62])
+def test_pages_of_any_width_give_the_same(spark, dealt, monkeypatch, bits):
+    monkeypatch.setattr(stateful, "JOB_BITS", bits)
+    monkeypatch.setattr(stateful, "RUN_BITS", bits)
+    got = ran(spark, stateful.job_transitions(streams.job_messages(batchwise(spark, dealt)), 6 * 3_600_000_000)).withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz"))
+    assert sorted(str((r.job_id, r.changed_at, r.message_id, r.status, r.owner, r.attempts, r.error_code)) for r in got.collect()) == sorted(map(str, oracle(registry.SQL["stream_job_transitions"])))
+    assert sorted(map(tuple, ran(spark, stateful.reordered_log(batchwise(spark, dealt))).collect())) == sorted(oracle(registry.SQL["stream_reordered_log"]))
+
+
+def test_long_and_far_runs(spark, tmp_path):
+    """More events than go to state or leave it at once, before and behind the watermark; an id is its run's own; keys at the ends of what is a key."""
+    rows = [(i // 20, i, 5) for i in range(9000)]
+    random.Random(3).shuffle(rows)
+    far = (4, -1, 2**53 + 1, 2**63 - 1, -(2**63))
+    got = ran(spark, stateful.reordered_log(many(spark, tmp_path, [rows[:4500], rows[4500:] + [(s, s, run) for s in (2, 1, 3) for run in far], [(700, 9999, 5)]])))
+    seen = {}
+    for r in got.filter("run_id <> 1000000").orderBy("run_id", "sequence").collect():
+        seen.setdefault(r.run_id, []).append((r.sequence, r.event_id))
+    assert seen.pop(5) == list(enumerate([*range(9000), 9999], 1))
+    assert seen == {run: [(1, 1), (2, 2), (3, 3)] for run in far}
